@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcseq.columns import COVARIATES, STATES
-from arcseq.functions.bessel import log_norm
+from arcseq.functions.bessel import i1_over_i0, log_norm
 
 
 @dataclass
@@ -50,8 +49,11 @@ def values_table(spark: SparkSession, cols: list[str], rows: list[tuple]) -> Dat
 
 def level_params(spark: SparkSession, kappas: dict[float, float], level: str, tag: str) -> DataFrame:
     norms = log_norm(np.array(list(kappas.values())))
-    rows = [(float(k), float(v), float(n)) for (k, v), n in zip(kappas.items(), norms)]
-    return values_table(spark, [level, f"kappa_{tag}", f"norm_{tag}"], rows)
+    rows = [
+        (float(k), float(v), float(n), float(a))
+        for (k, v), n, a in zip(kappas.items(), norms, i1_over_i0(np.array(list(kappas.values()))))
+    ]
+    return values_table(spark, [level, f"kappa_{tag}", f"norm_{tag}", f"resultant_{tag}"], rows)
 
 
 def attach_params(df: DataFrame, params: Params) -> DataFrame:
@@ -70,37 +72,3 @@ def params_to_json(cols: dict[str, Column]) -> Column:
 def params_from_json(text: Column, names: list[str]) -> list[Column]:
     parsed = F.from_json(text, "map<string,double>")
     return [F.try_element_at(parsed, F.lit(n)).alias(n) for n in names]
-
-
-LONG_COLUMNS = ["model_key", "parameter_group", "parameter", "level_1", "level_2", "covariate", "value"]
-
-
-def long_rows(model_key: str, p: Params, scaler: list[tuple[float, float]] | None = None) -> list[tuple]:
-    """Parameters of one fit as rows of the long table."""
-    rows: list[tuple] = []
-
-    def add(group, name, value, one="", two="", cov=""):
-        rows.append((model_key, group, name, one, two, cov, float(value)))
-
-    for s, w in zip(STATES, p.weights):
-        add("component_weights", "weight", w, s)
-    for s, w in zip(STATES, p.pi):
-        add("initial_probabilities", "pi", w, s)
-    for s, row in zip(STATES, p.A):
-        for t, v in zip(STATES, row):
-            add("transition_matrix", "A", v, s, t)
-    for level, v in p.kappa_s.items():
-        add("emission_concentrations", "sensory_kappa", v, f"coherence_{level:g}")
-    for level, v in p.kappa_p.items():
-        add("emission_concentrations", "prior_kappa", v, f"prior_std_{level:g}")
-    if p.alpha_stim or p.alpha_resp:
-        add("serial_coefficients", "alpha_previous_stimulus", p.alpha_stim)
-        add("serial_coefficients", "alpha_previous_response", p.alpha_resp)
-    for s, row in zip(STATES, p.B):
-        for t, coefs in zip(STATES, row):
-            for name, v in zip(["intercept", *COVARIATES], coefs):
-                add("transition_softmax_coefficients", "B", v, s, t, name)
-    for name, (mean, sd) in zip(COVARIATES, scaler or []):
-        add("transition_scaler", "mean", mean, cov=name)
-        add("transition_scaler", "sd", sd, cov=name)
-    return rows

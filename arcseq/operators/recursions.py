@@ -142,7 +142,7 @@ def one_key(p: Params, coh: list[float], prior: list[float], scaler=None) -> Key
         kappa_p=kp,
         subject=[None],
         folds=[None],
-        B=np.array([p.B]) if len(p.B) else None,
+        B=np.array([p.B]) if scaler else None,
         mean=mean,
         sd=sd,
         rho=np.array([p.rho]) if len(p.rho) else None,

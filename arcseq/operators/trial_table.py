@@ -218,13 +218,29 @@ def level_index(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def split_segments(df: DataFrame) -> DataFrame:
-    """Cut sequences at missing responses; leading gaps open no segment, missing rows are dropped."""
+    """Cut sequences at missing responses; leading gaps open no segment, missing rows are dropped.
+
+    A valid trial opens a segment when it is the first of its sequence or follows a missing one. Inside a
+    chunk this is a lag; whether the head of a chunk opens one is settled on the table of chunks.
+    """
+    w = Window.partitionBy(*SEQ, CHUNK).orderBy(ORDER)
     df = chunked(df).withColumn("__miss", any_missing(["estimate_x", "estimate_y"]))
-    df = previous(df, SEQ, [CHUNK], [ORDER], {"__pmiss": F.col("__miss").cast("int")})
-    opens = (~F.col("__miss")) & (F.col("__pmiss").isNull() | (F.col("__pmiss") == 1))
-    df = df.withColumn("__open", opens.cast("long"))
-    df = running(df, SEQ, [CHUNK], [ORDER], {"segment_number": ("sum", F.col("__open"))})
-    df = df.filter(~F.col("__miss")).drop("__miss", "__pmiss", "__open")
+    local = df.withColumns({"__head": F.row_number().over(w) == 1, "__pmiss": F.lag("__miss").over(w)})
+    local = local.withColumn("__open", ((~F.col("__miss")) & F.coalesce("__pmiss", F.lit(False))).cast("long"))
+    local = local.withColumn("segment_number", F.sum("__open").over(w))
+    summary = local.groupBy(*SEQ, CHUNK).agg(
+        F.sum("__open").alias("__n"),
+        F.max(F.when(F.col("__head"), ~F.col("__miss"))).alias("__valid_head"),
+        F.max_by("__miss", ORDER).alias("__last"),
+    )
+    wk = Window.partitionBy(*SEQ).orderBy(CHUNK)
+    opens = F.col("__valid_head") & F.coalesce(F.lag("__last").over(wk), F.lit(True))
+    summary = summary.withColumn("__opens", opens.cast("long"))
+    before = F.sum(F.col("__n") + F.col("__opens")).over(wk) - F.col("__n")
+    carry = summary.select(*SEQ, CHUNK, before.alias("__before"))
+    df = local.join(carry, SEQ + [CHUNK]).filter(~F.col("__miss"))
+    df = df.withColumn("segment_number", F.col("segment_number") + F.col("__before"))
+    df = df.drop("__miss", "__head", "__pmiss", "__open", "__before")
     block = C.block_id(*[F.col(k) for k in SEQ])
     return df.withColumns(
         {

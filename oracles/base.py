@@ -36,7 +36,7 @@ def query(final: str, extra: dict[str, str] | None = None) -> str:
             if word in known and word not in seen:
                 seen.add(word)
                 visit(known[word])
-                order.append(word)
+                order.append(word)  # a recursive table names itself, which `seen` already covers
 
     visit(final)
     if not order:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import tables
+from oracles import models, tables
 
-ORACLES: dict[str, str] = {**tables.ORACLES}
+ORACLES: dict[str, str] = {**tables.ORACLES, **models.ORACLES}

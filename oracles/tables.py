@@ -275,13 +275,13 @@ WHEN {v} < 0.85 THEN -0.4 + 1.39*{v} + 0.43/(1-{v}) ELSE least(1.0/greatest(pow(
 
 
 def log_i0_sql(x: str) -> str:
-    series = f"list_reduce(list_transform(range(60, 0, -1), lambda z: z::DOUBLE), lambda h, k: 1.0::DOUBLE + ({x})*({x})/4 / (k*k) * h, 1.0::DOUBLE)"
-    tail = f"list_reduce(list_transform(range(25, 0, -1), lambda z: z::DOUBLE), lambda h, k: 1.0::DOUBLE + (2*k-1)*(2*k-1) / (8.0::DOUBLE*k*greatest(({x}), 20.0::DOUBLE)) * h, 1.0::DOUBLE)"
+    series = f"list_reduce(list_transform(range(60, 0, -1), lambda z: z::DOUBLE), lambda hh, kk: 1.0::DOUBLE + ({x})*({x})/4 / (kk*kk) * hh, 1.0::DOUBLE)"
+    tail = f"list_reduce(list_transform(range(25, 0, -1), lambda z: z::DOUBLE), lambda hh, kk: 1.0::DOUBLE + (2*kk-1)*(2*kk-1) / (8.0::DOUBLE*kk*greatest(({x}), 20.0::DOUBLE)) * hh, 1.0::DOUBLE)"
     return f"(CASE WHEN ({x}) < 20 THEN ln({series}) ELSE ({x}) - ln({TWO_PI}::DOUBLE * ({x}))/2 + ln({tail}) END)"
 
 
 def i1_over_i0_sql(x: str) -> str:
-    return f"list_reduce(list_transform(range(500, 0, -1), lambda z: z::DOUBLE), lambda h, k: 1.0::DOUBLE / (2.0::DOUBLE*k/({x}) + h), 0.0::DOUBLE)"
+    return f"list_reduce(list_transform(range(500, 0, -1), lambda z: z::DOUBLE), lambda hh, kk: 1.0::DOUBLE / (2.0::DOUBLE*kk/({x}) + hh), 0.0::DOUBLE)"
 
 
 add(
