@@ -396,15 +396,28 @@ def _level_totals(b: Batch, gamma, cos, level, n_levels, n_keys):
     return w, c
 
 
-def _emit(names: list[str], table, keep):
-    cols = [pa.array(np.flatnonzero(keep).astype(np.int64))]
-    return ["fit_key", *names], cols + [pa.array(np.ascontiguousarray(table[keep, i])) for i in range(table.shape[1])]
-
-
-def _sum_table(packed: Packed, model: Model, fn, names: list[str], x_cols: tuple, fold: str | None, classes: int = 0):
-    schema = "fit_key bigint, " + ", ".join(f"{n} double" for n in names)
-    out = run_kernel(packed, model.keyset(), fn, schema, x_cols, fold, classes=classes)
-    return out.groupBy("fit_key").agg(*[F.sum(n).alias(n) for n in names])
+def _emit(table, keep):
+    """Sums of the keys met in a batch as (fit_key, slot, value) rows."""
+    keys = np.flatnonzero(keep)
+    n = table.shape[1]
+    cols = [np.repeat(keys, n).astype(np.int64), np.tile(np.arange(n, dtype=np.int32), len(keys)), table[keys].ravel()]
+    return ["fit_key", "slot", "value"], [pa.array(c) for c in cols]
+
+
+def _sum_slots(packed: Packed, keyset: KeySet, fn, shapes: dict, x_cols: tuple, fold: str | None) -> dict[str, np.ndarray]:
+    """Run `fn` and add its slots over all batches; slots follow the order of `shapes`."""
+    out = run_kernel(packed, keyset, fn, "fit_key bigint, slot int, value double", x_cols, fold)
+    table = out.groupBy("fit_key", "slot").agg(F.sum("value").alias("value")).toArrow()
+    n_keys, width = len(keyset.names), sum(int(np.prod(s)) for s in shapes.values())
+    flat = np.zeros((n_keys, width))
+    flat[table["fit_key"].to_numpy(), table["slot"].to_numpy()] = table["value"].to_numpy()
+    sums, at = {}, 0
+    for name, s in shapes.items():
+        size = int(np.prod(s))
+        part = flat[:, at : at + size]
+        sums[name] = part.reshape((n_keys, *s)) if s else part[:, 0]
+        at += size
+    return sums
 
 
 def chain_step(
@@ -418,9 +431,6 @@ def chain_step(
     shapes = {"ll": (), "n": (), "pi": (3,), "A": (3, 3), "sw": (n_c,), "sc": (n_c,), "pw": (n_p,), "pc": (n_p,)}
     if at_B is not None:
         shapes |= {"q": (3,), "grad": (3, free), "hess": (3, free, free)}
-    names = []
-    for n, s in shapes.items():
-        names += [f"{n}{i}" for i in range(int(np.prod(s)))] if s else [n]
 
     def fn(b: Batch):
         chain = b.chain()
@@ -453,10 +463,9 @@ def chain_step(
                 q[k], grad[k], hess[k] = row_curvature(x[rows], xi[rows], at_B[k])
             parts += [q, grad.reshape(n_keys, -1), hess.reshape(n_keys, -1)]
         seen = np.bincount(b.key, minlength=n_keys) > 0
-        return _emit(names, np.concatenate(parts, axis=1), seen)
+        return _emit(np.concatenate(parts, axis=1), seen)
 
-    table = _sum_table(packed, model, fn, names, x_cols, fold)
-    return collect_sums(table, n_keys, shapes)
+    return _sum_slots(packed, keyset, fn, shapes, x_cols, fold)
 
 
 def row_curvature(x, xi, beta):
@@ -551,6 +560,7 @@ def fit_covariate_hmm(
 
 def hybrid_step(packed: Packed, model: Model, fold: str | None) -> dict[str, np.ndarray]:
     keyset = model.keyset()
+    keys = packed.keys
     classes = model.extra["rho"].shape[1]
     n_c, n_p = len(model.coh), len(model.prior)
     stats = [f"pi{i}" for i in range(3)] + [f"A{i}" for i in range(9)]
@@ -585,9 +595,9 @@ def hybrid_step(packed: Packed, model: Model, fold: str | None) -> dict[str, np.
             parts += [by_piece(b, p), by_piece(b, p * b.pick("cos_p")[:, None])]
         flat = np.concatenate(parts, axis=1)
         at = pa.array(b.piece)
-        arrays = [b.column(k).take(at) for k in packed.keys] + [pa.array(b.key), pa.array(b.rg.lens.astype(float))]
+        arrays = [b.column(k).take(at) for k in keys] + [pa.array(b.key), pa.array(b.rg.lens.astype(float))]
         arrays += [pa.array(np.ascontiguousarray(flat[:, i])) for i in range(flat.shape[1])]
-        return [*packed.keys, "fit_key", "n", *cols], arrays
+        return [*keys, "fit_key", "n", *cols], arrays
 
     types = {f.name: f.dataType.simpleString() for f in packed.df.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in packed.keys) + ", fit_key bigint, n double, "

@@ -32,6 +32,11 @@ def _kernel_array(kappa: float) -> Column:
     return F.expr("array(" + ", ".join(f"{v!r}D" for v in offset_kernel(kappa).tolist()) + ")")
 
 
+def _scatter(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small table before it is expanded, which adaptive coalescing would leave in one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _level_kernels(spark, kappas: dict[float, float], level: str, name: str) -> DataFrame:
     rows = [(float(k), float(v)) for k, v in kappas.items()]
     table = values_table(spark, [level, "__kappa"], rows)
@@ -62,7 +67,7 @@ def _spread_motor(weights: DataFrame, kappa_m: float) -> DataFrame:
     spark = weights.sparkSession
     kernel = F.broadcast(spark.range(1).select(_kernel_array(kappa_m).alias("km"), F.lit(1).alias("__one")))
     packed = weights.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "w")).alias("ws"), F.lit(1).alias("__one"))
-    grid = packed.join(kernel, "__one").select(*KEYS, "ws", "km", grid_column("g"))
+    grid = _scatter(packed, *KEYS).join(kernel, "__one").select(*KEYS, "ws", "km", grid_column("g"))
     total = F.aggregate(
         "ws", C.dbl(0), lambda acc, x: acc + x["w"] * F.col("km")[F.pmod(F.col("g") - x["m"], F.lit(360)).cast("int")]
     )
@@ -76,7 +81,7 @@ def _levels(spark, kappas: dict[float, float], level: str, name: str) -> DataFra
 def _evidence(conditions: DataFrame, observer: dict) -> DataFrame:
     """Probability of each evidence degree per condition (negligible ones dropped)."""
     ke = _levels(conditions.sparkSession, observer["kappa_e"], "motion_coherence", "ke")
-    ev = conditions.join(ke, "motion_coherence").select(*KEYS, "ke", grid_column("e"))
+    ev = _scatter(conditions, *KEYS).join(ke, "motion_coherence").select(*KEYS, "ke", grid_column("e"))
     ev = ev.withColumn("v", vm_at(F.col("motion_direction"), F.col("e"), F.col("ke")))
     ev = ev.withColumn("pe", F.col("v") / F.sum("v").over(Window.partitionBy(*KEYS)))
     return ev.filter(F.col("pe") >= 1e-12).select(*KEYS, "e", "pe")
@@ -92,7 +97,7 @@ def posteriors(conditions: DataFrame, observer: dict) -> DataFrame:
     ke = _level_kernels(spark, observer["kappa_e"], "motion_coherence", "ke")
     kp = _levels(spark, observer["kappa_p"], "prior_std", "kp")
     wide = combos.join(ke, "motion_coherence").join(kp, "prior_std")
-    wide = wide.select("*", grid_column("e"))
+    wide = _scatter(wide.select("*", grid_column("e")), *COMBO)
     wide = wide.select("motion_coherence", "prior_std", "prior_mean", "ke", "kp", "e", grid_column("h"))
     post = at("ke", F.col("h") - F.col("e")) * vm_at(F.col("prior_mean"), F.col("h"), F.col("kp"))
     return wide.select("motion_coherence", "prior_std", "prior_mean", "e", "h", post.alias("u"))
@@ -120,7 +125,7 @@ def bayes_grid(conditions: DataFrame, observer: dict, readout: str = "map") -> D
         mean = mean.select(*COMBO, C.rad2deg(F.atan2("y", "x")).alias("c"))
         km = F.lit(float(observer["kappa_m"]))
         # motor noise around centres between grid points: normalise per centre, then sum evidence out
-        motor = mean.select("*", grid_column("g")).withColumn("v", vm_at(F.col("c"), F.col("g"), km))
+        motor = _scatter(mean, *COMBO).select("*", grid_column("g")).withColumn("v", vm_at(F.col("c"), F.col("g"), km))
         motor = motor.join(motor.groupBy(*COMBO).agg(F.sum("v").alias("t")), COMBO)
         motor = motor.groupBy(*COMBO).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("g", (F.col("v") / F.col("t")).alias("v")))), lambda s: s["v"]).alias("vs")

@@ -310,7 +310,8 @@ def with_borders(
     """
     if not packed.long:
         return packed.df.withColumn("borders", F.lit(None).cast("array<double>"))
-    keys = [*packed.keys, "__k"]
+    seq = packed.keys
+    keys = [*seq, "__k"]
     n_keys = len(keyset.names)
     cut = packed.df.groupBy(*packed.keys).agg(F.max(CHUNK).alias("__top"), F.min(CHUNK).alias("__low"))
     last = cut.agg(F.max("__top")).first()[0]
@@ -323,11 +324,11 @@ def with_borders(
                 chain = b.class_chain(c) if classes else b.chain()
                 m = chain.max_product(b.fresh) if best else chain.product(b.fresh)
                 m = np.where(np.isfinite(m), m, -1e300)
-                cols = [pa.array(b.column(k).take(pa.array(b.piece))) for k in [*packed.keys, CHUNK]]
+                cols = [b.column(k).take(pa.array(b.piece)) for k in [*seq, CHUNK]]
                 slot = pa.array((b.key * max(classes, 1) + c).astype(np.int64))
                 flat = m.reshape(-1, 9)
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, slot, *[pa.array(flat[:, i]) for i in range(9)]], names=[*packed.keys, CHUNK, "__k", *M_COLS]
+                    [*cols, slot, *[pa.array(flat[:, i]) for i in range(9)]], names=[*seq, CHUNK, "__k", *M_COLS]
                 )
 
     types = {f.name: f.dataType.simpleString() for f in packed.df.schema.fields}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from arcseq.plans import models, tables
+from arcseq.plans import fits, models, tables
 from arcseq.session import release
 
-_ALL = {**tables.QUERIES, **models.QUERIES}
+_ALL = {**tables.QUERIES, **models.QUERIES, **fits.QUERIES}
 
 
 def _fresh(fn):

@@ -55,3 +55,17 @@ GRID = [(a / 4, b / 4) for a in range(-3, 4) for b in range(-3, 4)]  # [-0.75, 0
 
 # Grid observers (evidence, prior and motor concentrations, lapse rate).
 OBSERVER = {"kappa_e": KAPPA_S, "kappa_p": KAPPA_P, "kappa_m": 25.0, "lapse": 0.02}
+
+N_FOLDS = 4
+
+
+def fold_matrix(fold: int) -> tuple:
+    """Transition matrix used for held-out scoring of a fold: less sticky for later folds."""
+    mix = 0.05 * fold
+    return tuple(tuple((1 - mix) * a + mix / 3 for a in row) for row in START_A)
+
+
+# Starting matrices of the restarts.
+INIT_A = [START_A, (START_PI, START_PI, START_PI), ((1 / 3,) * 3,) * 3]
+INIT_PI = [START_PI, START_PI, (1 / 3,) * 3]
+INIT_WEIGHTS = [(0.65, 0.30, 0.05), (0.40, 0.40, 0.20), (1 / 3, 1 / 3, 1 / 3)]

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: list[str] = []
-_memo: dict[tuple, str] = {}
+_memo: dict[tuple, tuple] = {}
 _held: list[DataFrame] = []
 
 
@@ -61,12 +61,13 @@ def stage(df: DataFrame, label: str, *partitions: str) -> DataFrame:
 def staged_once(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Staged table shared by all queries of one session."""
     full = (spark.sparkContext.applicationId, *key)
-    path = _memo.get(full)
+    path, schema = _memo.get(full, (None, None))
     if path is None or not _is_complete(spark, path):
-        path = new_path(spark, "-".join(str(k).strip("/").replace("/", "_") for k in key))
-        build().write.mode("overwrite").parquet(path)
-        _memo[full] = path
-    return spark.read.parquet(path)
+        df = build()
+        path, schema = new_path(spark, "-".join(str(k).strip("/").replace("/", "_") for k in key)), df.schema
+        df.write.mode("overwrite").parquet(path)
+        _memo[full] = (path, schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def hold(df: DataFrame) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import models, tables
+from oracles import fits, models, tables
 
-ORACLES: dict[str, str] = {**tables.ORACLES, **models.ORACLES}
+ORACLES: dict[str, str] = {**tables.ORACLES, **models.ORACLES, **fits.ORACLES}
