@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcseq.columns import HOT_GROUP_ROWS
+from arcseq import columns
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -108,13 +108,13 @@ def in_sequence(
     ).drop("__offset", *[f"__{n}" for n in prev])
 
 
-def spread(df: DataFrame, keys: list[str], fine: Column, name: str, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+def spread(df: DataFrame, keys: list[str], fine: Column, name: str, limit: int | None = None) -> DataFrame:
     """Add a piece column: `fine` for groups above `limit` rows, one shared piece for all others.
 
     `fine` must be a string that sorts like the order in use. There are at most rows/limit hot groups, so
     the joined table is small; Spark broadcasts it only below its size threshold.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > (limit or columns.HOT_GROUP_ROWS))
     hot = hot.select(*keys, F.lit(True).alias("__hot"))
     return (
         df.join(hot, keys, "left")

@@ -256,7 +256,8 @@ def chunk_scan(products: DataFrame, keys: list[str], idx: str, last: int, best:
     """
     types = {f.name: f.dataType.simpleString() for f in products.schema.fields}
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    grouped = products.withColumn("__g", F.floor(F.col(idx) / FAN))
+    group = f"{idx}_group"  # one name per level
+    grouped = products.withColumn(group, F.floor(F.col(idx) / FAN))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
@@ -270,18 +271,18 @@ def chunk_scan(products: DataFrame, keys: list[str], idx: str, last: int, best:
         for i in range(n - 1, -1, -1):
             suf[i] = s
             s = _times(mats[i], s, best)
-        out = pdf[[*keys, idx, "__g"]].copy()
+        out = pdf[[*keys, idx, group]].copy()
         out[PRE] = pre.reshape(n, 9)
         out[SUF] = suf.reshape(n, 9)
         out[M_COLS] = p.reshape(1, 9).repeat(n, axis=0)
         return out
 
     doubles = ", ".join(f"{c} double" for c in PRE + SUF + M_COLS)
-    local = grouped.groupBy(*keys, "__g").applyInPandas(inside, f"{head}, `{idx}` bigint, __g bigint, {doubles}")
+    local = grouped.groupBy(*keys, group).applyInPandas(inside, f"{head}, `{idx}` bigint, `{group}` bigint, {doubles}")
     if last < FAN:
-        return local.drop("__g", *M_COLS)
-    totals = local.groupBy(*keys, "__g").agg(*[F.first(c).alias(c) for c in M_COLS])
-    upper = chunk_scan(totals, keys, "__g", last // FAN, best)
+        return local.drop(group, *M_COLS)
+    totals = local.groupBy(*keys, group).agg(*[F.first(c).alias(c) for c in M_COLS])
+    upper = chunk_scan(totals, keys, group, last // FAN, best)
     upper = upper.withColumnsRenamed({c: f"u{c}" for c in PRE + SUF})
 
     def join_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +294,7 @@ def chunk_scan(products: DataFrame, keys: list[str], idx: str, last: int, best:
             out[SUF] = np.array([_times(a, b, best) for a, b in zip(suf, us)]).reshape(-1, 9)
             yield out
 
-    joined = local.drop(*M_COLS).join(upper, [*keys, "__g"])
+    joined = local.drop(*M_COLS).join(upper, [*keys, group])
     return joined.mapInPandas(join_levels, f"{head}, `{idx}` bigint, " + ", ".join(f"{c} double" for c in PRE + SUF))
 
 

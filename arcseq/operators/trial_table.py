@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcseq.columns import CHUNK, CHUNK_ROWS, COVARIATES, ORDER, REQUIRED, SEQ
+from arcseq import columns
+from arcseq.columns import CHUNK, COVARIATES, ORDER, REQUIRED, SEQ
 from arcseq.functions import circular as C
 from arcseq.operators.ordered import in_sequence, per_chunk, previous, rank_in_group, running
 
 
-def chunked(df: DataFrame, order: str = ORDER, rows: int = CHUNK_ROWS) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows)))
+def chunked(df: DataFrame, order: str = ORDER, rows: int | None = None) -> DataFrame:
+    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows or columns.CHUNK_ROWS)))
 
 
 def any_missing(fields: list[str] = REQUIRED) -> Column:

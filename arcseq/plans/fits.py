@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arcseq.columns import CHUNK, CHUNK_ROWS, SEQ, STATES, TRANSITIONS
+from arcseq.columns import CHUNK, SEQ, STATES, TRANSITIONS
 from arcseq.operators import comparison as cmp
 from arcseq.operators import cv, em
 from arcseq.operators import recursions as rec
@@ -526,7 +526,7 @@ def replicate_segments(spark, sf, n: int):
     """n permuted copies of every segment, numbered by `simulation`."""
     rows = segments(spark, sf).withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rows = sp.permute_within(rows, ["simulation", *SEG], 100).withColumn("pos", F.col("shuffle_order"))
-    return rows.withColumn(CHUNK, F.floor(F.col("pos") / CHUNK_ROWS))
+    return tt.chunked(rows, "pos")
 
 
 @register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arcseq.columns import CHUNK, CHUNK_ROWS, COVARIATES, SEQ, STATES, TRANSITIONS
+from arcseq.columns import COVARIATES, SEQ, STATES, TRANSITIONS
 from arcseq.functions import circular as C
 from arcseq.operators import conditions as cond
 from arcseq.operators import grids
@@ -58,7 +58,7 @@ def segment_rows(spark, sf, shuffled=False):
     df = segments(spark, sf)
     if shuffled:
         df = permute_within(df, keys).withColumn("pos", F.col("shuffle_order"))
-        return df.withColumn(CHUNK, F.floor(F.col("pos") / CHUNK_ROWS))
+        return tt.chunked(df, "pos")
     return df.withColumn("pos", F.col("seg_pos"))
 
 
