@@ -10,7 +10,9 @@ from arcseq.columns import LOG_TWO_PI
 def i1_over_i0(kappa):
     kappa = np.maximum(np.asarray(kappa, dtype=float), 1e-300)
     ratio = np.zeros_like(kappa)
-    for n in range(600, 0, -1):
+    # the backward recurrence forgets its start like exp(-n^2 / kappa)
+    depth = int(7 * np.sqrt(kappa.max(initial=1.0))) + 25
+    for n in range(depth, 0, -1):
         ratio = 1.0 / (2.0 * n / kappa + ratio)
     return ratio
 
@@ -43,13 +45,19 @@ def kappa_approx(r):
 
 
 def kappa_exact(r, low: float = 1e-6, high: float = 500.0):
-    """Invert I1/I0 on [low, high] by bisection in log space."""
+    """Invert I1/I0 on [low, high]: Newton steps kept inside a shrinking bracket."""
     r = np.nan_to_num(np.asarray(r, dtype=float), nan=0.0)
-    lo = np.full_like(r, np.log(low))
-    hi = np.full_like(r, np.log(high))
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        below = i1_over_i0(np.exp(mid)) < r
-        lo = np.where(below, mid, lo)
-        hi = np.where(below, hi, mid)
-    return np.exp((lo + hi) / 2)
+    lo, hi = np.full_like(r, low), np.full_like(r, high)
+    k = np.clip(kappa_approx(r), low, high)
+    for _ in range(60):
+        ratio = i1_over_i0(k)
+        gap = ratio - r
+        lo, hi = np.where(gap < 0, k, lo), np.where(gap < 0, hi, k)
+        step = k - gap / np.maximum(1.0 - ratio / k - ratio * ratio, 1e-12)
+        new = np.where((step > lo) & (step < hi), step, np.sqrt(lo * hi))
+        done = np.abs(new - k) <= 1e-13 * k
+        k = new
+        if done.all():
+            break
+    top, bottom = i1_over_i0(np.array(high)), i1_over_i0(np.array(low))
+    return np.where(r >= top, high, np.where(r <= bottom, low, k))

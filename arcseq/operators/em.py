@@ -404,9 +404,11 @@ def _emit(table, keep):
     return ["fit_key", "slot", "value"], [pa.array(c) for c in cols]
 
 
-def _sum_slots(packed: Packed, keyset: KeySet, fn, shapes: dict, x_cols: tuple, fold: str | None) -> dict[str, np.ndarray]:
+def _sum_slots(
+    packed: Packed, keyset: KeySet, fn, shapes: dict, x_cols: tuple, fold: str | None, classes: int = 0
+) -> dict[str, np.ndarray]:
     """Run `fn` and add its slots over all batches; slots follow the order of `shapes`."""
-    out = run_kernel(packed, keyset, fn, "fit_key bigint, slot int, value double", x_cols, fold)
+    out = run_kernel(packed, keyset, fn, "fit_key bigint, slot int, value double", x_cols, fold, classes=classes)
     table = out.groupBy("fit_key", "slot").agg(F.sum("value").alias("value")).toArrow()
     n_keys, width = len(keyset.names), sum(int(np.prod(s)) for s in shapes.values())
     flat = np.zeros((n_keys, width))
@@ -594,11 +596,30 @@ def hybrid_step(packed: Packed, model: Model, fold: str | None) -> dict[str, np.
             parts += [by_piece(b, s), by_piece(b, s * b.pick("cos_s")[:, None])]
             parts += [by_piece(b, p), by_piece(b, p * b.pick("cos_p")[:, None])]
         flat = np.concatenate(parts, axis=1)
+        if whole:
+            return _emit(weigh(b, flat), np.bincount(b.key, minlength=n_keys) > 0)
         at = pa.array(b.piece)
         arrays = [b.column(k).take(at) for k in keys] + [pa.array(b.key), pa.array(b.rg.lens.astype(float))]
         arrays += [pa.array(np.ascontiguousarray(flat[:, i])) for i in range(flat.shape[1])]
         return [*keys, "fit_key", "n", *cols], arrays
 
+    shapes = {"ll": (), "n": (), "rc": (classes,), "cpi": (classes, 3), "cA": (classes, 3, 3), **_level_shapes(model)}
+    n_keys, width = len(model.keys), len(stats) + 1
+
+    def weigh(b: Batch, flat):
+        """Class posterior of every (whole) sequence and its weighted sums per key."""
+        by_class = flat.reshape(len(flat), classes, width)
+        logs = np.log(np.maximum(keyset.rho[b.key], 1e-300)) + by_class[:, :, 0]
+        top = logs.max(axis=1, keepdims=True)
+        norm = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        tau = np.exp(logs - norm[:, None])
+        weighted = tau[:, :, None] * by_class[:, :, 1:]
+        parts = [norm[:, None], b.rg.lens[:, None].astype(float), tau, weighted[:, :, :3], weighted[:, :, 3:12], weighted[:, :, 12:].sum(axis=1)]
+        return np.concatenate([_by_key(b, n_keys, p.reshape(len(p), -1), True) for p in parts], axis=1)
+
+    whole = not packed.long
+    if whole:
+        return _sum_slots(packed, keyset, fn, shapes, (), fold, classes)
     types = {f.name: f.dataType.simpleString() for f in packed.df.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in packed.keys) + ", fit_key bigint, n double, "
     parts = run_kernel(packed, keyset, fn, schema + ", ".join(f"{c} double" for c in cols), fold=fold, classes=classes)

@@ -23,7 +23,7 @@ from arcseq.functions.circular import logsumexp, softmax
 from arcseq.operators.kernels import Chain, Ragged, segment_sum, softmax_rows
 from arcseq.operators.ordered import running
 from arcseq.operators.params import Params
-from arcseq.session import hold
+from arcseq.session import hold, ship
 
 FAN = 1024  # chunk products combined by one task
 CELLS = 2_000_000  # rows x fit keys handled by one kernel call
@@ -55,6 +55,7 @@ def pack(
 
     `carry` names group-level columns (e.g. the fold) that are constant within a sequence.
     """
+    ship(rows.sparkSession)
     fields = {
         "pos": F.col("pos").cast("long"),
         "row_id": F.col("row_id"),

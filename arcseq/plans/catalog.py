@@ -8,7 +8,7 @@ from arcseq.operators import trial_table as tt
 from arcseq.plans import checks, fits, models, streams, tables
 from arcseq.plans.fixed import MAIN
 from arcseq.plans.workspace import rr
-from arcseq.session import release
+from arcseq.session import release, ship
 from arcseq.sources.trials import read_events, trials_from_events
 
 
@@ -21,6 +21,7 @@ def flagship(spark, sf_dir):
 
 def _fresh(fn):
     def run(spark, sf_dir):
+        ship(spark)
         release()
         return fn(spark, sf_dir)
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: list[str] = []
 _memo: dict[tuple, tuple] = {}
 _held: list[DataFrame] = []
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int = 8, app: str = "arcseq") -> SparkSession:
     """Session for tests and the bench on one machine."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -25,6 +28,25 @@ def local_session(cpus: int = 8, app: str = "arcseq") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "arcseq.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:

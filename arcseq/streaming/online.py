@@ -18,9 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from arcseq.columns import STATES
 from arcseq.functions.bessel import log_norm
 from arcseq.operators.params import Params
-from arcseq.session import new_path
-from arcseq.sources.trials import EVENT_SCHEMA, respond, run_of
 from arcseq.operators.trial_table import angles, usable_trials
+from arcseq.session import new_path, ship
+from arcseq.sources.trials import EVENT_SCHEMA, respond, run_of
 
 KEYS = ["subject_id", "session_id", "run_id"]
 KEY_SCHEMA = "subject_id bigint, session_id bigint, run_id bigint, row_id bigint, position bigint, n_late bigint, "
@@ -72,6 +72,7 @@ def _in_order(pdfs: Iterator[pd.DataFrame], last: int | None) -> tuple[pd.DataFr
 
 
 def _stateful(stream: DataFrame, fn, out: str, state: str, watermark: str | None) -> DataFrame:
+    ship(stream.sparkSession)
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     if watermark:
         stream = stream.withWatermark("event_time", watermark)

@@ -30,10 +30,10 @@ def trials(spark):
 
 @pytest.fixture
 def small_chunks(monkeypatch):
-    """Cut sequences every 4 trials, treat groups above 5 rows as hot, combine 2 chunks per task."""
+    """Cut sequences every 8 trials, treat groups above 5 rows as hot, combine 2 chunks per task."""
     from arcseq import columns
     from arcseq.operators import recursions
 
-    monkeypatch.setattr(columns, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(columns, "CHUNK_ROWS", 8)
     monkeypatch.setattr(columns, "HOT_GROUP_ROWS", 5)
     monkeypatch.setattr(recursions, "FAN", 2)

@@ -118,7 +118,7 @@ def test_cut_equals_whole(name, trials, feat, scaler, monkeypatch):
     build, keys, values = queries(trials, feat, scaler)[name]
     whole = frame(build(), keys, values)
     release()
-    monkeypatch.setattr(columns, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(columns, "CHUNK_ROWS", 8)
     monkeypatch.setattr(columns, "HOT_GROUP_ROWS", 5)
     monkeypatch.setattr(rec, "FAN", 2)
     cut = frame(build(), keys, values)
@@ -176,6 +176,6 @@ def test_one_long_sequence_spreads_over_chunks(trials, small_chunks):
     one = one.withColumn("trial_index", F.col("row_id") + 1)
     feat = tt.features(one)
     sizes = feat.groupBy(*SEQ, CHUNK).count().agg(F.max("count")).first()[0]
-    assert sizes <= 4
+    assert sizes <= 8
     pdf = feat.select("pos", "seq_len", "trial_index").orderBy("trial_index").toPandas()
     assert pdf["pos"].tolist() == list(range(1, len(pdf) + 1)) and set(pdf["seq_len"]) == {len(pdf)}
