@@ -66,12 +66,11 @@ def _spread_motor(weights: DataFrame, kappa_m: float) -> DataFrame:
     """Blur weights over integer percepts `m` by the motor kernel."""
     spark = weights.sparkSession
     kernel = F.broadcast(spark.range(1).select(_kernel_array(kappa_m).alias("km"), F.lit(1).alias("__one")))
-    packed = weights.groupBy(*KEYS).agg(F.collect_list(F.struct("m", "w")).alias("ws"), F.lit(1).alias("__one"))
-    grid = _scatter(packed, *KEYS).join(kernel, "__one").select(*KEYS, "ws", "km", grid_column("g"))
-    total = F.aggregate(
-        "ws", C.dbl(0), lambda acc, x: acc + x["w"] * F.col("km")[F.pmod(F.col("g") - x["m"], F.lit(360)).cast("int")]
-    )
-    return grid.select(*KEYS, "g", total.alias("p"))
+    rows = _scatter(weights.withColumn("__one", F.lit(1)), *KEYS, "m").join(kernel, "__one")
+    # percepts are expanded over the grid inside each task and summed map-side
+    part = rows.select(*KEYS, "m", "w", "km", grid_column("g"))
+    value = F.col("w") * F.col("km")[F.pmod(F.col("g") - F.col("m"), F.lit(360)).cast("int")]
+    return part.groupBy(*KEYS, "g").agg(F.sum(value).alias("p"))
 
 
 def _levels(spark, kappas: dict[float, float], level: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcseq import columns
 from arcseq.operators.ordered import running
 
 
@@ -13,8 +14,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with the requested quantiles.
 
-    Equal values are merged first (map-side), then ranked through cumulative counts over value intervals
-    of the given width, and the two neighbours of each quantile position are picked by rank.
+    Equal values are merged first (map-side), then ranked through cumulative counts, and the two neighbours
+    of each quantile position are picked by rank. Large groups are ranked interval by interval (`width`).
     """
     if not keys:
         return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, width).drop("__all")
@@ -23,11 +24,11 @@ def exact_quantiles(
         .filter(F.col("__v").isNotNull())
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__piece", F.floor(F.col("__v") / F.lit(float(width))))
     )
-    ranked = running(counts, keys, ["__piece"], ["__v"], {"__cum": ("sum", F.col("__c"))})
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    joined = ranked.join(sizes, keys)
+    piece = F.when(F.col("__n") > columns.HOT_GROUP_ROWS, F.floor(F.col("__v") / F.lit(float(width)))).otherwise(0)
+    sized = counts.join(sizes, keys).withColumn("__piece", piece)
+    joined = running(sized, keys, ["__piece"], ["__v"], {"__cum": ("sum", F.col("__c"))})
     picks = []
     for i, p in enumerate(probs.values()):
         at = (F.col("__n") - 1) * F.lit(float(p))

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from arcseq.columns import STATES
-from arcseq.functions.bessel import log_norm
 from arcseq.operators.params import Params
+from arcseq.operators.scoring import LOG_B, emissions
 from arcseq.operators.trial_table import angles, usable_trials
 from arcseq.session import new_path, ship
 from arcseq.sources.trials import EVENT_SCHEMA, respond, run_of
 
 KEYS = ["subject_id", "session_id", "run_id"]
+VALUES = ["v0", "v1", "v2"]
 KEY_SCHEMA = "subject_id bigint, session_id bigint, run_id bigint, row_id bigint, position bigint, n_late bigint, "
 
 
@@ -52,42 +53,29 @@ def read_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_emissions(pdf: pd.DataFrame, p: Params) -> np.ndarray:
-    ks = pdf["motion_coherence"].map(p.kappa_s).to_numpy()
-    kp = pdf["prior_std"].map(p.kappa_p).to_numpy()
-    return np.column_stack(
-        [
-            ks * pdf["cos_s"].to_numpy() - log_norm(ks),
-            kp * pdf["cos_p"].to_numpy() - log_norm(kp),
-            np.full(len(pdf), -np.log(2 * np.pi)),
-        ]
-    )
-
-
-def _in_order(pdfs: Iterator[pd.DataFrame], last: int | None) -> tuple[pd.DataFrame, int]:
-    """Rows after the last position, in order, and the number of late rows."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("position", kind="stable")
-    fresh = pdf if last is None else pdf[pdf["position"] > last]
-    return fresh, len(pdf) - len(fresh)
+def _in_order(pdfs: Iterator[pd.DataFrame], last: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Positions, row ids and values of the rows after the last position, in order; number of late rows."""
+    parts = list(pdfs)
+    pos = np.concatenate([p["position"].to_numpy() for p in parts])
+    order = np.argsort(pos, kind="stable")
+    if last is not None:
+        order = order[pos[order] > last]
+    rows = np.concatenate([p["row_id"].to_numpy() for p in parts])[order]
+    values = np.concatenate([p[VALUES].to_numpy() for p in parts])[order]
+    return pos[order], rows, values, len(pos) - len(order)
 
 
-def _stateful(stream: DataFrame, fn, out: str, state: str, watermark: str | None) -> DataFrame:
+def _stateful(stream: DataFrame, values: list, fn, out: str, state: str, watermark: str | None) -> DataFrame:
+    """Only keys, position, row id and three values go to the Python worker."""
     ship(stream.sparkSession)
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    if watermark:
-        stream = stream.withWatermark("event_time", watermark)
-    return stream.groupBy(*KEYS).applyInPandasWithState(fn, KEY_SCHEMA + out, state, "append", timeout)
-
-
-def _keep(state: GroupState, values: tuple, pdf: pd.DataFrame, idle_ms: int | None) -> None:
-    state.update(values)
-    if idle_ms is not None and len(pdf):
-        latest = int(pdf["position"].max() // 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+    slim = stream.select(*KEYS, "event_time", "row_id", "position", *[c.alias(n) for c, n in zip(values, VALUES)])
+    slim = slim.withWatermark("event_time", watermark) if watermark else slim.drop("event_time")
+    return slim.groupBy(*KEYS).applyInPandasWithState(fn, KEY_SCHEMA + out, state, "append", timeout)
 
 
 def _online(update, start: tuple, names: list[str], idle_ms: int | None):
-    """Wrap `update(pdf, carried numbers) -> (columns, numbers)` with ordering, late rows and timeouts."""
+    """Wrap `update(values, carried numbers, first) -> (columns, numbers)` with ordering, late rows and timeouts."""
 
     def fn(key, pdfs, state: GroupState):
         if state.hasTimedOut:
@@ -95,16 +83,19 @@ def _online(update, start: tuple, names: list[str], idle_ms: int | None):
             return
         carried = state.get if state.exists else (*start, None, 0)
         numbers, last, late = carried[:-2], carried[-2], carried[-1]
-        fresh, dropped = _in_order(pdfs, last)
+        pos, rows, values, dropped = _in_order(pdfs, last)
         late += dropped
-        if len(fresh):
-            columns, numbers = update(fresh, numbers, last is None)
-            last = int(fresh["position"].iloc[-1])
-        _keep(state, (*map(float, numbers), last, late), fresh, idle_ms)
-        if len(fresh):
-            head = {k: np.full(len(fresh), v, dtype=np.int64) for k, v in zip(KEYS, key)}
-            head |= {"row_id": fresh["row_id"].to_numpy(), "position": fresh["position"].to_numpy()}
-            yield pd.DataFrame({**head, "n_late": np.full(len(fresh), late), **dict(zip(names, columns.T))})
+        n = len(pos)
+        if n:
+            columns, numbers = update(values, numbers, last is None)
+            last = int(pos[-1])
+        state.update((*map(float, numbers), last, late))
+        if idle_ms is not None and n:
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+        if n:
+            head = {k: np.full(n, v, dtype=np.int64) for k, v in zip(KEYS, key)}
+            head |= {"row_id": rows, "position": pos, "n_late": np.full(n, late)}
+            yield pd.DataFrame({**head, **dict(zip(names, columns.T))})
 
     return fn
 
@@ -120,21 +111,22 @@ def stream_filter(stream: DataFrame, p: Params, watermark: str | None = None, id
     """Online chain filter; state: filtered probabilities and last position."""
     pi, a = np.array(p.pi), np.array(p.A)
 
-    def update(pdf, numbers, first):
-        out = np.empty((len(pdf), 4))
+    def update(log_b, numbers, first):
+        top = log_b.max(axis=1)
+        b = np.exp(log_b - top[:, None])
+        filt, scale = np.empty_like(b), np.empty(len(b))
         f = np.array(numbers)
-        for t, lb in enumerate(log_emissions(pdf, p)):
-            q = pi if first and t == 0 else f @ a
-            top = lb.max()
-            u = q * np.exp(lb - top)
-            c = u.sum()
-            f = u / c
-            out[t, :3], out[t, 3] = f, np.log(c) + top
-        return out, f
+        for t in range(len(b)):
+            u = (pi if first and t == 0 else f @ a) * b[t]
+            scale[t] = u.sum()
+            f = filt[t] = u / scale[t]
+        return np.column_stack([filt, np.log(scale) + top]), f
 
     names = ["f0", "f1", "f2"]
     fn = _online(update, (0.0, 0.0, 0.0), FILTER_COLUMNS, idle_ms)
-    return _stateful(stream, fn, ", ".join(f"{c} double" for c in FILTER_COLUMNS), _state_schema(names), watermark)
+    scored = emissions(stream, p)
+    logs = [F.col(c) for c in LOG_B]
+    return _stateful(scored, logs, fn, ", ".join(f"{c} double" for c in FILTER_COLUMNS), _state_schema(names), watermark)
 
 
 def stream_block(stream: DataFrame, p: Params, watermark: str | None = None, idle_ms: int | None = None) -> DataFrame:
@@ -142,8 +134,8 @@ def stream_block(stream: DataFrame, p: Params, watermark: str | None = None, idl
     log_w = np.log(np.array(p.class_weights))
     log_rho = np.log(np.array(p.rho))
 
-    def update(pdf, numbers, first):
-        joint = log_emissions(pdf, p)[:, None, :] + log_w[None]
+    def update(log_b, numbers, first):
+        joint = log_b[:, None, :] + log_w[None]
         mix = np.logaddexp.reduce(joint, axis=2)
         total = np.array(numbers) + np.cumsum(mix, axis=0)
         before = np.vstack([np.array(numbers)[None], total[:-1]])
@@ -155,20 +147,21 @@ def stream_block(stream: DataFrame, p: Params, watermark: str | None = None, idl
     names = ["s0", "s1", "s2"]
     cols = ["tau_0", "tau_1", "tau_2", "trial_ll"]
     fn = _online(update, (0.0, 0.0, 0.0), cols, idle_ms)
-    return _stateful(stream, fn, ", ".join(f"{c} double" for c in cols), _state_schema(names), watermark)
+    logs = [F.col(c) for c in LOG_B]
+    return _stateful(emissions(stream, p), logs, fn, ", ".join(f"{c} double" for c in cols), _state_schema(names), watermark)
 
 
 def stream_covariates(stream: DataFrame, watermark: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Online previous-trial covariates; state: last error, conflict and coherence."""
     names = ["x_prev_error", "x_prev_conflict", "x_prev_coherence"]
 
-    def update(pdf, numbers, first):
-        own = np.column_stack([pdf["error"].abs(), pdf["conflict"].abs(), pdf["motion_coherence"]])
+    def update(own, numbers, first):
         start = np.array([0.0, 0.0, own[0, 2]]) if first else np.array(numbers)
         return np.vstack([start[None], own[:-1]]), own[-1]
 
     fn = _online(update, (0.0, 0.0, 0.0), names, idle_ms)
-    return _stateful(stream, fn, ", ".join(f"{c} double" for c in names), _state_schema(["e", "c", "h"]), watermark)
+    own = [F.abs("error"), F.abs("conflict"), F.col("motion_coherence")]
+    return _stateful(stream, own, fn, ", ".join(f"{c} double" for c in names), _state_schema(["e", "c", "h"]), watermark)
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:
