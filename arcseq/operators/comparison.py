@@ -345,7 +345,7 @@ def representative(scores: DataFrame, model: str, baseline: str) -> DataFrame:
     wide = wide.withColumn("delta", F.col(model) - F.col(baseline))
     median = exact_quantiles(wide, [], F.col("delta"), {"median_delta": 0.5}, width=0.05)
     one = F.lit(1).alias("__one")
-    rows = wide.select(one, *SEQ, "delta").join(median.select(one, "*"), "__one").drop("__one")
+    rows = wide.select(one, *SEQ, "delta").join(F.broadcast(median.select(one, "*")), "__one").drop("__one")  # one row
     # one row survives map-side per task, so nothing is sorted
     key = F.struct(F.abs(F.col("delta") - F.col("median_delta")).alias("d"), *SEQ)
     return rows.agg(F.min_by(F.struct(*SEQ, "delta", "median_delta"), key).alias("r")).select("r.*")

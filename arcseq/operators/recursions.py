@@ -8,6 +8,7 @@ and exit vectors. Sequences of a single chunk skip the first pass.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from arcseq.operators.params import Params
 from arcseq.session import hold, ship
 
 FAN = 1024  # chunk products combined by one task
-CELLS = 2_000_000  # rows x fit keys handled by one kernel call
+CELLS = 400_000  # rows x fit keys handled by one kernel call (work arrays take about 400 bytes each)
 
 
 @dataclass
@@ -108,6 +109,12 @@ class KeySet:
         self.norm_p = log_norm(self.kappa_p)
         return self
 
+    def fan_out(self) -> int:
+        """Largest number of keys that one sequence can belong to."""
+        shared = sum(s is None for s in self.subject)
+        own = Counter(s for s in self.subject if s is not None)
+        return shared + max(own.values(), default=0)
+
     def members(self, subjects, folds):
         """(piece, key) index pairs for pieces with the given subject and fold values."""
         cache: dict = {}
@@ -314,7 +321,7 @@ def with_borders(
         return packed.df.withColumn("borders", F.lit(None).cast("array<double>"))
     seq = packed.keys
     keys = [*seq, "__k"]
-    n_keys = len(keyset.names)
+    n_keys = keyset.fan_out()
     cut = packed.df.groupBy(*packed.keys).agg(F.max(CHUNK).alias("__top"), F.min(CHUNK).alias("__low"))
     last = cut.agg(F.max("__top")).first()[0]
     cut = cut.filter(F.col("__top") > F.col("__low")).select(*packed.keys)
@@ -374,7 +381,7 @@ def run_kernel(
     packed: Packed, keyset: KeySet, fn: Callable, schema: str, x_cols: tuple = (), fold: str | None = None, **kw
 ) -> DataFrame:
     """Apply `fn(Batch) -> list of pyarrow arrays` to every slice of the packed table."""
-    n_keys = len(keyset.names)
+    n_keys = keyset.fan_out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in split_batches(batches, n_keys):

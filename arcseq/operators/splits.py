@@ -27,9 +27,9 @@ def group_folds(seqs: DataFrame, by: str, n: int = 4) -> DataFrame:
     """Whole groups (subject, session or prior width) to folds, largest groups first."""
     sizes = seqs.groupBy(by).agg(F.sum("n").alias("__size"))
     sizes = sizes.withColumns({"__all": F.lit(0), "__neg": -F.col("__size")})
-    ranked = rank_in_group(
-        sizes, ["__all"], ["__neg", by], F.format_string("%018d", F.lit(10**17) - F.col("__size")), "__r"
-    )
+    # equal sizes are common, so the intervals of the order also use the (non-negative) group id
+    fine = F.format_string("%018d %019d", F.lit(10**17) - F.col("__size"), F.floor(F.col(by) / 4096))
+    ranked = rank_in_group(sizes, ["__all"], ["__neg", by], fine, "__r")
     return seqs.join(ranked.select(by, ((F.col("__r") - 1) % n).cast("int").alias("fold")), by)
 
 

@@ -13,6 +13,7 @@ from arcseq.operators import scoring as sc
 from arcseq.operators import splits as sp
 from arcseq.operators import trial_table as tt
 from arcseq.operators.params import Params, params_to_json, values_table
+from arcseq.operators.quantiles import exact_quantiles
 from arcseq.plans import fixed
 from arcseq.plans.fixed import COH, MAIN, N_FOLDS, PRIOR, START
 from arcseq.plans.models import SEG, X, chain, covariate_chain, segment_rows, with_folds
@@ -586,9 +587,8 @@ def j10_attach_intervals(spark, sf):
 
     keys = ["covariate", "previous_state", "next_state"]
     point = sc.covariate_effects(subject_coefficients(spark, sf), ["subject_id"])
-    ci = point.filter(F.col("covariate") != "conflict").groupBy(*keys).agg(
-        F.percentile("delta_plus_minus", F.lit(0.025)).alias("ci_low"), F.percentile("delta_plus_minus", F.lit(0.975)).alias("ci_high")
-    )
+    some = point.filter(F.col("covariate") != "conflict")
+    ci = exact_quantiles(some, keys, F.col("delta_plus_minus"), {"ci_low": 0.025, "ci_high": 0.975}, 1e-4)
     out = attach_intervals(point, ci, keys)
     return out.select("subject_id", *keys, *rr("delta_plus_minus", "ci_low", "ci_high"))
 

@@ -31,7 +31,7 @@ def s1_scan(spark, sf):
 @register
 def s1_row_numbers(spark, sf):
     ev = src.read_events(spark, sf).select("ts", "event_id", "value")
-    return src.number_rows(ev, ["ts", "event_id"], F.date_format("ts", "ddHHmm")).select("row_id", "event_id", r("value"))
+    return src.number_rows(ev, ["ts", "event_id"], F.date_format("ts", "yyyyMMddHHmm")).select("row_id", "event_id", r("value"))
 
 
 @register

@@ -118,7 +118,7 @@ def trials_from_events(events: DataFrame) -> DataFrame:
         run_of(F.col("ts")).alias("run_id"),
     )
     numbered = rank_in_group(
-        base, ["subject_id", "session_id", "run_id"], ["ts", "event_id"], F.date_format("ts", "ddHHmm"), "trial_index"
+        base, ["subject_id", "session_id", "run_id"], ["ts", "event_id"], F.date_format("ts", "yyyyMMddHHmm"), "trial_index"
     )
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return respond(numbered).select(
