@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import SPACES, WORD_BREAK, hex_number, text_of
+from arcseq.llm.common import SPACES, hex_number, text_of
 from arcseq.session import stage
 
 MIN_WORDS = 50
@@ -39,8 +39,7 @@ def bound(value: Column, use) -> Column:
 
 
 def words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_BREAK))
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]+", " "), " "), "")
 
 
 def window_hashes(w: str) -> Column:
@@ -66,7 +65,7 @@ def repeated_words(hashes: str) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
 
 
 def line_hashes(text: Column) -> Column:
