@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcseq.llm import mixing, quality_rules
+from arcseq.llm import mixing, packing, quality_rules, repair_files, simhash_dedup
 from arcseq.llm.common import table
 from arcseq.session import ship
 
@@ -15,6 +15,18 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_repair_token_files(spark, sf_dir):
+    return repair_files.write_and_read(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_duplicates(spark, sf_dir):
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_pack_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def _shipped(fn):
     def run(spark, sf_dir):
         ship(spark)
@@ -24,5 +36,8 @@ def _shipped(fn):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_quality_rules, op2_mix_sources)}
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (op1_quality_rules, op2_mix_sources, op4_repair_token_files, op5_simhash_near_duplicates, op8_pack_sequences)
+}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_mix_sources": mixing.oracle()}
