@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcseq.llm import mixing, packing, quality_rules, repair_files, simhash_dedup
+from arcseq.llm import line_crf, mixing, packing, quality_rules, repair_files, simhash_dedup, toxicity_pu, warc_salvage
 from arcseq.llm.common import table
 from arcseq.session import ship
 
@@ -15,6 +15,10 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_repair_token_files(spark, sf_dir):
     return repair_files.write_and_read(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,14 @@ def op5_simhash_near_duplicates(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_salvage(spark, sf_dir):
+    return warc_salvage.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,9 @@ def _shipped(fn):
     return run
 
 
-QUERIES = {
-    f.__name__: _shipped(f)
-    for f in (op1_quality_rules, op2_mix_sources, op4_repair_token_files, op5_simhash_near_duplicates, op8_pack_sequences)
-}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_mix_sources": mixing.oracle()}
+_ALL = (
+    op1_quality_rules, op2_mix_sources, op3_quality_classifier, op4_repair_token_files, op5_simhash_near_duplicates, op6_toxicity,
+    op7_warc_salvage, op8_pack_sequences,
+)
+QUERIES = {f.__name__: _shipped(f) for f in _ALL}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_mix_sources": mixing.oracle(), "op7_warc_salvage": warc_salvage.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcseq.llm import mixing, quality_rules
+from arcseq.llm import line_crf, mixing, packing, quality_rules, simhash_dedup
 from arcseq.llm.common import table
 from arcseq.session import ship, stage
 
@@ -14,12 +14,33 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.keep_documents(docs)
 
 
+def drop_bad_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier takes for good."""
+    return line_crf.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash_dedup.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as it is taken."""
     return mixing.emit(docs)
 
 
-STAGES = [("quality rules", drop_low_quality), ("mix", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("quality classifier", drop_bad_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
 #: The classifier and the tokenizer have no SQL form; the tests hold the run against a plain version.
 ORACLE_SQL = None
