@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcseq.llm import line_crf, mixing, packing, quality_rules, repair_files, simhash_dedup, toxicity_pu, warc_salvage
+from arcseq.llm import license_scan, line_crf, mixing, packing, quality_rules, repair_files, simhash_dedup, toxicity_pu, vector_search, warc_salvage
 from arcseq.llm.common import table
 from arcseq.session import ship
 
@@ -39,6 +39,14 @@ def op8_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_search(spark, sf_dir):
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def _shipped(fn):
     def run(spark, sf_dir):
         ship(spark)
@@ -50,7 +58,7 @@ def _shipped(fn):
 
 _ALL = (
     op1_quality_rules, op2_mix_sources, op3_quality_classifier, op4_repair_token_files, op5_simhash_near_duplicates, op6_toxicity,
-    op7_warc_salvage, op8_pack_sequences,
+    op7_warc_salvage, op8_pack_sequences, op9_vector_search, op10_license_scan,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_mix_sources": mixing.oracle(), "op7_warc_salvage": warc_salvage.ORACLE}
