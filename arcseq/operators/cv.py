@@ -146,7 +146,7 @@ def run_cv(
             df.sparkSession,
             ["model", "fit_key", label, "subject_id", "n_train", "train_ll", "n_iter", "converged"],
             [
-                (m, i, f.key[label], f.key.get("subject_id") or -1, f.n_rows, f.train_ll, len(f.history), f.converged)
+                (m, i, f.key[label], -1 if f.key.get("subject_id") is None else f.key["subject_id"], f.n_rows, f.train_ll, len(f.history), f.converged)
                 for i, f in enumerate(fits)
             ],
         )

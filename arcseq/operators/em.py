@@ -462,7 +462,7 @@ def chain_step(
             x = b.design()
             for k in np.unique(b.row_key):
                 rows = np.flatnonzero(b.row_key == k)
-                q[k], grad[k], hess[k] = row_curvature(x[rows], xi[rows], at_B[k])
+                q[k], grad[k], hess[k] = logit_sums(x[rows], xi[rows], at_B[k])
             parts += [q, grad.reshape(n_keys, -1), hess.reshape(n_keys, -1)]
         seen = np.bincount(b.key, minlength=n_keys) > 0
         return _emit(np.concatenate(parts, axis=1), seen)
@@ -470,24 +470,29 @@ def chain_step(
     return _sum_slots(packed, keyset, fn, shapes, x_cols, fold)
 
 
-def row_curvature(x, xi, beta):
-    """Objective, gradient and Hessian of the weighted logit of each previous state (last class is zero)."""
-    p_dim = x.shape[1]
-    q, grad, hess = np.zeros(3), np.zeros((3, 2 * p_dim)), np.zeros((3, 2 * p_dim, 2 * p_dim))
-    for i in range(3):
-        logits = np.column_stack([x @ beta[i].reshape(2, p_dim).T, np.zeros(len(x))])
-        top = logits.max(axis=1, keepdims=True)
-        log_p = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-        p = np.exp(log_p)
-        counts = xi[:, i, :]
-        w = counts.sum(axis=1)
-        q[i] = -(counts * log_p).sum()
-        grad[i] = ((w[:, None] * p[:, :2] - counts[:, :2]).T @ x).reshape(-1)
-        for a in range(2):
-            for c in range(2):
-                weight = w * p[:, a] * ((a == c) - p[:, c])
-                hess[i, a * p_dim : (a + 1) * p_dim, c * p_dim : (c + 1) * p_dim] = x.T @ (weight[:, None] * x)
-    return q, grad, hess
+def logit_moments(x, counts, v):
+    """Of weighted logits of the next class from each previous class (the last class has score zero): objective, probabilities
+    of the other classes, expected minus seen counts, and covariance of the classes, the last three by row.
+
+    `counts` is rows x previous x next, `v` previous x (other classes * columns of x).
+    """
+    other = v.reshape(v.shape[0], -1, x.shape[1])
+    score = np.pad(np.einsum("np,iap->nia", x, other), ((0, 0), (0, 0), (0, 1)))
+    log_p = score - np.logaddexp.reduce(score, axis=2, keepdims=True)
+    p = np.exp(log_p[..., :-1])
+    mass = counts.sum(axis=2, keepdims=True)
+    excess = mass * p - counts[..., :-1]
+    covariance = mass[..., None] * (p[..., None] * np.eye(p.shape[2]) - p[..., None] * p[..., None, :])
+    return -np.einsum("nij,nij->i", counts, log_p), p, excess, covariance
+
+
+def logit_sums(x, counts, v):
+    """Objective, gradient and Hessian of `logit_moments`, summed over rows."""
+    q, _, excess, covariance = logit_moments(x, counts, v)
+    n, size = v.shape
+    gradient = np.einsum("nia,np->iap", excess, x, optimize=True).reshape(n, size)
+    hessian = np.einsum("niab,np,nr->iapbr", covariance, x, x, optimize=True).reshape(n, size, size)
+    return q, gradient, hessian
 
 
 def fit_hmm(
@@ -550,6 +555,9 @@ def fit_covariate_hmm(
                 break
             v = v - move
             sums = chain_step(packed, m, fold, x_cols, at_B=v)
+        if v is not best:  # the last candidate counts only where it is no worse than the best one checked
+            value = sums["q"] + 0.5 * l2 * (v**2).sum(axis=-1)
+            v = np.where((value <= cost + 1e-9 * np.abs(cost))[..., None], v, best)
         return {**first, "new_B": centred_rows(v, m.extra["B"].shape[-1])}
 
     def update(m: Model, sums: dict) -> Model:

@@ -26,6 +26,16 @@ def _window(parts: list[str], by: list[str], backward: bool = False):
     return Window.partitionBy(*parts).orderBy(*[F.desc(c) if backward else F.asc(c) for c in by])
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null equals a null; the keys come from the left."""
+    own = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    joined = left.join(own, met, how)
+    return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -51,7 +61,7 @@ def running(
         inclusive=False,
         backward=backward,
     ).drop(*outs)
-    joined = local.join(carry, keys + pieces)
+    joined = same_keys(local, carry, keys + pieces)
     return joined.withColumns(
         {n: _combine(k, F.col(n), F.col(f"__{n}")) for n, (k, _) in outs.items()}
     ).drop(*[f"__{n}" for n in outs])
@@ -69,7 +79,7 @@ def previous(
     rank = F.col(by[0]) if len(by) == 1 else F.struct(*by)
     lasts = df.groupBy(*keys, *pieces).agg(*[F.max_by(c, rank).alias(n) for n, c in outs.items()])
     carry = previous(lasts, keys, pieces[:-1], [pieces[-1]], {f"__{n}": F.col(n) for n in outs}).drop(*outs)
-    joined = local.join(carry, keys + pieces)
+    joined = same_keys(local, carry, keys + pieces)
     return joined.withColumns(
         {n: F.when(F.col("__head"), F.col(f"__{n}")).otherwise(F.col(n)) for n in outs}
     ).drop("__head", *[f"__{n}" for n in outs])
@@ -99,7 +109,7 @@ def in_sequence(
         F.sum("__n").over(Window.partitionBy(*keys)).alias(length),
         *[F.lag(f"__{n}").over(wk).alias(f"__{n}") for n in prev],
     )
-    joined = local.join(carry, keys + [piece])
+    joined = same_keys(local, carry, keys + [piece])
     return joined.withColumns(
         {
             **{n: F.when(F.col(pos) == 1, F.col(f"__{n}")).otherwise(F.col(n)) for n in prev},
@@ -109,27 +119,23 @@ def in_sequence(
 
 
 def spread(df: DataFrame, keys: list[str], fine: Column, name: str, limit: int | None = None) -> DataFrame:
-    """Add a piece column: `fine` for groups above `limit` rows, one shared piece for all others.
+    """Add a piece column: `fine` for groups above `limit` rows, null (one piece) for all others.
 
-    `fine` must be a string that sorts like the order in use. There are at most rows/limit hot groups, so
-    the joined table is small; Spark broadcasts it only below its size threshold.
+    `fine` must never fall as the order in use rises; a null comes first, as it does in the order. There are at most
+    rows/limit hot groups, so the joined table is small; Spark broadcasts it only below its size threshold.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > (limit or columns.HOT_GROUP_ROWS))
     hot = hot.select(*keys, F.lit(True).alias("__hot"))
-    return (
-        df.join(hot, keys, "left")
-        .withColumn(name, F.when(F.col("__hot"), fine).otherwise(F.lit("")))
-        .drop("__hot")
-    )
+    return same_keys(df, hot, keys, "left").withColumn(name, F.when(F.col("__hot"), fine)).drop("__hot")
 
 
 def rank_in_group(df: DataFrame, keys: list[str], by: list[str], fine: Column, name: str) -> DataFrame:
-    """Row number per group for groups of any size; `fine` is a coarse string key of the order."""
+    """Row number per group for groups of any size; `fine` is a coarse key of the order."""
     cut = spread(df, keys, fine, "__piece")
     return running(cut, keys, ["__piece"], by, {name: ("sum", F.lit(1).cast("long"))}).drop("__piece")
 
 
-def per_chunk(table: DataFrame, last_chunk: str, chunk: str = "chunk") -> DataFrame:
-    """Repeat one row per sequence for each of its chunks, so that joining it to rows on
-    (sequence, chunk) does not gather a long sequence in one task."""
-    return table.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(last_chunk)))).drop(last_chunk)
+def per_chunk(table: DataFrame, chunks: str = "chunks", chunk: str = "chunk") -> DataFrame:
+    """Repeat one row per sequence for each chunk that the sequence has (the array `chunks`), so that joining it to rows
+    on (sequence, chunk) does not gather a long sequence in one task."""
+    return table.withColumn(chunk, F.explode(F.col(chunks))).drop(chunks)

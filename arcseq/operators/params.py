@@ -61,7 +61,14 @@ def attach_params(df: DataFrame, params: Params) -> DataFrame:
     spark = df.sparkSession
     ks = level_params(spark, params.kappa_s, "motion_coherence", "s")
     kp = level_params(spark, params.kappa_p, "prior_std", "p")
-    return df.join(F.broadcast(ks), "motion_coherence").join(F.broadcast(kp), "prior_std")
+    wide = df.join(F.broadcast(ks), "motion_coherence", "left").join(F.broadcast(kp), "prior_std", "left")
+    return wide.withColumns({"kappa_s": known("kappa_s", "motion_coherence"), "kappa_p": known("kappa_p", "prior_std")})
+
+
+def known(value: str, level: str) -> Column:
+    """The value looked up for a level; a level without one is an error, not a lost row."""
+    told = F.concat(F.lit(f"no parameters for {level} "), F.coalesce(F.col(level).cast("string"), F.lit("NULL")))
+    return F.when(F.col(value).isNull(), F.raise_error(told).cast("double")).otherwise(F.col(value))
 
 
 def params_to_json(cols: dict[str, Column]) -> Column:

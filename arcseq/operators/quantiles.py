@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcseq import columns
-from arcseq.operators.ordered import running
+from arcseq.operators.ordered import running, same_keys
 
 
 def exact_quantiles(
@@ -16,6 +16,7 @@ def exact_quantiles(
 
     Equal values are merged first (map-side), then ranked through cumulative counts, and the two neighbours
     of each quantile position are picked by rank. Large groups are ranked interval by interval (`width`).
+    NaN ranks above every number, in groups of any size.
     """
     if not keys:
         return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, width).drop("__all")
@@ -26,8 +27,8 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    piece = F.when(F.col("__n") > columns.HOT_GROUP_ROWS, F.floor(F.col("__v") / F.lit(float(width)))).otherwise(0)
-    sized = counts.join(sizes, keys).withColumn("__piece", piece)
+    piece = F.when(F.col("__n") > columns.HOT_GROUP_ROWS, F.round(F.col("__v") / F.lit(float(width)), 0)).otherwise(0.0)
+    sized = same_keys(counts, sizes, keys).withColumn("__piece", piece)
     joined = running(sized, keys, ["__piece"], ["__v"], {"__cum": ("sum", F.col("__c"))})
     picks = []
     for i, p in enumerate(probs.values()):

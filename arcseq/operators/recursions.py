@@ -40,7 +40,9 @@ class Packed:
 
 
 def index_of(levels: list[float], col: str):
-    return (F.array_position(F.array(*[F.lit(float(v)) for v in levels]), F.col(col)) - 1).cast("int")
+    at = F.array_position(F.array(*[F.lit(float(v)) for v in levels]), F.col(col).cast("double"))
+    told = F.concat(F.lit(f"no parameters for {col} "), F.coalesce(F.col(col).cast("string"), F.lit("NULL")))
+    return F.when(F.coalesce(at, F.lit(0)) == 0, F.raise_error(told).cast("int")).otherwise((at - 1).cast("int"))
 
 
 def pack(

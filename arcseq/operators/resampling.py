@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcseq.columns import COVARIATES, SEQ, STATES
 from arcseq.functions.hashing import as_int, digest
-from arcseq.operators.em import centred_rows, free_rows, row_curvature
-from arcseq.operators.kernels import softmax_rows
+from arcseq.operators.em import centred_rows, free_rows, logit_moments
+from arcseq.operators.kernels import segment_sum, softmax_rows
 from arcseq.operators.ordered import rank_in_group
-from arcseq.operators.params import values_table
 from arcseq.operators.recursions import Batch, KeySet, Packed, entry_exit, read_borders, run_kernel
+from arcseq.session import stage
 
-DRAW_LIMIT = 200_000_000  # draws x units that are sampled by index; above, units are sampled in buckets
-BUCKETS = 4096
 
 
 def paired_differences(scores: DataFrame, baseline: str) -> DataFrame:
@@ -42,39 +39,9 @@ def _indexed_draws(units: DataFrame, order: list[str], values: list[str], n: int
     return counted.join(ranked, "i").groupBy("draw").agg(*[F.sum(F.col("c") * F.col(v)).alias(v) for v in values])
 
 
-def _bucketed_draws(units: DataFrame, order: list[str], values: list[str], n: int, draws: int, seed: int) -> DataFrame:
-    """The same resampling for many units, without a row per draw and unit.
-
-    The units are hashed to buckets; how many of the n picks of a draw fall in each bucket is multinomial
-    in the bucket sizes, and the picks inside a bucket are multinomial over its units.
-    """
-    spark = units.sparkSession
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")
-    keyed = units.select(bucket.alias("bucket"), *order, *[F.col(v).cast("double").alias(v) for v in values])
-    sizes = np.zeros(BUCKETS)
-    for row in keyed.groupBy("bucket").count().collect():  # at most BUCKETS rows
-        sizes[row["bucket"]] = row["count"]
-    share = np.random.default_rng(seed).multinomial(n, sizes / sizes.sum(), size=draws)
-    share = spark.sparkContext.broadcast(share)
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
-        rng = np.random.default_rng([seed, b])
-        x = pdf.sort_values(order)[values].to_numpy()
-        total = np.empty((draws, len(values)))
-        for d in range(draws):
-            total[d] = np.bincount(rng.integers(0, len(x), share.value[d, b]), minlength=len(x)) @ x
-        return pd.DataFrame(total, columns=values).assign(draw=np.arange(draws))
-
-    schema = ", ".join(f"{v} double" for v in values) + ", draw bigint"
-    return keyed.groupBy("bucket").applyInPandas(inside, schema).groupBy("draw").agg(*[F.sum(v).alias(v) for v in values])
-
-
-def resample(units: DataFrame, order: list[str], values: list[str], draws: int, seed: int, limit: int = DRAW_LIMIT) -> DataFrame:
-    """Sums of the values over n units drawn with replacement, one row per draw."""
-    n = units.count()
-    how = _indexed_draws if n * draws <= limit else _bucketed_draws
-    return how(units, order, values, n, draws, seed)
+def resample(units: DataFrame, order: list[str], values: list[str], draws: int, seed: int) -> DataFrame:
+    """Sums of the values over n units drawn with replacement, one row per draw; one sampler for every size."""
+    return _indexed_draws(units, order, values, units.count(), draws, seed)
 
 
 def _interval(stat: str) -> list:
@@ -86,12 +53,12 @@ def _interval(stat: str) -> list:
     ]
 
 
-def bootstrap_diff(scores: DataFrame, baseline: str, models: list[str], draws: int, seed: int = 42, limit: int = DRAW_LIMIT) -> DataFrame:
+def bootstrap_diff(scores: DataFrame, baseline: str, models: list[str], draws: int, seed: int = 42) -> DataFrame:
     """Cluster bootstrap of the LL difference per trial; all models share the drawn sequences."""
     diffs = paired_differences(scores, baseline)
     wide = diffs.groupBy("fold", *SEQ).pivot("model", models).agg(F.first("x"))
     wide = wide.join(diffs.groupBy("fold", *SEQ).agg(F.first("n_test").alias("n_test")), ["fold", *SEQ])
-    sums = resample(wide, ["fold", *SEQ], [*models, "n_test"], draws, seed, limit)
+    sums = resample(wide, ["fold", *SEQ], [*models, "n_test"], draws, seed)
     long = sums.unpivot(["draw", "n_test"], models, "model", "x").withColumn("stat", F.col("x") / F.col("n_test"))
     boot = long.groupBy("model").agg(*_interval("stat"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_delta_le_0"))
     observed = diffs.groupBy("model").agg(
@@ -100,9 +67,9 @@ def bootstrap_diff(scores: DataFrame, baseline: str, models: list[str], draws: i
     return observed.join(boot, "model").withColumn("baseline", F.lit(baseline))
 
 
-def bootstrap_ll(scores: DataFrame, keys: list[str], draws: int, seed: int = 43, limit: int = DRAW_LIMIT) -> DataFrame:
+def bootstrap_ll(scores: DataFrame, keys: list[str], draws: int, seed: int = 43) -> DataFrame:
     """Cluster bootstrap of the absolute LL per trial."""
-    sums = resample(scores, keys, ["test_ll", "n_test"], draws, seed, limit)
+    sums = resample(scores, keys, ["test_ll", "n_test"], draws, seed)
     stat = sums.withColumn("stat", F.col("test_ll") / F.col("n_test"))
     return stat.agg(
         F.percentile("stat", F.lit(0.025)).alias("bootstrap_ci_low"),
@@ -111,10 +78,10 @@ def bootstrap_ll(scores: DataFrame, keys: list[str], draws: int, seed: int = 43,
     )
 
 
-def bootstrap_subjects(deltas: DataFrame, comparisons: list[str], draws: int, seed: int = 44, limit: int = DRAW_LIMIT) -> DataFrame:
+def bootstrap_subjects(deltas: DataFrame, comparisons: list[str], draws: int, seed: int = 44) -> DataFrame:
     """Bootstrap over subjects of the mean delta of each named comparison."""
     wide = deltas.groupBy("subject_id").pivot("comparison", comparisons).agg(F.first("delta")).withColumn("one", F.lit(1.0))
-    sums = resample(wide, ["subject_id"], [*comparisons, "one"], draws, seed, limit)
+    sums = resample(wide, ["subject_id"], [*comparisons, "one"], draws, seed)
     long = sums.unpivot(["draw", "one"], comparisons, "comparison", "x").withColumn("stat", F.col("x") / F.col("one"))
     boot = long.groupBy("comparison").agg(*_interval("stat")[:2])
     point = deltas.groupBy("comparison").agg(
@@ -123,22 +90,17 @@ def bootstrap_subjects(deltas: DataFrame, comparisons: list[str], draws: int, se
     return point.join(boot, "comparison")
 
 
-def effect_intervals(
-    packed: Packed, keyset: KeySet, x_cols: tuple, draws: int = 200, seed: int = 42, l2: float = 1.0
-) -> DataFrame:
-    """Multiplier bootstrap over sequences of the +-1 SD covariate effects, posteriors held fixed.
+def normal(*parts) -> Column:
+    """Standard normal number of the parts, from two uniform ones (Box-Muller)."""
+    u = [(as_int(digest(*parts, half)) + 0.5) / F.lit(float(1 << 32)) for half in ("a", "b")]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
 
-    Each task reduces its sequences to sums of multiplier x score per draw (draws x 42 numbers), so nothing
-    that grows with the sequences leaves the executors.
-    """
-    B = keyset.B[0]
+
+def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple) -> DataFrame:
+    """n, score (gradient of the transition logits) and curvature of every chunk, as arrays."""
     v = free_rows(keyset.B)[0]
-    p_dim = B.shape[-1]
-    free = 2 * p_dim
-    width = 3 * free
-    state_cols = [f"s{i}" for i in range(width)]
 
-    def scores_of(b: Batch):
+    def fn(b: Batch):
         chain = b.chain()
         pi = keyset.pi[b.key]
         pre, suf, _ = read_borders(b)
@@ -146,73 +108,54 @@ def effect_intervals(
         _, filt, scale, _ = chain.forward(b.start(chain, pi, entry))
         xi = chain.xi(filt, chain.backward(scale, leave), entry, b.rg.starts[b.fresh])
         xi[b.rg.starts[b.fresh]] = 0.0
-        return b.design(), xi
-
-    def per_chunk(b: Batch):
-        x, xi = scores_of(b)
-        out = np.zeros((len(b.piece), width))
-        for i in range(3):
-            logits = np.column_stack([x @ v[i].reshape(2, p_dim).T, np.zeros(len(x))])
-            p = softmax_rows(logits)
-            resid = xi[:, i, :2] - xi[:, i, :].sum(axis=1, keepdims=True) * p[:, :2]
-            rows = (resid[:, :, None] * x[:, None, :]).reshape(len(x), free)
-            for c in range(free):
-                out[:, i * free + c] = np.bincount(b.rg.piece, weights=rows[:, c], minlength=len(b.piece))
+        x = b.design()
+        _, _, excess, covariance = logit_moments(x, xi, v)
+        score = segment_sum(-(excess[..., None] * x[:, None, None, :]).reshape(len(x), -1), b.rg)
+        curvature = np.zeros((len(b.piece), v.size * v.shape[1]))
+        for k, (lo, n) in enumerate(zip(b.rg.starts, b.rg.lens)):
+            own = slice(lo, lo + n)
+            curvature[k] = np.einsum("niab,np,nr->iapbr", covariance[own], x[own], x[own], optimize=True).ravel()
         at = pa.array(b.piece)
-        arrays = [b.column(k).take(at) for k in SEQ] + [pa.array(b.rg.lens)]
-        return [*SEQ, "n", *state_cols], [*arrays, *[pa.array(np.ascontiguousarray(out[:, i])) for i in range(width)]]
-
-    def curvature(b: Batch):
-        x, xi = scores_of(b)
-        hess = row_curvature(x, xi, v)[2].reshape(1, -1)
-        return [f"h{i}" for i in range(hess.shape[1])], [pa.array(hess[:, i]) for i in range(hess.shape[1])]
-
-    h_cols = [f"h{i}" for i in range(3 * free * free)]
-    hess_rows = run_kernel(packed, keyset, curvature, ", ".join(f"{c} double" for c in h_cols), x_cols)
-    hess = np.array([float(s) for s in hess_rows.agg(*[F.sum(c) for c in h_cols]).first()]).reshape(3, free, free)
-    schema = "subject_id bigint, session_id bigint, run_id bigint, n bigint, " + ", ".join(f"{c} double" for c in state_cols)
-    per_seq = run_kernel(packed, keyset, per_chunk, schema, x_cols).groupBy(*SEQ).agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in state_cols]
-    ).filter(F.col("n") > 1)
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, plain = np.zeros((draws, width + 1)), 0, np.zeros(width)
-        for pdf in batches:
-            s = pdf[state_cols].to_numpy()
-            for key, row in zip(pdf[SEQ].itertuples(index=False), s):
-                g = np.random.default_rng([seed, *map(int, key)]).normal(size=draws)
-                total[:, :width] += g[:, None] * row
-                total[:, width] += g
-            plain += s.sum(axis=0)
-            n += len(pdf)
-        if n:
-            out = pd.DataFrame(total, columns=[*state_cols, "g"]).assign(draw=np.arange(draws), seqs=0)
-            yield pd.concat([out, pd.DataFrame([[*plain, 0.0, -1, n]], columns=out.columns)], ignore_index=True)
-
-    cols = [*state_cols, "g"]
-    summed = per_seq.mapInPandas(weigh, ", ".join(f"{c} double" for c in cols) + ", draw bigint, seqs bigint")
-    rows = summed.groupBy("draw").agg(*[F.sum(c).alias(c) for c in [*cols, "seqs"]]).toPandas().set_index("draw")
-    n_seq = int(rows.loc[-1, "seqs"])
-    mean = rows.loc[-1, state_cols].to_numpy(dtype=float) / n_seq
-    body = rows.drop(index=-1).sort_index()
-    score = body[state_cols].to_numpy() - body[["g"]].to_numpy() * mean
-    out = []
-    effects = np.empty((draws, 3, 3, p_dim - 1))
-    for i in range(3):
-        inverse = np.linalg.pinv(hess[i] + l2 * np.eye(free), rcond=1e-10)
-        beta = v[i] + score[:, i * free : (i + 1) * free] @ inverse.T
-        effects[:, i] = _effects(centred_rows(beta[:, None, :], p_dim)[:, 0])
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in (score, curvature)]
+        return [*SEQ, "n", "score", "curvature"], [*[b.column(k).take(at) for k in SEQ], pa.array(b.rg.lens), *lists]
+
+    schema = "subject_id bigint, session_id bigint, run_id bigint, n bigint, score array<double>, curvature array<double>"
+    return run_kernel(packed, keyset, fn, schema, x_cols)
+
+
+def effect_intervals(packed: Packed, keyset: KeySet, x_cols: tuple, draws: int = 200, seed: int = 42, l2: float = 1.0) -> DataFrame:
+    """Multiplier bootstrap over sequences of the +-1 SD covariate effects, posteriors held fixed.
+
+    A draw moves the transition coefficients by one Newton step of the score that its normal multipliers give. Spark sums
+    multiplier x centred score per draw; what reaches the driver is one short row for each draw.
+    """
+    B = keyset.B[0]
+    v = free_rows(keyset.B)[0]
+    chunks = stage(transition_scores(packed, keyset, x_cols), "transition-scores")
+    summed = lambda name, size: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(size)]).alias(name)
+    curvature = np.array(chunks.agg(summed("curvature", v.size * v.shape[1])).first()[0]).reshape(len(v), v.shape[1], -1)
+    units = chunks.groupBy(*SEQ).agg(F.sum("n").alias("n"), summed("score", v.size)).filter("n > 1")
+    units = stage(units, "transition-units")
+    n_units, *total = units.agg(F.count(F.lit(1)), *[F.sum(F.get("score", F.lit(i))) for i in range(v.size)]).first()
+    mean = np.array(total) / max(n_units, 1)
+    each = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    each = each.withColumn("g", normal(seed, *[F.col(k) for k in SEQ], F.col("draw")))
+    moved = each.groupBy("draw").agg(F.array(*[F.sum(F.col("g") * (F.get("score", F.lit(i)) - float(mean[i]))) for i in range(v.size)]).alias("score"))
+    told = moved.orderBy("draw").collect()  # one row for each draw
+    pull = np.array([r["score"] for r in told]).reshape(len(told), *v.shape)
+    step = np.linalg.solve(curvature + l2 * np.eye(v.shape[1]), np.moveaxis(pull, 0, -1))
+    drawn = _effects(centred_rows(v + np.moveaxis(step, -1, 0), B.shape[-1]))
     point = _effects(B)
-    for c, name in enumerate(COVARIATES):
-        for i, a in enumerate(STATES):
-            for j, t in enumerate(STATES):
-                d = effects[:, i, j, c]
-                le0 = float((d <= 0).mean())
-                low, high = np.quantile(d, [0.025, 0.975])
-                out.append((name, a, t, point[i, j, c], low, high, d.mean(), d.std(ddof=1), le0, 2 * min(le0, 1 - le0), n_seq))
-    names = ["covariate", "previous_state", "next_state", "delta_plus_minus", "ci_low", "ci_high", "bootstrap_mean", "bootstrap_sd",
-             "p_effect_le_0", "p_two_sided", "n_sequences"]
-    return values_table(packed.df.sparkSession, names, out)
+    names = [(c, i, j) for c in range(len(COVARIATES)) for i in range(len(STATES)) for j in range(len(STATES))]
+    spark = packed.df.sparkSession
+    label = lambda c, i, j: (COVARIATES[c], STATES[i], STATES[j])
+    keys = ["covariate", "previous_state", "next_state"]
+    schema = ", ".join(f"{k} string" for k in keys)
+    stats = spark.createDataFrame([(*label(c, i, j), float(x)) for c, i, j in names for x in drawn[:, i, j, c]], schema + ", stat double")
+    boot = stats.groupBy(*keys).agg(*_interval("stat"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_effect_le_0"))
+    observed = spark.createDataFrame([(*label(c, i, j), float(point[i, j, c])) for c, i, j in names], schema + ", delta_plus_minus double")
+    two_sided = 2 * F.least(F.col("p_effect_le_0"), 1 - F.col("p_effect_le_0"))
+    return observed.join(boot, keys).withColumns({"p_two_sided": two_sided, "n_sequences": F.lit(n_units)})
 
 
 def _effects(B):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcseq.columns import CHUNK, COVARIATES, LOG_TWO_PI, PAIRS, SEQ, STATES, TRANSITIONS
 from arcseq.functions import circular as C
-from arcseq.operators.ordered import per_chunk, running
+from arcseq.operators.ordered import per_chunk, running, same_keys
 from arcseq.operators.params import Params, attach_params, values_table
 from arcseq.operators.trial_table import X_COLS
 
@@ -73,8 +73,8 @@ def state_map(df: DataFrame, cols: list[str] = FILT, out: str = "state_map_filte
 def cumulative_ll(scores: DataFrame, keys: list[str] = SEQ, order: str = "pos") -> DataFrame:
     """Running LL within the sequence and the sequence total."""
     out = running(scores, keys, [CHUNK], [order], {"sequence_cumulative_ll": ("sum", F.col("trial_ll"))})
-    totals = scores.groupBy(*keys).agg(F.sum("trial_ll").alias("sequence_ll"), F.max(CHUNK).alias("__last"))
-    return out.join(per_chunk(totals, "__last"), [*keys, CHUNK])
+    totals = scores.groupBy(*keys).agg(F.sum("trial_ll").alias("sequence_ll"), F.collect_set(CHUNK).alias("chunks"))
+    return same_keys(out, per_chunk(totals), [*keys, CHUNK])
 
 
 def predictive_moments(df: DataFrame) -> DataFrame:
@@ -268,18 +268,18 @@ def block_posterior(df: DataFrame, params: Params, keys: list[str]) -> DataFrame
     """Class posterior of each block from all its trials."""
     n = range(len(params.rho))
     sums = _block_logs(df, params).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trials"), F.max(CHUNK).alias("last_chunk"), *[F.sum(f"mix_{c}").alias(f"s_{c}") for c in n]
+        F.count(F.lit(1)).alias("n_trials"), F.collect_set(CHUNK).alias("chunks"), *[F.sum(f"mix_{c}").alias(f"s_{c}") for c in n]
     )
     logs = [C.dbl(float(np.log(params.rho[c]))) + F.col(f"s_{c}") for c in n]
     return sums.select(
-        *keys, "n_trials", "last_chunk", C.logsumexp(logs).alias("block_ll"), *[t.alias(f"tau_{c}") for c, t in enumerate(C.softmax(logs))]
+        *keys, "n_trials", "chunks", C.logsumexp(logs).alias("block_ll"), *[t.alias(f"tau_{c}") for c, t in enumerate(C.softmax(logs))]
     )
 
 
 def block_responsibilities(df: DataFrame, params: Params, keys: list[str]) -> DataFrame:
     """Trial state posteriors averaged over the block's class posterior."""
-    post = per_chunk(block_posterior(df, params, keys).drop("n_trials", "block_ll"), "last_chunk")
-    joined = emissions(df, params).join(post, [*keys, CHUNK])
+    post = per_chunk(block_posterior(df, params, keys).drop("n_trials", "block_ll"))
+    joined = same_keys(emissions(df, params), post, [*keys, CHUNK])
     parts = []
     for c, w in enumerate(params.class_weights):
         parts.append(C.softmax([C.dbl(float(np.log(x))) + F.col(b) for x, b in zip(w, LOG_B)]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcseq.columns import CHUNK, ORDER, SEQ
 from arcseq.functions.hashing import as_int, digest
-from arcseq.operators.ordered import in_sequence, per_chunk, rank_in_group, running
+from arcseq.operators.ordered import in_sequence, per_chunk, rank_in_group, running, same_keys
 
 HEX_DIGITS = 3  # a hot group is ranked in up to 16**3 intervals of its digest
 
@@ -27,10 +27,10 @@ def group_folds(seqs: DataFrame, by: str, n: int = 4) -> DataFrame:
     """Whole groups (subject, session or prior width) to folds, largest groups first."""
     sizes = seqs.groupBy(by).agg(F.sum("n").alias("__size"))
     sizes = sizes.withColumns({"__all": F.lit(0), "__neg": -F.col("__size")})
-    # equal sizes are common, so the intervals of the order also use the (non-negative) group id
-    fine = F.format_string("%018d %019d", F.lit(10**17) - F.col("__size"), F.floor(F.col(by) / 4096))
-    ranked = rank_in_group(sizes, ["__all"], ["__neg", by], fine, "__r")
-    return seqs.join(ranked.select(by, ((F.col("__r") - 1) % n).cast("int").alias("fold")), by)
+    # equal sizes are common, so the order is cut by size and then by intervals of the group id
+    cut = sizes.withColumn("__ids", F.floor(F.col(by) / 4096))
+    ranked = running(cut, ["__all"], ["__neg", "__ids"], [by], {"__r": ("sum", F.lit(1).cast("long"))})
+    return same_keys(seqs, ranked.select(by, ((F.col("__r") - 1) % n).cast("int").alias("fold")), [by])
 
 
 CUTS = [0.40, 0.55, 0.70, 0.85, 1.0]  # fixed values: share of ordered blocks before each cut
@@ -42,7 +42,7 @@ def block_epochs(seqs: DataFrame) -> DataFrame:
         seqs, ["subject_id"], ["session_id"], ["run_id"], {"block_rank": ("sum", F.lit(1).cast("long"))}
     )
     totals = seqs.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_blocks"))
-    ranked = ranked.join(totals, "subject_id")
+    ranked = same_keys(ranked, totals, ["subject_id"])
     epoch = F.lit(0)
     for cut in CUTS[:-1]:
         epoch = epoch + (F.col("block_rank") > F.floor(F.lit(cut) * F.col("n_blocks"))).cast("int")
@@ -58,7 +58,7 @@ def chronological_splits(seqs: DataFrame) -> DataFrame:
 
 def attach_folds(trials: DataFrame, folds: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Sequence-level columns onto trials; long sequences are matched chunk by chunk."""
-    return trials.join(per_chunk(folds.select(*SEQ, "last_chunk", *(cols or ["fold"])), "last_chunk"), SEQ + [CHUNK])
+    return same_keys(trials, per_chunk(folds.select(*SEQ, "chunks", *(cols or ["fold"]))), SEQ + [CHUNK])
 
 
 def attach_segments(raw: DataFrame, segment_map: DataFrame) -> DataFrame:
@@ -68,8 +68,7 @@ def attach_segments(raw: DataFrame, segment_map: DataFrame) -> DataFrame:
 def rows_in_split(trials: DataFrame, splits: DataFrame, split_id: int, role: str) -> DataFrame:
     """Trials whose block has the given role in the split."""
     ids = splits.filter((F.col("split_id") == split_id) & (F.col("role") == role))
-    ids = per_chunk(ids.select(*SEQ, "last_chunk"), "last_chunk")
-    return trials.join(ids, SEQ + [CHUNK], "left_semi")
+    return same_keys(trials, per_chunk(ids.select(*SEQ, "chunks")), SEQ + [CHUNK], "left_semi")
 
 
 def permute_within(df: DataFrame, keys: list[str], seed: int | None = 7, out: str = "shuffle_order") -> DataFrame:
@@ -95,12 +94,12 @@ def permute_matched(
     Slots are numbered in order, donors by digest; the two numberings are joined rank by rank.
     """
     order = ["segment_id", ORDER]
-    fine_order = F.format_string("%s %010d", F.col("segment_id"), F.floor(F.col(ORDER) / 1000))
+    fine_order = F.struct("segment_id", F.floor(F.col(ORDER) / 1000).alias("part"))
     slots = rank_in_group(df.select(*strata, *slot), strata, order, fine_order, "__rank")
     donors = df.select(*strata, *[F.col(c).alias(f"__d_{c}") for c in content], F.col("block_id").alias("source_block_id"),
                        digest(seed, F.col("row_id")).alias("__h"))
     donors = rank_in_group(donors, strata, ["__h"], F.substring("__h", 1, HEX_DIGITS), "__rank").drop("__h")
-    joined = slots.join(donors, [*strata, "__rank"]).drop("__rank")
+    joined = same_keys(slots, donors, [*strata, "__rank"]).drop("__rank")
     return joined.withColumnsRenamed({f"__d_{c}": c for c in content})
 
 
@@ -120,15 +119,15 @@ def permute_cross_subject(df: DataFrame, strata: list[str], content: list[str],
     keyed = df.withColumn("__h", digest(seed, F.col("row_id")))
     by_subject = keyed.groupBy(*strata, "subject_id").agg(F.count(F.lit(1)).alias("__m"))
     shape = by_subject.groupBy(*strata).agg(F.max("__m").alias("__shift"), F.sum("__m").alias("__n"))
-    fine = F.format_string("%019d%s", F.col("subject_id"), F.substring("__h", 1, HEX_DIGITS))
+    fine = F.struct("subject_id", F.substring("__h", 1, HEX_DIGITS).alias("part"))
     ranked = rank_in_group(keyed, strata, ["subject_id", "__h"], fine, "__rank").drop("__h")
-    donors = ranked.join(shape, strata).select(
+    donors = same_keys(ranked, shape, strata).select(
         *strata,
         (F.pmod(F.col("__rank") - 1 + F.col("__shift"), F.col("__n")) + 1).alias("__rank"),
         F.col("subject_id").alias("donor_subject_id"),
         *[F.col(c).alias(f"__d_{c}") for c in content],
     )
-    joined = ranked.drop(*content).join(donors, [*strata, "__rank"]).drop("__rank")
+    joined = same_keys(ranked.drop(*content), donors, [*strata, "__rank"]).drop("__rank")
     return joined.withColumnsRenamed({f"__d_{c}": c for c in content})
 
 

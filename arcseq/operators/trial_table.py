@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arcseq import columns
 from arcseq.columns import CHUNK, COVARIATES, ORDER, REQUIRED, SEQ
 from arcseq.functions import circular as C
-from arcseq.operators.ordered import in_sequence, per_chunk, previous, rank_in_group, running
+from arcseq.operators.ordered import in_sequence, per_chunk, previous, rank_in_group, running, same_keys
 
 
 def chunked(df: DataFrame, order: str = ORDER, rows: int | None = None) -> DataFrame:
@@ -139,7 +139,7 @@ def trial_base(feat: DataFrame) -> DataFrame:
         sequences(feat)
         .withColumn("__n", F.col("n").cast("long"))
         .withColumn("__all", F.lit(0))
-        .select(*SEQ, "__n", "__all", "last_chunk")
+        .select(*SEQ, "__n", "__all", "chunks")
     )
     starts = running(
         lengths,
@@ -150,11 +150,10 @@ def trial_base(feat: DataFrame) -> DataFrame:
     )
     starts = per_chunk(
         starts.select(
-            *SEQ, "last_chunk", (F.col("__rows") - F.col("__n")).alias("__before"), (F.col("__seqs") - 1).alias("seq_id")
-        ),
-        "last_chunk",
+            *SEQ, "chunks", (F.col("__rows") - F.col("__n")).alias("__before"), (F.col("__seqs") - 1).alias("seq_id")
+        )
     )
-    return previous_fields(feat).join(starts, SEQ + [CHUNK]).select(
+    return same_keys(previous_fields(feat), starts, SEQ + [CHUNK]).select(
         F.col("row_id").alias("raw_row_index"),
         (F.col("__before") + F.col("pos") - 1).alias("analysis_row_index"),
         "seq_id",
@@ -208,13 +207,13 @@ def level_table(df: DataFrame, col: str) -> DataFrame:
     """Distinct levels with dense indices from 0; one row per level."""
     levels = df.select(col).distinct().withColumn("__all", F.lit(0))
     # ranked per level table: a few rows for conditions, one per subject for subjects
-    ranked = rank_in_group(levels, ["__all"], [col], F.format_string("%020.6f", C.dbl(F.col(col))), "__r")
+    ranked = rank_in_group(levels, ["__all"], [col], F.round(C.dbl(F.col(col)), 0), "__r")
     return ranked.select(col, (F.col("__r") - 1).cast("long").alias(f"{col}_idx"))
 
 
 def level_index(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
-        df = df.join(level_table(df, c), c)
+        df = same_keys(df, level_table(df, c), [c])
     return df
 
 
@@ -239,7 +238,7 @@ def split_segments(df: DataFrame) -> DataFrame:
     summary = summary.withColumn("__opens", opens.cast("long"))
     before = F.sum(F.col("__n") + F.col("__opens")).over(wk) - F.col("__n")
     carry = summary.select(*SEQ, CHUNK, before.alias("__before"))
-    df = local.join(carry, SEQ + [CHUNK]).filter(~F.col("__miss"))
+    df = same_keys(local, carry, SEQ + [CHUNK]).filter(~F.col("__miss"))
     df = df.withColumn("segment_number", F.col("segment_number") + F.col("__before"))
     df = df.drop("__miss", "__head", "__pmiss", "__open", "__before")
     block = C.block_id(*[F.col(k) for k in SEQ])
@@ -273,13 +272,13 @@ def non_contiguous_blocks(contig: DataFrame) -> DataFrame:
 
 
 def sequences(df: DataFrame) -> DataFrame:
-    """One row per sequence: length, prior width and the last chunk number."""
+    """One row per sequence: length, prior width and the numbers of its chunks."""
     if CHUNK not in df.columns:
         df = chunked(df)
     return df.groupBy(*SEQ).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("prior_std").alias("prior_std"),
-        F.max(CHUNK).alias("last_chunk"),
+        F.collect_set(CHUNK).alias("chunks"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,10 +51,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a scratch folder only where that setting is absent."""
+    """Folder named by spark.checkpoint.dir; a scratch folder only where that setting is absent on a single machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master or 'this cluster'} share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="spark-"))
     return _local_dir[0]
