@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcseq.llm.common import marked, rows_in
 from arcseq.llm.labelled import held_out, sample_of
 from arcseq.session import stage
 
@@ -231,8 +232,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier predicts to be good, with their own columns."""
-    mark = {"_x": F.xxhash64("text"), "_n": F.length("text")}
-    found = scored(docs.withColumns(mark), train(docs, labels), "_x", "_n")
-    good = stage(found.where(F.col("score") >= THRESHOLD).select("doc_id", "_x", "_n").distinct(), "quality-good").alias("g")
-    met = docs.withColumns(mark).alias("d").join(good, F.expr("d.doc_id <=> g.doc_id AND d._x <=> g._x AND d._n <=> g._n"), "left_semi")
-    return met.select(*[F.col(f"d.{c}") for c in docs.columns])
+    tagged = marked(docs)
+    found = scored(tagged, train(docs, labels), "source", "x", "n")
+    good = stage(found.where(F.col("score") >= THRESHOLD).select("doc_id", "source", "x", "n").distinct(), "quality-good")
+    return rows_in(tagged, good)

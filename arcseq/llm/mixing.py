@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import hex_number, text_of, word_count
+from arcseq.llm.common import hex_number, marked, text_of, word_count
 from arcseq.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -36,12 +36,16 @@ def size_class(size: str) -> Column:
     return F.expr(f"cast(length(bin({size})) * 8 + shiftright({size}, greatest(length(bin({size})) - 3, 0)) AS int)")
 
 
+def source_key() -> Column:
+    """The source behind an s, n for a null source."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
 def sized(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, source key, size, size class, order hash and bucket of every row."""
     t = text_of()
     tie = hex_number(F.md5(F.coalesce(F.col("doc_id").cast("string"), t)), 1, 8)
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    out = docs.select("doc_id", *carry, key.alias("skey"), word_count(t).alias("size"), tie.alias("tie"))
+    out = docs.select("doc_id", *carry, source_key().alias("skey"), word_count(t).alias("size"), tie.alias("tie"))
     return out.withColumn("cls", size_class("size")).withColumn("bucket", F.shiftright("tie", 32 - BUCKET_BITS))
 
 
@@ -113,12 +117,12 @@ def emit(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
     counts in turn, so repeated rows are not multiplied.
     """
     same = ["doc_id", "skey", "x", "size"]
-    keyed = docs.select("*", F.xxhash64(text_of()).alias("x"))
-    rows = stage(sized(keyed, "x"), "mix-sizes")
+    tagged = marked(docs)
+    rows = stage(sized(tagged, "x"), "mix-sizes")
     turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    taken = copies(rows, weights, most, seed).select(*same, "copies").withColumn("turn", turn).where("copies > 0").alias("c")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", key.alias("skey"), F.xxhash64(text_of()).alias("x"), word_count(text_of()).alias("size"))
+    taken = copies(rows, weights, most, seed).select(*same, "copies").withColumn("turn", turn).where("copies > 0")
+    taken = stage(taken, "mix-copies").alias("c")
+    own = tagged.select("row", "doc_id", source_key().alias("skey"), "x", word_count(text_of()).alias("size"))
     own = own.withColumn("turn", turn).alias("o")
     met = own.join(taken, F.expr("o.doc_id <=> c.doc_id AND o.skey = c.skey AND o.x = c.x AND o.size = c.size AND o.turn = c.turn"))
     return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies")))).select("row.*")

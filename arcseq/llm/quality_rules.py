@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import SPACES, hex_number, text_of
+from arcseq.llm.common import SPACES, hex_number, marked, rows_in, text_of
 from arcseq.session import stage
 
 MIN_WORDS = 50
@@ -140,21 +140,20 @@ def cleaned_text(text: Column, removed: Column) -> Column:
 
 def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """The documents with lines above the limits taken out of their texts; all columns stay."""
-    base = stage(docs.select("doc_id", F.col("source").cast("string").alias("host"), line_hashes(text_of()).alias("lines")), "quality-lines")
-    above = stage(frequent_lines(base, min_docs, max_share), "quality-above").select(F.col("host").alias("_host"), F.col("removed").alias("_removed"))
-    joined = docs.join(above, F.col("source").cast("string").eqNullSafe(F.col("_host")), "left")
-    clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cleaned_text(F.col("text"), F.col("_removed")))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    host = F.col("source").cast("string").alias("host")
+    base = stage(docs.select("doc_id", host, line_hashes(text_of()).alias("lines")), "quality-lines")
+    above = stage(frequent_lines(base, min_docs, max_share), "quality-above").alias("f")
+    tagged = marked(docs).select("row", host).alias("t").join(above, F.expr("t.host <=> f.host"), "left")
+    clean = F.when(F.col("f.removed").isNull(), F.col("row.text")).otherwise(cleaned_text(F.col("row.text"), F.col("f.removed")))
+    return tagged.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
 
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that the rules keep, with their own columns. The verdict meets its row by what it is made of: id, host and text."""
-    key = ["doc_id", F.col("source").cast("string").alias("host"), F.xxhash64(text_of()).alias("_x"), F.length(text_of()).alias("_n")]
-    base = stage(base_rules(docs.withColumns({"_x": F.xxhash64(text_of()), "_n": F.length(text_of())}), "source", "_x", "_n"), "quality-base")
-    good = judged(base, **limits).where("kept").select("doc_id", "host", "_x", "_n").distinct().alias("g")
-    tagged = docs.select("*", *[c for c in key[1:]]).alias("d")
-    same = F.expr("d.doc_id <=> g.doc_id AND d.host <=> g.host AND d._x = g._x AND d._n = g._n")
-    return tagged.join(good, same, "left_semi").select(*[F.col(f"d.{c}") for c in docs.columns])
+    """The rows that the rules keep, with their own columns."""
+    tagged = marked(docs)
+    base = stage(base_rules(tagged, "source", "source", "x", "n"), "quality-base")
+    good = stage(judged(base, **limits).where("kept").select("doc_id", "source", "x", "n").distinct(), "quality-kept")
+    return rows_in(tagged, good)
 
 
 ORACLE = rf"""

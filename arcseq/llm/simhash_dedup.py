@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import text_of
+from arcseq.llm.common import marked
 from arcseq.session import stage
 
 SHINGLE = 3
@@ -282,11 +282,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id (nulls last), with all its columns."""
-    mark = {"_x": F.xxhash64(text_of()), "_n": F.length(text_of())}
-    rows = stage(fingerprints(docs.withColumns(mark), "_x", "_n"), "fingerprints")
+    tagged = marked(docs)
+    rows = stage(fingerprints(tagged, "source", "x", "n"), "fingerprints")
     joined = rows.join(components(rows).select("fp", "root"), "fp")
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_n")).alias("k"))
-    first = stage(first.select("k.doc_id", "k._x", "k._n"), "components-first").alias("k")
-    met = docs.withColumns(mark).alias("d").join(first, F.expr("d.doc_id <=> k.doc_id AND d._x = k._x AND d._n = k._n"), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "_x", "_n").orderBy(F.lit(0)))
-    return met.withColumn("_k", once).where("_k = 1").select(*[F.col(c) for c in docs.columns])
+    key = ["doc_id", "source", "x", "n"]
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("k"))
+    first = stage(first.select(*[f"k.{c}" for c in key]), "components-first")
+    same = F.expr("t.doc_id <=> c.doc_id AND t.source <=> c.source AND t.x = c.x AND t.n = c.n")
+    met = tagged.alias("t").join(first.alias("c"), same, "left_semi")
+    once = met.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("k = 1")
+    return once.select("row.*")

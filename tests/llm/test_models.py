@@ -1,0 +1,126 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from arcseq.llm import license_scan, line_crf, toxicity_pu
+from arcseq.llm.common import table
+from arcseq.llm.labelled import held_out
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_chain(good, trans):
+    """Marginals of good, expected transitions and log normaliser of one chain, over all labellings."""
+    n = len(good)
+    weight = {}
+    for ys in itertools.product((0, 1), repeat=n):
+        weight[ys] = np.exp(sum(g for g, y in zip(good, ys, strict=True) if y) + sum(trans[a, b] for a, b in zip(ys, ys[1:], strict=False)))
+    z = sum(weight.values())
+    p = [sum(w for ys, w in weight.items() if ys[t]) / z for t in range(n)]
+    pairs = np.zeros((2, 2))
+    for ys, w in weight.items():
+        for a, b in zip(ys, ys[1:], strict=False):
+            pairs[a, b] += w / z
+    return p, pairs, np.log(z)
+
+
+def test_forward_backward_matches_all_labellings():
+    rng = np.random.default_rng(0)
+    per_doc = np.array([1, 4, 2, 5, 1])
+    good, trans = rng.normal(0, 2, per_doc.sum()), rng.normal(0, 1, (2, 2))
+    p, pairs, log_z = line_crf.Chains(per_doc).walk(good, trans)
+    want = [brute_chain(good[e - k : e], trans) for e, k in zip(np.cumsum(per_doc), per_doc, strict=True)]
+    np.testing.assert_allclose(p, np.concatenate([w[0] for w in want]), rtol=1e-9)
+    np.testing.assert_allclose(pairs, sum(w[1] for w in want), rtol=1e-9)
+    assert log_z == pytest.approx(sum(w[2] for w in want))
+
+
+def test_line_measures():
+    bins, sizes, per_doc = line_bins = line_crf.line_bins([b"", b"a a a\nB! B!", b"\n\n", "é É ***".encode()])
+    assert len(line_bins) == 3 and per_doc.tolist() == [1, 2, 3, 1] and sizes.tolist() == [0, 5, 5, 0, 0, 0, 9]
+    assert bins[1, 8] > 0 and bins[2, 4 - 1] == bins[2, 3] and (bins < line_crf.BINS).all()
+
+
+def accuracy(rows, label):
+    own = [(r["score"], r[label]) for r in rows if r["held_out"] and r[label] is not None]
+    return own
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    got = line_crf.classify(docs, labels)
+    assert got.count() == docs.count()
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+    assert np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.98
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    got = toxicity_pu.classify(docs, labels)
+    assert got.count() == docs.count()
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
+
+
+def test_labels_of_held_out_rows_are_not_read(spark, odd_docs, labels):
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumns({c: F.when(held_out(), 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    for model in (line_crf, toxicity_pu):
+        a = sorted((str(r["doc_id"]), r["score"]) for r in model.classify(odd_docs, labels).collect())
+        b = sorted((str(r["doc_id"]), r["score"]) for r in model.classify(odd_docs, turned).collect())
+        assert a == b and len(a) == odd_docs.count() and all(0 <= s <= 1 for _, s in a)
+
+
+def test_without_labels_or_documents(odd_docs, no_docs, labels, no_labels):
+    assert {r["score"] for r in line_crf.classify(odd_docs, no_labels).collect()} == {0.5}
+    assert {r["score"] for r in toxicity_pu.classify(odd_docs, no_labels).collect()} == {0.0}
+    assert line_crf.classify(no_docs, labels).count() == 0 and toxicity_pu.classify(no_docs, labels).count() == 0
+    kept = line_crf.keep_documents(odd_docs, no_labels)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_non_negative_risk_does_not_overfit_unlabelled_positives():
+    rng = np.random.default_rng(1)
+
+    def evidence(toxic):
+        doc, feature = np.nonzero(rng.random((len(toxic), 6)) < np.where(toxic[:, None], [[0.8, 0.7, 0.3, 0.3, 0.3, 0.3]], 0.05))
+        return toxicity_pu.Evidence(doc, feature, np.ones(len(doc), int), np.full(len(toxic), 100), 6)
+
+    truth = rng.random(4000) < 0.2
+    unlabelled, positive = evidence(truth), evidence(np.ones(300, bool))
+    w = toxicity_pu.fit(positive, unlabelled, 0.2)
+    said = toxicity_pu.sigmoid(unlabelled.logit(w)) >= 0.5
+    assert (said == truth).mean() > 0.93
+
+
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License. And then some prose follows that has nothing to do with it at all, as far as one can see.": "MIT",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA",
+    "All rights reserved.": "Proprietary",
+    "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+}
+NO_NOTICE = ["A hunting license is needed here.", "The warranty of the car ran out.", "They had no permission to enter the public domain of the castle."]
+
+
+def test_licence_families(spark):
+    rows = [(i, f"some prose here\n{t}\nand more prose", "s") for i, t in enumerate([*NOTICES, *NO_NOTICE])]
+    rows += [(100 + i, " ".join(f"word{(i * 31 + k * 7) % 97} the of and" for k in range(12)), "s") for i in range(60)]
+    rows += [(0, rows[0][1], "s"), (None, "All rights reserved.", None), (500, None, None), (501, "", "s"), (502, "license " * 20_000, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("h", "family", "words", "paragraph", "w"):
+        df = df.selectExpr("*", f"'clash' AS {c}")
+    got = license_scan.scan(df).collect()
+    sure = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["paragraph"], r["family"]) for r in got if r["confirmed"])
+    want = [(i, 1, f) for i, f in enumerate(NOTICES.values())] + [(0, 1, "Apache-2.0"), (-1, 0, "Proprietary")]
+    assert sure == sorted(want)
+    assert all(r["family"] == license_scan.NO_FAMILY or r["similarity"] < license_scan.SIMILARITY for r in got if not r["confirmed"])
+
+
+def test_licences_of_empty_tables(no_docs):
+    assert license_scan.scan(no_docs).count() == 0
