@@ -28,7 +28,7 @@ def put(uri: str, parts: list[bytes]) -> None:
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.draft"
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(draft, compression=None) as out:
         for part in parts:
             out.write(part)
     store.move(draft, path)
@@ -36,5 +36,5 @@ def put(uri: str, parts: list[bytes]) -> None:
 
 def get(uri: str) -> bytes:
     store, path = filesystem(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()

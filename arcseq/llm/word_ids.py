@@ -85,7 +85,7 @@ class WordEncoder:
     def _joined(self, words: list[str], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         flat, _ = self._rows([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
         stops = np.flatnonzero(self.ends_word[flat])
-        if len(stops) != sum(parts):
+        if not words or len(stops) != sum(parts):
             return self._rows(words)
         return flat, np.diff(stops[np.cumsum(parts) - 1] + 1, prepend=0)
 
