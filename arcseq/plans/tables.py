@@ -9,6 +9,7 @@ from arcseq.functions import circular as C
 from arcseq.operators import conditions as cond
 from arcseq.operators import splits as sp
 from arcseq.operators import trial_table as tt
+from arcseq.operators.ordered import previous
 from arcseq.operators.params import params_from_json, params_to_json
 from arcseq.plans.workspace import features, r, rr, segments, trials
 from arcseq.session import new_path
@@ -197,6 +198,15 @@ def w9_contiguity(spark, sf):
     return tt.contiguity(features(spark, sf)).select("row_id", "block_id", "global_trial", "is_block_start")
 
 
+@register
+def w9_non_contiguous_blocks(spark, sf):
+    """Blocks that a subject enters more than once when its rows are taken in the order of the event log."""
+    f = features(spark, sf).withColumns({"block_id": C.block_id(*[F.col(k) for k in SEQ]), "piece": F.floor(F.col("row_id") / 2048)})
+    f = previous(f, ["subject_id"], ["piece"], ["row_id"], {"before": F.col("block_id")})
+    f = f.withColumn("is_block_start", F.col("before").isNull() | (F.col("before") != F.col("block_id")))
+    return tt.non_contiguous_blocks(f)
+
+
 @register
 def w10_stratified_folds(spark, sf):
     return sp.stratified_folds(tt.sequences(features(spark, sf))).select(*SEQ, "fold")
@@ -382,6 +392,15 @@ def f12_bins(spark, sf):
     )
 
 
+@register
+def s2_csv_scan(spark, sf):
+    """The trial table through text: written as CSV with a header, read with its declared schema."""
+    path = new_path(spark, "trials-csv")
+    trials(spark, sf).select(*[f.name for f in src.TRIAL_SCHEMA]).write.mode("overwrite").option("header", True).csv(path)
+    back = src.read_trials(spark, path, "csv")
+    return back.select("row_id", *SEQ, ORDER, "experiment_name", "experiment_id", *rr("trial_time", "motion_direction", "estimate_x", "estimate_y", "prior_std"))
+
+
 @register
 def s3_read_draws(spark, sf):
     f = features(spark, sf)

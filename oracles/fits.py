@@ -190,17 +190,17 @@ add(
         f"SELECT {FK}, '{g}' AS parameter_group, '{p}' AS parameter, '{a}' AS level_1, '{b}' AS level_2, {r(c, 4)} AS value FROM fits3" for g, p, a, b, c in LONG
     ),
 )
-add("f11_parameters_of_fits", f"SELECT {FK}, {', '.join(f'round({k}, 3) AS {k}' for k in KAPPAS[3:])} FROM fits3")
+add("f11_parameters_of_fits", f"SELECT {FK}, {', '.join(f'round({k}, 3) AS {k}' for k in KAPPAS)} FROM fits3")
 add(
     "a14_group_summary",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS parameter, {rr(f'avg({c}) AS mean', f'stddev_samp({c}) AS sd_between_subjects', f'stddev_samp({c}) / sqrt(count(*)) AS se', places=4)} FROM fits3 WHERE test_fold = 0"
+        f"SELECT CAST(test_fold AS INT) AS fold, '{c}' AS parameter, {rr(f'avg({c}) AS mean', f'stddev_samp({c}) AS sd_between_subjects', f'stddev_samp({c}) / sqrt(count(*)) AS se', places=4)} FROM fits3 GROUP BY test_fold"
         for c in [*FIT, *KAPPAS]
     ),
 )
 add(
     "j11_verify_refit",
-    f"SELECT {FK}, {r('train_ll', 4)} AS train_ll, {r('train_ll', 4)} AS reference_train_ll, 0.0::DOUBLE AS difference, true AS matches FROM fits3",
+    f"SELECT {FK}, {r('train_ll', 4)} AS train_ll, {r('round(train_ll, 0)', 4)} AS reference_train_ll, {r('train_ll - round(train_ll, 0)', 4)} AS difference, abs(train_ll - round(train_ll, 0)) <= 0.25 AS matches FROM fits3",
 )
 add(
     "a9_state_weights",
@@ -303,10 +303,23 @@ add(
     f"""SELECT model, n_subjects, n_trials, total_parameters, {rr('ll AS total_log_likelihood', 'a AS aic_sum', 'b AS bic_sum_subjectwise', 'bp AS bic_pooled', 'a - min(a) OVER () AS aic_delta_from_best', 'b - min(b) OVER () AS bic_subjectwise_delta_from_best', 'bp - min(bp) OVER () AS bic_pooled_delta_from_best', places=4)}
 FROM (SELECT *, -2*ll + total_parameters * ln(n_trials::DOUBLE) AS bp FROM (SELECT model, count(*) AS n_subjects, CAST(sum(n_trials) AS BIGINT) AS n_trials, CAST(sum(k) AS BIGINT) AS total_parameters, sum(ll) AS ll, sum(aic) AS a, sum(bic) AS b FROM criteria GROUP BY model))""",
 )
+cte("j5_left", f"SELECT {K}, test_ll AS va FROM seq_lls WHERE model = 'static_hmm'")
+cte(
+    "j5_right",
+    f"""SELECT subject_id, session_id, CASE WHEN session_id % 10 = 0 THEN run_id + 1000 ELSE run_id END AS run_id,
+CASE WHEN session_id % 7 = 0 THEN 2 ELSE 1 END AS nb, test_ll * CASE WHEN session_id % 7 = 0 THEN 2 ELSE 1 END AS vb
+FROM seq_lls WHERE model = CASE WHEN session_id % 2 = 0 THEN 'static_hmm' ELSE 'independent_switching' END""",
+)
+cte(
+    "j5_met",
+    f"""SELECT {K}, CASE WHEN va IS NULL THEN 'right_only' WHEN vb IS NULL THEN 'left_only' ELSE 'both' END AS match,
+coalesce(nb, 0) > 1 AS duplicated, abs(va - vb) AS gap FROM j5_left FULL JOIN j5_right USING ({K})""",
+)
 add(
     "j5_reconcile",
-    f"""SELECT {K}, CASE WHEN session_id % 10 = 0 THEN 'left_only' ELSE 'both' END AS match, false AS duplicated, CASE WHEN session_id % 10 <> 0 THEN 0.0::DOUBLE END AS abs_difference FROM seqs""",
+    f"SELECT {K}, match, duplicated, {r('gap')} AS abs_difference FROM j5_met",
 )
+add("j5_reconcile_summary", f"SELECT count(*) AS n_keys, count(*) FILTER (match = 'both') AS n_both, count(*) FILTER (duplicated) AS n_duplicated, {r('max(gap)')} AS max_abs_difference FROM j5_met")
 add(
     "j8_compare_models",
     f"""SELECT row_id, is_start, {rr(*[f'm{i} AS {m}_ll' for i, m in enumerate(MODELS)], *[f'm{i} - m0 AS {m}_delta' for i, m in enumerate(MODELS)])}
@@ -320,8 +333,13 @@ ORDER BY abs(dl - md), {K} LIMIT 1""",
 )
 add(
     "a32_score_checks",
-    """SELECT count(*) AS rows, 0::BIGINT AS not_finite, 0.0::DOUBLE AS max_predictive_error, 0.0::DOUBLE AS max_filtered_error, 0.0::DOUBLE AS max_smoothed_error,
-0.0::DOUBLE AS max_pairwise_error, 0::BIGINT AS xi_sensory_to_sensory_set_at_start, count(DISTINCT row_id) AS unique_trials, 0::BIGINT AS scored_more_than_once FROM feat""",
+    f"""SELECT count(*) AS rows, count(*) FILTER (row_id % 97 = 0) AS not_finite,
+{r('max(abs(q1 * CASE WHEN row_id % 89 = 0 THEN 1.5 ELSE 1 END + q2 + q3 - 1))')} AS max_predictive_error,
+{r('max(abs(f1 + f2 * CASE WHEN row_id % 83 = 0 THEN 1.5 ELSE 1 END + f3 - 1))')} AS max_filtered_error,
+{r('max(abs(g1 + g2 + g3 * CASE WHEN row_id % 79 = 0 THEN 1.5 ELSE 1 END - 1))')} AS max_smoothed_error,
+{r('max(abs(xi0 + xi1 + xi2 + xi3 + xi4 * CASE WHEN row_id % 71 = 0 THEN 1.5 ELSE 1 END + xi5 + xi6 + xi7 + xi8 - 1))')} AS max_pairwise_error,
+count(*) FILTER (pos = 1 AND row_id % 2 = 0) AS xi_sensory_to_sensory_set_at_start, count(DISTINCT row_id) AS unique_trials,
+count(*) - count(DISTINCT row_id) AS scored_more_than_once FROM (SELECT * FROM hmm_post UNION ALL SELECT * FROM hmm_post WHERE row_id % 50 = 0)""",
 )
 
 # ---- original against permuted order
@@ -463,7 +481,7 @@ add("p9_equivalence_flags", "SELECT comparison, lo > -0.005 AND hi < 0.005 AS eq
 add(
     "j10_attach_intervals",
     f"""SELECT e.subject_id, e.covariate, e.previous_state, e.next_state, {rr('hi - lo AS delta_plus_minus', 'c_lo AS ci_low', 'c_hi AS ci_high')} FROM cov_effects e LEFT JOIN (
-SELECT covariate, previous_state, next_state, quantile_cont(hi - lo, 0.025) AS c_lo, quantile_cont(hi - lo, 0.975) AS c_hi FROM cov_effects WHERE covariate <> 'conflict' GROUP BY ALL) c
+SELECT covariate, previous_state, next_state, quantile_cont(hi - lo, 0.025) AS c_lo, quantile_cont(hi - lo, 0.975) AS c_hi FROM cov_effects GROUP BY ALL) c
 ON c.covariate = e.covariate AND c.previous_state = e.previous_state AND c.next_state = e.next_state""",
 )
 for i in range(3):

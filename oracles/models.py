@@ -471,10 +471,13 @@ finish("grid_switch", "grid_switch_raw")
 GK = rr("motion_direction", "motion_coherence", "prior_std")
 for q, t in (("m6_bayes_grid_map", "grid_map"), ("m6_bayes_grid_mean", "grid_mean"), ("m6_bayes_grid_sample", "grid_sample"), ("m7_switch_grid", "grid_switch")):
     add(q, f"SELECT {GK}, g, {r('p', 9)} AS p FROM {t}")
+cte(
+    "grid_pairs",
+    f"SELECT *, coalesce(lead(p) OVER w, first_value(p) OVER w) AS p_next FROM grid_switch WINDOW w AS (PARTITION BY {CK} ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+)
 add(
     "m8_grid_loglik",
-    f"""SELECT f.row_id, {r('ln(greatest((1 - (dg - floor(dg))) * a.p + (dg - floor(dg)) * b.p, 1e-300))')} AS trial_ll
+    f"""SELECT f.row_id, {r('ln(greatest((1 - (dg - floor(dg))) * a.p + (dg - floor(dg)) * a.p_next, 1e-300))')} AS trial_ll
 FROM (SELECT *, {pmod('degrees(y)', '360.0::DOUBLE')} AS dg FROM feat) f
-JOIN grid_switch a ON a.motion_direction = f.motion_direction AND a.motion_coherence = f.motion_coherence AND a.prior_std = f.prior_std AND a.prior_mean = f.prior_mean AND a.g = CAST(floor(dg) AS INT) % 360
-JOIN grid_switch b ON b.motion_direction = f.motion_direction AND b.motion_coherence = f.motion_coherence AND b.prior_std = f.prior_std AND b.prior_mean = f.prior_mean AND b.g = (CAST(floor(dg) AS INT) + 1) % 360""",
+JOIN grid_pairs a ON a.motion_direction = f.motion_direction AND a.motion_coherence = f.motion_coherence AND a.prior_std = f.prior_std AND a.prior_mean = f.prior_mean AND a.g = CAST(floor(dg) AS INT) % 360""",
 )

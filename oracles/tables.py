@@ -171,6 +171,16 @@ add(
     f"""SELECT row_id, printf('s%02d_session%03d_run%03d', {K}) AS block_id,
 CAST(row_number() OVER (PARTITION BY subject_id ORDER BY session_id, run_id, trial_index) AS BIGINT) AS global_trial, pos = 1 AS is_block_start FROM feat""",
 )
+add(
+    "w9_non_contiguous_blocks",
+    f"""SELECT subject_id, block_id, sum(CASE WHEN before IS NULL OR before <> block_id THEN 1 ELSE 0 END)::BIGINT AS n_starts FROM (
+SELECT subject_id, block_id, lag(block_id) OVER (PARTITION BY subject_id ORDER BY row_id) AS before
+FROM (SELECT *, printf('s%02d_session%03d_run%03d', {K}) AS block_id FROM feat)) GROUP BY subject_id, block_id HAVING n_starts > 1""",
+)
+add(
+    "s2_csv_scan",
+    f"SELECT row_id, {K}, trial_index, experiment_name, experiment_id, {rr('trial_time', 'motion_direction', 'estimate_x', 'estimate_y', 'prior_std')} FROM c_trials",
+)
 add("w10_stratified_folds", f"SELECT {K}, fold FROM folds")
 for name, by in (("w11_subject_folds", "subject_id"), ("w11_session_folds", "session_id"), ("w11_prior_folds", "prior_std")):
     add(
