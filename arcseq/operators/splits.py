@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcseq.columns import CHUNK, ORDER, SEQ
@@ -87,9 +87,10 @@ def change_by_segment(shuffled: DataFrame) -> DataFrame:
 
 
 def permute_matched(
-    df: DataFrame, strata: list[str], slot: list[str], content: list[str], seed: int = 11
+    df: DataFrame, strata: list[str], slot: list[str], content: list[str], seed: int | Column = 11
 ) -> DataFrame:
-    """Exchange rows across blocks inside each stratum: slots keep their ids, contents move.
+    """Exchange rows across blocks inside each stratum: slots keep their ids, contents move. A column as seed, with a
+    stratum for each of its values, makes many permutations in one plan.
 
     Slots are numbered in order, donors by digest; the two numberings are joined rank by rank.
     """

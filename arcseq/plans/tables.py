@@ -250,12 +250,20 @@ def w13_shuffle_report(spark, sf):
 STRATA = ["subject_id", "fold", "prior_std"]
 
 
+def exchanged(rows, strata, seed):
+    slot = ["session_id", "run_id", "block_id", "segment_id", "segment_number", ORDER, "chunk", "seg_pos", "seg_len"]
+    content = ["row_id", "motion_direction", "motion_coherence", "error", "prior_error", "cos_s", "cos_p"]
+    return sp.permute_matched(rows, strata, slot, content, seed)
+
+
 def matched(spark, sf, seed=11):
-    rows = segments(spark, sf)
-    return sp.permute_matched(
-        rows, STRATA, ["session_id", "run_id", "block_id", "segment_id", "segment_number", ORDER, "chunk", "seg_pos", "seg_len"],
-        ["row_id", "motion_direction", "motion_coherence", "error", "prior_error", "cos_s", "cos_p"], seed,
-    )
+    return exchanged(segments(spark, sf), STRATA, seed)
+
+
+def permutations(spark, sf, first_seed, n):
+    """`n` permutations at once, numbered by `simulation`."""
+    rows = segments(spark, sf).withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return exchanged(rows, ["simulation", *STRATA], F.lit(first_seed) + F.col("simulation"))
 
 
 @register

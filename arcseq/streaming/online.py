@@ -53,16 +53,15 @@ def read_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], last: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Positions, row ids and values of the rows after the last position, in order; number of late rows."""
+def _in_order(pdfs: Iterator[pd.DataFrame], last: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Positions, row ids and values of the rows after the last (position, row id), in that order; number of late rows."""
     parts = list(pdfs)
-    pos = np.concatenate([p["position"].to_numpy() for p in parts])
-    order = np.argsort(pos, kind="stable")
+    pos, rows = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("position", "row_id"))
+    order = np.lexsort((rows, pos))
     if last is not None:
-        order = order[pos[order] > last]
-    rows = np.concatenate([p["row_id"].to_numpy() for p in parts])[order]
+        order = order[(pos[order] > last[0]) | ((pos[order] == last[0]) & (rows[order] > last[1]))]
     values = np.concatenate([p[VALUES].to_numpy() for p in parts])[order]
-    return pos[order], rows, values, len(pos) - len(order)
+    return pos[order], rows[order], values, len(pos) - len(order)
 
 
 def _stateful(stream: DataFrame, values: list, fn, out: str, state: str, watermark: str | None) -> DataFrame:
@@ -81,17 +80,18 @@ def _online(update, start: tuple, names: list[str], idle_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        carried = state.get if state.exists else (*start, None, 0)
-        numbers, last, late = carried[:-2], carried[-2], carried[-1]
+        carried = state.get if state.exists else (*start, None, None, 0)
+        numbers, (at, row, late) = carried[:-3], carried[-3:]
+        last = None if at is None else (at, row)
         pos, rows, values, dropped = _in_order(pdfs, last)
         late += dropped
         n = len(pos)
         if n:
             columns, numbers = update(values, numbers, last is None)
-            last = int(pos[-1])
-        state.update((*map(float, numbers), last, late))
+            last = (int(pos[-1]), int(rows[-1]))
+        state.update((*map(float, numbers), *(last or (None, None)), late))
         if idle_ms is not None and n:
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+            state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         if n:
             head = {k: np.full(n, v, dtype=np.int64) for k, v in zip(KEYS, key)}
             head |= {"row_id": rows, "position": pos, "n_late": np.full(n, late)}
@@ -101,7 +101,7 @@ def _online(update, start: tuple, names: list[str], idle_ms: int | None):
 
 
 def _state_schema(names: list[str]) -> str:
-    return ", ".join(f"{n} double" for n in names) + ", last_position bigint, n_late bigint"
+    return ", ".join(f"{n} double" for n in names) + ", last_position bigint, last_row bigint, n_late bigint"
 
 
 FILTER_COLUMNS = [f"filtered_p_{s}" for s in STATES] + ["trial_ll"]

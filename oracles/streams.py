@@ -20,7 +20,7 @@ radians({pmod('motion_direction', '360.0::DOUBLE')}) AS theta, radians(225.0::DO
 )
 cte(
     "so_feat",
-    f"""SELECT *, cos(error) AS cos_s, cos(prior_error) AS cos_p, row_number() OVER (PARTITION BY {K} ORDER BY ts) AS pos FROM (
+    f"""SELECT *, cos(error) AS cos_s, cos(prior_error) AS cos_p, row_number() OVER (PARTITION BY {K} ORDER BY ts, row_id) AS pos FROM (
 SELECT *, {circ('y', 'theta')} AS error, {circ('y', 'mu')} AS prior_error, {circ('theta', 'mu')} AS conflict FROM so_rad)""",
 )
 emission_cte("so_e", "so_feat", "main")

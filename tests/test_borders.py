@@ -2,6 +2,7 @@
 against the uncut computation."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from arcseq.operators import trial_table as tt
 from arcseq.operators.quantiles import exact_quantiles
 from arcseq.plans.fixed import COH, MAIN, PRIOR, START
 from arcseq.session import release, stage
+from arcseq.sources import trials as src
 
 X = tuple(tt.X_COLS)
 
@@ -179,3 +181,73 @@ def test_one_long_sequence_spreads_over_chunks(trials, small_chunks):
     assert sizes <= 8
     pdf = feat.select("pos", "seq_len", "trial_index").orderBy("trial_index").toPandas()
     assert pdf["pos"].tolist() == list(range(1, len(pdf) + 1)) and set(pdf["seq_len"]) == {len(pdf)}
+
+
+# ---- rows that are easily lost: negative positions, null keys, ties, levels that nobody has seen
+
+
+def shaken(trials):
+    """Trials with negative positions and subjects, and a fifth of the subjects unknown."""
+    subject = F.when(F.col("subject_id") % 5 == 0, F.lit(None)).otherwise(F.col("subject_id") - 6)
+    return trials.withColumns({"trial_index": F.col("trial_index") - 10, "subject_id": subject.cast("long")})
+
+
+def lossless(trials):
+    """name -> rows that must neither be lost nor change with the cuts."""
+    feat = tt.features(shaken(trials))
+    seqs = tt.sequences(feat)
+    folds = sp.stratified_folds(seqs)
+    splits = sp.chronological_splits(seqs)
+    by_subject = sp.group_folds(seqs, "subject_id")
+    return {
+        "features": feat.select("row_id", "pos", "seq_len", "prev_theta"),
+        "levels": tt.level_table(feat, "subject_id").selectExpr("coalesce(subject_id, -999) AS row_id", "subject_id_idx"),
+        "folds": sp.attach_folds(feat, folds).select("row_id", "fold"),
+        "subject_folds": sp.attach_folds(feat, by_subject).select("row_id", "fold"),
+        "split": sp.rows_in_split(feat, splits, 1, "test").select("row_id", "pos"),
+        "base": tt.trial_base(feat).select(F.col("raw_row_index").alias("row_id"), "analysis_row_index", "seq_id"),
+        "running": sc.cumulative_ll(feat.withColumn("trial_ll", F.col("error"))).select("row_id", "sequence_cumulative_ll", "sequence_ll"),
+        "within": sp.permute_within(feat, ["subject_id"]).select("row_id", "shuffle_order"),
+        "across": sp.permute_cross_subject(feat.drop("chunk"), ["prior_std"], ["y"]).select("row_id", "donor_subject_id", "y"),
+        "numbered": src.number_rows(
+            feat.select(F.when(F.col("row_id") % 10 > 0, F.col("theta")).alias("t"), F.col("row_id").alias("id")), ["t", "id"], F.col("t"), "n"
+        ).select(F.col("id").alias("row_id"), "n"),
+    }
+
+
+def test_no_rows_are_lost_or_change_with_the_cuts(trials, monkeypatch):
+    def read():
+        out = {k: d.toPandas().sort_values("row_id").reset_index(drop=True) for k, d in lossless(trials).items()}
+        release()
+        return out
+
+    whole = read()
+    usable = tt.usable_trials(trials).count()
+    assert all(len(d) == usable for k, d in whole.items() if k not in ("levels", "split")) and len(whole["split"])
+    assert whole["levels"]["subject_id_idx"].tolist() == list(range(len(whole["levels"])))
+    monkeypatch.setattr(columns, "CHUNK_ROWS", 8)
+    monkeypatch.setattr(columns, "HOT_GROUP_ROWS", 5)
+    cut = read()
+    for k, d in whole.items():
+        pd.testing.assert_frame_equal(d, cut[k], check_dtype=False, rtol=1e-9, obj=k)
+
+
+def test_quantiles_with_nan_do_not_depend_on_the_limit(feat, monkeypatch):
+    v = F.when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("error"))
+
+    def read():
+        return sorted(tuple(str(x) for x in r) for r in exact_quantiles(feat, ["prior_std"], v, {"a": 0.1, "b": 0.5, "c": 0.99}, 0.01).collect())
+
+    whole = read()
+    monkeypatch.setattr(columns, "HOT_GROUP_ROWS", 5)
+    assert read() == whole
+
+
+def test_levels_without_parameters_are_an_error(feat):
+    odd = feat.withColumn("motion_coherence", F.when(F.col("row_id") % 50 == 0, 0.5).otherwise(F.col("motion_coherence")))
+    with pytest.raises(Exception, match="no parameters for motion_coherence 0.5"):
+        sc.score_mixture(odd, MAIN).count()
+        sc.score_mixture(odd, MAIN).agg(F.sum("trial_ll")).collect()
+    with pytest.raises(Exception, match="no parameters for motion_coherence 0.5"):
+        rec.pack(odd, COH, PRIOR).df.collect()
+    release()
