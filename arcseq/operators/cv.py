@@ -122,8 +122,10 @@ def run_cv(
     seq: list[str] = SEQ,
     scalers: DataFrame | None = None,
     exact: bool = True,
+    per_sequence: bool = False,
 ) -> DataFrame:
-    """Fit every model on every key and score its held-out sequences: one row per model and key.
+    """Fit every model on every key and score its held-out sequences: one row per model and key, or (`per_sequence`) one per
+    model, key and sequence, which is what comparisons and bootstraps of fitted folds read.
 
     `df` holds the trials with their fold; each model is one keyed job per iteration, whatever the number
     of keys.
@@ -139,7 +141,13 @@ def run_cv(
         start = start_model(m, init, keys, coh, prior, scalers, label)
         fits = fit(m, start, rows, packed, stop, fold, seq, exact)
         test = test_model(fits, start, label, test_of)
-        scored = held_out(m, test, rows, packed, fold, seq).groupBy("fit_key").agg(
+        each = held_out(m, test, rows, packed, fold, seq)
+        if per_sequence:
+            named = values_table(df.sparkSession, ["model", "fit_key", label], [(m, i, f.key[label]) for i, f in enumerate(fits)])
+            ll = each.select(*seq, "fit_key", F.col("ll").alias("test_ll"), F.col("n").alias("n_test"))
+            out.append(named.join(ll, "fit_key").drop("fit_key"))
+            continue
+        scored = each.groupBy("fit_key").agg(
             F.sum("ll").alias("test_ll"), F.sum("n").alias("n_test"), F.count(F.lit(1)).alias("n_test_sequences")
         )
         info = values_table(
@@ -155,3 +163,24 @@ def run_cv(
     for t in out[1:]:
         result = result.unionByName(t)
     return result.withColumn("test_ll_per_trial", F.col("test_ll") / F.col("n_test"))
+
+
+SERIAL = ["independent_switching", "serial_stimulus", "serial_response", "serial_both"]
+
+
+def serial_cv(df: DataFrame, params: Params, grid: list[tuple[float, float]], fold: str = "fold", seq: list[str] = SEQ) -> DataFrame:
+    """Held-out LL of every sequence under the serial models, their coefficients chosen on the other folds.
+
+    One pass gives the LL of each sequence at each point of the grid; the rest works on these sums. The model without
+    serial terms is the point (0, 0); ties go to the smaller coefficients.
+    """
+    point = ["alpha_stim", "alpha_resp"]
+    each = sc.serial_profile(df, params, grid, (fold, *seq))
+    by_fold = each.groupBy(fold, *point).agg(F.sum("ll").alias("own"))
+    total = by_fold.groupBy(*point).agg(F.sum("own").alias("total"))
+    no_stim, no_resp = F.col("alpha_stim") == 0, F.col("alpha_resp") == 0
+    allowed = F.array(F.when(no_stim & no_resp, SERIAL[0]), F.when(no_resp, SERIAL[1]), F.when(no_stim, SERIAL[2]), F.lit(SERIAL[3]))
+    tried = by_fold.join(total, point).withColumn("model", F.explode(F.filter(allowed, lambda m: m.isNotNull())))
+    order = F.struct(F.round(F.col("total") - F.col("own"), 9).alias("ll"), (-F.col("alpha_stim")).alias("a"), (-F.col("alpha_resp")).alias("b"))
+    best = tried.groupBy("model", fold).agg(*[F.max_by(c, order).alias(c) for c in point])
+    return each.join(best, [fold, *point]).select("model", fold, *seq, *point, F.col("n").alias("n_test"), F.col("ll").alias("test_ll"))

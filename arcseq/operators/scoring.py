@@ -288,14 +288,14 @@ def block_responsibilities(df: DataFrame, params: Params, keys: list[str]) -> Da
     )
 
 
-def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]]) -> DataFrame:
-    """Total LL at every (alpha_stim, alpha_resp) of the grid at fixed weights and concentrations.
+def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]], by: tuple = ()) -> DataFrame:
+    """Total LL (for each group of `by`) at every (alpha_stim, alpha_resp) of the grid at fixed weights and concentrations.
 
-    The grid is expanded inside each task and summed map-side; one row per grid point is shuffled.
+    The grid is expanded inside each task and summed map-side; one row per group and grid point is shuffled.
     """
     points = F.array(*[F.struct(C.dbl(a).alias("alpha_stim"), C.dbl(b).alias("alpha_resp")) for a, b in grid])
     base = attach_params(df, params).select(
-        "y", "theta", "cos_p", "kappa_s", "norm_s", "kappa_p", "norm_p",
+        *by, "y", "theta", "cos_p", "kappa_s", "norm_s", "kappa_p", "norm_p",
         C.circ_diff(F.col("serial_theta"), F.col("theta")).alias("ds"),
         C.circ_diff(F.col("serial_y"), F.col("theta")).alias("dr"),
         F.explode(points).alias("g"),
@@ -307,7 +307,7 @@ def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]
         C.dbl(log_w[1]) + F.col("kappa_p") * F.col("cos_p") - F.col("norm_p"),
         C.dbl(log_w[2] - LOG_TWO_PI),
     ]
-    return base.groupBy(F.col("g.alpha_stim").alias("alpha_stim"), F.col("g.alpha_resp").alias("alpha_resp")).agg(
+    return base.groupBy(*by, F.col("g.alpha_stim").alias("alpha_stim"), F.col("g.alpha_resp").alias("alpha_resp")).agg(
         F.sum(C.logsumexp(logs)).alias("ll"), F.count(F.lit(1)).alias("n")
     )
 

@@ -205,6 +205,38 @@ def e8_run_cv(spark, sf):
     )
 
 
+@register
+def e8_cv_sequences(spark, sf):
+    """Held-out LL of every sequence under the fit of the other folds."""
+    return cv.run_cv(
+        with_folds(spark, sf), ["subject_iid", "hmm"], MAIN, cv.fold_keys(None, OTHERS, LABELS), COH, PRIOR,
+        em.Stop(max_iter=3, tol=None), exact=False, per_sequence=True,
+    )
+
+
+def serial_scores(spark, sf):
+    df = tt.serial_previous(with_folds(spark, sf))
+    return staged_once(spark, ("serial_scores", sf), lambda: cv.serial_cv(df, MAIN, fixed.GRID))
+
+
+@register
+def e8_serial_cv(spark, sf):
+    return serial_scores(spark, sf).select("model", "fold", *SEQ, "n_test", *rr("alpha_stim", "alpha_resp", "test_ll"))
+
+
+@register
+def a10_serial_cv(spark, sf):
+    out = cmp.summarise_cv(cmp.cv_results(serial_scores(spark, sf)))
+    return out.select("model", "folds", *rr("mean_test_ll_per_trial", "se_test_ll_per_trial", "delta_from_best_per_trial"))
+
+
+@register
+def b1_serial_cv(spark, sf):
+    """Bootstrap over held-out sequences of the gain that the serial terms bring."""
+    out = rs.bootstrap_diff(serial_scores(spark, sf), cv.SERIAL[0], cv.SERIAL[1:], draws=200)
+    return out.select("model", "baseline", "n_sequences", *rr("observed_delta_ll_per_trial", "ci_low", "ci_high"))
+
+
 @register
 def e8_run_cv_subjects(spark, sf):
     df = segment_rows(spark, sf)

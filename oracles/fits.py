@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from arcseq.columns import STATES
 from arcseq.plans import fixed
-from oracles.base import K, LOG_TWO_PI, cte, query, r, rr
+from oracles.base import K, LOG_TWO_PI, circ, cte, query, r, rr
 from oracles.models import (
     COND_W, FILT, PRED, SEG, TR, block_cte, chain_ctes, d, emission_cte, mix_cte, runs_cte, viterbi_ctes,
 )
@@ -280,6 +280,29 @@ cte(
     f"""SELECT *, test_ll / n_test AS test_ll_per_trial FROM (SELECT model, {K}, count(*) AS n_test, sum(ll) AS test_ll FROM trial_lls GROUP BY model, {K}) JOIN (SELECT {K}, fold, prior_std FROM folds) USING ({K})""",
 )
 add("a12_seq_scores", f"SELECT model, fold, {K}, n_test, {rr('prior_std', 'test_ll', 'test_ll_per_trial')} FROM seq_lls")
+GRID_POINTS = ", ".join(f"({float(a)}::DOUBLE, {float(b)}::DOUBLE)" for a, b in fixed.GRID)
+SW = [f"{float(w)!r}::DOUBLE" for w in fixed.WEIGHTS]
+cte(
+    "sercv_each",
+    f"""SELECT fold, {K}, alpha_stim, alpha_resp, count(*) AS n,
+sum(ln({SW[0]}*exp(kappa_s*cos(y - (theta + alpha_stim*ds + alpha_resp*dr)) - norm_s) + {SW[1]}*exp(lb2) + {SW[2]}*exp(lb3))) AS ll
+FROM (SELECT *, {circ('coalesce(prev_theta, theta)', 'theta')} AS ds, {circ('coalesce(prev_y, y)', 'theta')} AS dr FROM emis) JOIN (SELECT {K}, fold FROM folds) USING ({K})
+CROSS JOIN (VALUES {GRID_POINTS}) g(alpha_stim, alpha_resp) GROUP BY ALL""",
+)
+cte("sercv_fold", "SELECT fold, alpha_stim, alpha_resp, sum(sercv_each.ll) AS own FROM sercv_each GROUP BY ALL")
+cte(
+    "sercv_best",
+    """SELECT model, fold, alpha_stim, alpha_resp FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY round(train, 9) DESC, alpha_stim, alpha_resp) AS rk FROM (
+SELECT fold, alpha_stim, alpha_resp, sum(own) OVER (PARTITION BY alpha_stim, alpha_resp) - own AS train FROM sercv_fold) JOIN (VALUES ('independent_switching', true, true), ('serial_stimulus', false, true), ('serial_response', true, false), ('serial_both', false, false)) m(model, s0, r0)
+ON (alpha_stim = 0 OR NOT s0) AND (alpha_resp = 0 OR NOT r0)) WHERE rk = 1""",
+)
+cte("sercv", f"SELECT model, fold, {K}, alpha_stim, alpha_resp, n AS n_test, sercv_each.ll AS test_ll FROM sercv_each JOIN sercv_best USING (fold, alpha_stim, alpha_resp)")
+add("e8_serial_cv", f"SELECT model, fold, {K}, n_test, {rr('alpha_stim', 'alpha_resp', 'test_ll')} FROM sercv")
+add(
+    "a10_serial_cv",
+    f"""SELECT model, count(DISTINCT fold) AS folds, {rr('avg(l) AS mean_test_ll_per_trial', 'stddev_samp(l) / sqrt(count(*)) AS se_test_ll_per_trial', 'avg(l) - max(avg(l)) OVER () AS delta_from_best_per_trial')}
+FROM (SELECT model, fold, sum(test_ll) / sum(n_test) AS l FROM sercv GROUP BY model, fold) GROUP BY model""",
+)
 cte("cv_rows", "SELECT model, fold, sum(test_ll) AS test_ll, sum(test_ll) / sum(n_test) AS l FROM seq_lls GROUP BY model, fold")
 add(
     "a10_summarise_cv",
