@@ -29,14 +29,10 @@ def hex_number(digest: Column, start: int, digits: int) -> Column:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """Every row whole (`row`), beside doc_id, source, text and two marks of the text (`x`, `n`): whatever other columns the
-    table has, and however they are called, they travel in `row`."""
+    """Every row whole (`row`), beside doc_id, source, text and a key of these three (equal for repeated rows, never null):
+    whatever other columns the table has, and however they are called, they travel in `row`."""
     t = text_of()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), "doc_id", "source", "text", F.xxhash64(t).alias("x"), F.length(t).alias("n"))
-
-
-def rows_in(tagged: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of `tagged` whose doc_id, source and text marks are among `chosen`, a null meeting a null; rows in their own columns."""
-    same = "t.doc_id <=> c.doc_id AND t.source <=> c.source AND t.x = c.x AND t.n = c.n"
-    return tagged.alias("t").join(chosen.alias("c"), F.expr(same), "left_semi").select("row.*")
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(t), F.length(t)]
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    return docs.select(row.alias("row"), "doc_id", "source", "text", F.concat_ws("|", *own, source).alias("key"))

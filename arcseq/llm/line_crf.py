@@ -23,10 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arcseq.llm.common import marked, rows_in
 from arcseq.llm.labelled import held_out, sample_of
-from arcseq.session import stage
 
 THRESHOLD = 0.3
 TRAIN_DOCS = 2000
@@ -217,7 +216,7 @@ def scored(docs: DataFrame, model, *carry: str) -> DataFrame:
     def read(batches):
         for b in batches:
             parts = [np.full(len(own), share) if share is not None else scores(own, w, trans) for own in chunks(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(parts))], names=[*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*b.schema.names[1:], "score"])
 
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *carry)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
@@ -231,8 +230,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier predicts to be good, with their own columns."""
-    tagged = marked(docs)
-    found = scored(tagged, train(docs, labels), "source", "x", "n")
-    good = stage(found.where(F.col("score") >= THRESHOLD).select("doc_id", "source", "x", "n").distinct(), "quality-good")
-    return rows_in(tagged, good)
+    """The rows that the classifier predicts to be good, with their own columns; rows pass through the scoring tasks whole,
+    so no join has to bring verdict and row together."""
+    w, trans, share = train(docs, labels)
+    at = docs.columns.index("text")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+
+    def read(batches):
+        for b in batches:
+            texts = b.column(at).cast(pa.string())
+            parts = [np.full(len(own), share) if share is not None else scores(own, w, trans) for own in chunks(texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*b.schema.names, name])
+
+    scored_rows = docs.mapInArrow(read, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return scored_rows.where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

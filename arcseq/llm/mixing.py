@@ -113,19 +113,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
 def emit(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with all its columns.
 
-    Copy counts meet their rows by id, source, size and order hash of the text; rows equal in all of these take their
-    counts in turn, so repeated rows are not multiplied.
+    Copy counts meet their rows by a key of id, source and text; repeated rows take their counts in turn, so that they are
+    not multiplied.
     """
-    same = ["doc_id", "skey", "x", "size"]
     tagged = marked(docs)
-    rows = stage(sized(tagged, "x"), "mix-sizes")
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    taken = copies(rows, weights, most, seed).select(*same, "copies").withColumn("turn", turn).where("copies > 0")
-    taken = stage(taken, "mix-copies").alias("c")
-    own = tagged.select("row", "doc_id", source_key().alias("skey"), "x", word_count(text_of()).alias("size"))
-    own = own.withColumn("turn", turn).alias("o")
-    met = own.join(taken, F.expr("o.doc_id <=> c.doc_id AND o.skey = c.skey AND o.x = c.x AND o.size = c.size AND o.turn = c.turn"))
-    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies")))).select("row.*")
+    rows = stage(sized(tagged, "key"), "mix-sizes")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    taken = copies(rows, weights, most, seed).select("key", "copies").withColumn("turn", turn).where("copies > 0")
+    taken = stage(taken, "mix-copies")
+    own = tagged.select("row", "key").withColumn("turn", turn)
+    met = own.join(taken, ["key", "turn"])
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def oracle(weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> str:

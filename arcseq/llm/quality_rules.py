@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import SPACES, hex_number, marked, rows_in, text_of
+from arcseq.llm.common import SPACES, hex_number, marked, text_of
 from arcseq.session import stage
 
 MIN_WORDS = 50
@@ -151,9 +151,9 @@ def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = M
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
     tagged = marked(docs)
-    base = stage(base_rules(tagged, "source", "source", "x", "n"), "quality-base")
-    good = stage(judged(base, **limits).where("kept").select("doc_id", "source", "x", "n").distinct(), "quality-kept")
-    return rows_in(tagged, good)
+    base = stage(base_rules(tagged, "source", "key"), "quality-base")
+    good = stage(judged(base, **limits).where("kept").select("key").distinct(), "quality-kept")
+    return tagged.join(good, "key", "left_semi").select("row.*")
 
 
 ORACLE = rf"""

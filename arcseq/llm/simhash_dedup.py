@@ -283,12 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id (nulls last), with all its columns."""
     tagged = marked(docs)
-    rows = stage(fingerprints(tagged, "source", "x", "n"), "fingerprints")
+    rows = stage(fingerprints(tagged, "key"), "fingerprints")
     joined = rows.join(components(rows).select("fp", "root"), "fp")
-    key = ["doc_id", "source", "x", "n"]
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("k"))
-    first = stage(first.select(*[f"k.{c}" for c in key]), "components-first")
-    same = F.expr("t.doc_id <=> c.doc_id AND t.source <=> c.source AND t.x = c.x AND t.n = c.n")
-    met = tagged.alias("t").join(first.alias("c"), same, "left_semi")
-    once = met.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("k = 1")
-    return once.select("row.*")
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k"))
+    first = stage(first.select("k.key"), "components-first")
+    once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))  # of repeated rows one
+    return tagged.join(first, "key", "left_semi").withColumn("k", once).where("k = 1").select("row.*")

@@ -10,7 +10,7 @@ where the second part falls below zero, its own gradient is reversed, so that th
 positives negative. The prior is the share of toxic rows among those labelled and not held out.
 
 Learning sees about `TRAIN_POSITIVE` positives and `TRAIN_UNLABELLED` other documents of at most `TRAIN_CHARS` characters;
-feature counts are summed in Spark. Scoring reads whole texts, in tasks.
+feature counts are summed in Spark, and of near copies in the sample one is kept. Scoring reads whole texts, in tasks.
 
 Nulls: a null text counts as empty; a row with a null doc_id is scored, but never learnt from. Repeated rows are scored
 alike. Without positives or without unlabelled rows the score is the prior (0 without labels). An empty table gives an
@@ -44,18 +44,21 @@ MIN_Z = 5.0
 STEPS = 400
 RATE = 0.05
 RIDGE = 1e-3
-CACHE_WORDS = 800_000
-CHUNK_BYTES = 8 << 20
+#: Words a worker keeps with their features (a word with seven features takes some 500 bytes).
+CACHE_WORDS = 200_000
+CHUNK_BYTES = 4 << 20
+#: Words of a window by which copies in the sample are told.
+WINDOW = 6
 MARKS = string.punctuation + "¿¡«»“”„‘’…–—"
 
 _caches: dict = {}
 
 
-def word_features(word: str) -> list[int]:
+def word_features(word: str) -> tuple[int, ...]:
     w = word.lower().strip(MARKS)
     if not w:
-        return []
-    return [zlib.crc32(w.encode()) % FEATURES, *(zlib.crc32(w[:k].encode(), k) % FEATURES for k in PREFIXES if len(w) > k)]
+        return ()
+    return (zlib.crc32(w.encode()) % FEATURES, *(zlib.crc32(w[:k].encode(), k) % FEATURES for k in PREFIXES if len(w) > k))
 
 
 def chunked(texts: pa.Array):
@@ -95,6 +98,24 @@ def held(texts: pa.Array, known: dict, features_of) -> tuple[np.ndarray, np.ndar
     return both >> 32, both & 0xFFFFFFFF, times, per_doc
 
 
+def signature(text: str) -> int:
+    """The smallest hash of the text's word windows: equal for copies, and for most near copies."""
+    words = text.split()
+    return min(zlib.crc32(" ".join(words[k : k + WINDOW]).encode()) for k in range(max(1, len(words) - WINDOW + 1)))
+
+
+def once(sample: DataFrame) -> DataFrame:
+    """One text of each group of near copies: a group must not weigh as much as it has copies."""
+
+    def read(batches):
+        for b in batches:
+            signs = [signature(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signs, pa.int64())], names=["doc_id", "text", "sign"])
+
+    signed = sample.select("doc_id", "text").mapInArrow(read, "doc_id long, text string, sign long")
+    return signed.groupBy("sign").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.*")
+
+
 def feature_counts(sample: DataFrame) -> DataFrame:
     """feature -> documents of `sample` (text) that hold it."""
 
@@ -125,7 +146,7 @@ def _cache_of(selected: np.ndarray) -> tuple[dict, callable]:
         _caches.clear()
         _caches[key] = {}
     number = {int(f): k for k, f in enumerate(selected)}
-    return _caches[key], lambda w: [number[f] for f in word_features(w) if f in number]
+    return _caches[key], lambda w: tuple(number[f] for f in word_features(w) if f in number)
 
 
 class Evidence:
@@ -200,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray |
     told = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     n, toxic = told.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = toxic / n if n else 0.0
-    positive = stage(sample_of(docs, labels, "toxic", 1, TRAIN_POSITIVE, TRAIN_CHARS), "toxic-positive")
-    unlabelled = stage(thinned(learnable(docs, TRAIN_CHARS), docs.count(), TRAIN_UNLABELLED), "toxic-unlabelled")
+    positive = stage(once(sample_of(docs, labels, "toxic", 1, TRAIN_POSITIVE, TRAIN_CHARS)), "toxic-positive")
+    unlabelled = stage(once(thinned(learnable(docs, TRAIN_CHARS), docs.count(), TRAIN_UNLABELLED)), "toxic-unlabelled")
     n_p, n_u = positive.count(), unlabelled.count()
     if not (n_p and n_u and 0 < prior < 1):
         return np.zeros(0, np.int64), None, prior
