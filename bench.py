@@ -27,7 +27,8 @@ HEADLINE = [
     "m2_score_mixture", "m3_score_serial_both", "m8_grid_loglik", "m13_fold_scaler", "h1_forward_filter", "h3_smooth", "h4_pairwise",
     "h5_covariate_smooth", "h6_viterbi", "h8_score_block", "h10_score_hybrid", "e1_fit_mixture", "e3_fit_hmm", "e5_fit_block",
     "e6_fit_hybrid", "a12_seq_scores", "a10_summarise_cv", "b1_bootstrap_diff", "b5_permutation_distribution", "b7_metrics",
-    "a16_retention", "st1_stream_filter",
+    "a16_retention", "st1_stream_filter", "e4_fit_covariate_hmm", "e8_run_cv", "e8_serial_cv", "e9_fit_subjects", "e11_em_diagnostics",
+    "b4_effect_intervals", "b6_permutation_refit", "b9_chronological_eval", "m6_bayes_grid_map",
 ]
 
 

@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "slice_ll_by_subject", "s6_trials_from_events", "p3_missing_report", "w5_split_segments", "a5_condition_metrics", "h3_smooth",
     "h5_covariate_smooth", "h6_viterbi", "h10_score_hybrid", "e1_fit_mixture", "e3_fit_hmm", "e5_fit_block", "b1_bootstrap_diff",
-    "a16_retention_summary", "a23_run_length_calibration", "st1_stream_filter",
+    "a16_retention_summary", "a23_run_length_calibration", "st1_stream_filter", "s2_csv_scan", "w9_non_contiguous_blocks", "j5_reconcile",
+    "j11_verify_refit", "a32_score_checks", "a14_group_summary", "m8_grid_loglik", "b5_permutation_distribution", "b3_bootstrap_subjects",
+    "e8_serial_cv", "a10_serial_cv", "w11_subject_folds", "w15_permute_cross_subject", "p6_level_index", "st2_stream_block",
 ]
 
 
