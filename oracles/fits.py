@@ -468,6 +468,21 @@ FROM range({n_draws}) a(draw), (SELECT row_number() OVER () - 1 AS k, nu FROM {n
     )
 
 
+SERIAL = ["serial_stimulus", "serial_response", "serial_both"]
+cte(
+    "b1s_units",
+    f"""SELECT fold, {K}, n_test, {', '.join(f'{m} - independent_switching AS d_{m}' for m in SERIAL)} FROM (
+SELECT fold, {K}, max(n_test) AS n_test, {', '.join(f"max(CASE WHEN model = '{m}' THEN test_ll END) AS {m}" for m in ['independent_switching', *SERIAL])} FROM sercv GROUP BY fold, {K})""",
+)
+draws("b1s_draws", "b1s_units", "fold, " + K, ["n_test", *[f"d_{m}" for m in SERIAL]], 200, 42)
+add(
+    "b1_serial_cv",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS model, 'independent_switching' AS baseline, (SELECT count(*) FROM b1s_units) AS n_sequences, {r(f'(SELECT sum(d_{m}) / sum(n_test) FROM b1s_units)')} AS observed_delta_ll_per_trial,
+{rr('quantile_cont(x, 0.025) AS ci_low', 'quantile_cont(x, 0.975) AS ci_high')} FROM (SELECT d_{m} / n_test AS x FROM b1s_draws)"""
+        for m in SERIAL
+    ),
+)
 B1 = MODELS[1:]
 cte(
     "b1_units",
