@@ -153,9 +153,11 @@ def effect_intervals(packed: Packed, keyset: KeySet, x_cols: tuple, draws: int =
     schema = ", ".join(f"{k} string" for k in keys)
     stats = spark.createDataFrame([(*label(c, i, j), float(x)) for c, i, j in names for x in drawn[:, i, j, c]], schema + ", stat double")
     boot = stats.groupBy(*keys).agg(*_interval("stat"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_effect_le_0"))
-    observed = spark.createDataFrame([(*label(c, i, j), float(point[i, j, c])) for c, i, j in names], schema + ", delta_plus_minus double")
+    observed = [(*label(c, i, j), k, float(point[i, j, c])) for k, (c, i, j) in enumerate(names)]
+    observed = spark.createDataFrame(observed, schema + ", place int, delta_plus_minus double")
     two_sided = 2 * F.least(F.col("p_effect_le_0"), 1 - F.col("p_effect_le_0"))
-    return observed.join(boot, keys).withColumns({"p_two_sided": two_sided, "n_sequences": F.lit(n_units)})
+    out = observed.join(boot, keys).withColumns({"p_two_sided": two_sided, "n_sequences": F.lit(n_units)})
+    return out.orderBy("place").drop("place")
 
 
 def _effects(B):
