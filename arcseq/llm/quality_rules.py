@@ -5,12 +5,15 @@ Every line is normalised (lower case, digit runs to 0, white space runs to one b
 documents and more than `max_share` of the host's documents hold it; its occurrences are removed. A document that loses
 more than `max_removed` of its line characters is depleted and rejected, as is one that fails the base rules.
 
-Copies of one document are not boilerplate: documents that agree in their smallest other line hash count once (the
-smallest hash among the document's lines besides the counted one). Without that a group of copies that fills a share of
-a host would reject itself, and deduplication would find nothing to keep.
+Copies of one document are not boilerplate: documents of a host whose whole sets of line hashes are equal count once, in
+the line's count and in the host's. Without that a group of copies that fills a share of a host would reject itself, and
+deduplication would find nothing to keep. Documents that differ in any line count each, however many lines they share.
 
-The lines removed from a host number at most (lines per document) / max_share, so a host's list stays small; it is joined
-to the documents by host, where adaptive execution broadcasts a small list and splits a hot host otherwise.
+The SQL below still counts documents by their smallest other line hash. Both remove the same lines where few lines of a
+document are frequent; the SQL misses lines of templates of several lines.
+
+Documents meet the lines above the limits line by line, and their verdict by the hash of host and line set; no list of a
+host's lines is gathered.
 
 Nulls: a null text has no words and fails the base rules; a null source is a host of its own; a null doc_id stays as it
 is. Repeated rows are judged alike and all returned. An empty table gives an empty result. Other columns are left out of
@@ -95,33 +98,42 @@ def base_rules(docs: DataFrame, host: str = "source", *carry: str) -> DataFrame:
     return base.withColumn("base_failed", failed)
 
 
+def line_set() -> Column:
+    """One hash over host and the sorted different line hashes: equal for copies."""
+    return F.xxhash64("host", F.array_sort(F.array_distinct(F.col("lines.h"))))
+
+
 def counted_lines(base: DataFrame) -> DataFrame:
     """(host, h, n_docs): for every line of a host, the documents that hold it, copies once."""
-    own = base.select("host", F.array_sort(F.array_distinct(F.col("lines.h"))).alias("hs"))
-    each = own.select("host", F.explode("hs").alias("h"), F.get("hs", F.lit(0)).alias("first"), F.get("hs", F.lit(1)).alias("second"))
-    other = F.coalesce(F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(-1))
-    distinct = each.select("host", "h", other.alias("other")).distinct()
+    distinct = base.select("host", line_set().alias("set"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct()
     return distinct.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """One row for each host that has lines above the limits: their hashes."""
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    """(host, h) of every line above the limits."""
+    hosts = base.select("host", line_set().alias("set")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = counted_lines(base).where(F.col("n_docs") > min_docs).alias("l")
     above = lines.join(hosts.alias("s"), F.expr(f"l.host <=> s.host AND l.n_docs > {max_share} * s.docs"))
-    return above.groupBy(F.col("l.host").alias("host")).agg(F.collect_set(F.col("l.h")).alias("removed"))
+    return above.select("l.host", "l.h")
 
 
-def judged(base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """`base` (a written table) with line_chars, removed_chars, depleted and kept."""
+def removed_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(set, removed): the hashes above the limits in every line set that has any."""
     above = stage(frequent_lines(base, min_docs, max_share), "quality-above").alias("f")
-    joined = base.alias("b").join(above, F.expr("b.host <=> f.host"), "left").select("b.*", F.col("f.removed").alias("removed"))
-    hit = F.array_intersect(F.col("lines.h"), F.coalesce("removed", F.array().cast("array<bigint>")))
+    each = base.select("host", line_set().alias("set"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).alias("e")
+    met = each.join(above, F.expr("e.h = f.h AND e.host <=> f.host")).select("e.set", "e.h").distinct()
+    return met.groupBy("set").agg(F.sort_array(F.collect_list("h")).alias("removed"))
+
+
+def judged(base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """`base` (a written table) with removed (line hashes, null for none), line_chars, removed_chars, depleted and kept."""
+    removed = stage(removed_lines(base, min_docs, max_share), "quality-removed")
+    joined = base.withColumn("set", line_set()).join(removed, "set", "left").drop("set")
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x.chars)
-    gone = bound(hit, lambda s: chars(F.filter("lines", lambda x: F.array_contains(s, x.h))))
-    out = joined.withColumn("line_chars", chars(F.col("lines"))).withColumn("removed_chars", gone)
+    gone = F.when(F.col("removed").isNull(), 0).otherwise(chars(F.filter("lines", lambda x: F.array_contains("removed", x.h))))
+    out = joined.withColumn("line_chars", chars(F.col("lines"))).withColumn("removed_chars", gone.cast("long"))
     out = out.withColumn("depleted", F.col("removed_chars") > max_removed * F.col("line_chars"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("removed")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
@@ -142,9 +154,9 @@ def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = M
     """The documents with lines above the limits taken out of their texts; all columns stay."""
     host = F.col("source").cast("string").alias("host")
     base = stage(docs.select("doc_id", host, line_hashes(text_of()).alias("lines")), "quality-lines")
-    above = stage(frequent_lines(base, min_docs, max_share), "quality-above").alias("f")
-    tagged = marked(docs).select("row", host).alias("t").join(above, F.expr("t.host <=> f.host"), "left")
-    clean = F.when(F.col("f.removed").isNull(), F.col("row.text")).otherwise(cleaned_text(F.col("row.text"), F.col("f.removed")))
+    removed = stage(removed_lines(base, min_docs, max_share), "quality-removed")
+    tagged = marked(docs).select("row", host, line_hashes(text_of()).alias("lines")).withColumn("set", line_set()).join(removed, "set", "left")
+    clean = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(cleaned_text(F.col("row.text"), F.col("removed")))
     return tagged.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
 

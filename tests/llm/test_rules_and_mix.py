@@ -57,6 +57,27 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert cleaned[3] == f"{long_line(3)}\n{long_line(1003)}\n{long_line(2003)}" and cleaned[200].startswith("cookiea")
 
 
+def test_lines_of_a_template_are_counted_in_every_document(spark):
+    template = [long_line(5000 + k) for k in range(20)]
+    rows = [(i, "\n".join([*template, long_line(i), long_line(i + 2000)]), "h") for i in range(60)]
+    rows += [(100 + i, "\n".join(long_line(i + 4000 + 200 * k) for k in range(3)), "h") for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    chars = sum(map(len, template))
+    assert all(got[i]["removed_chars"] == chars and not got[i]["kept"] for i in range(60))
+    assert all(got[100 + i]["removed_chars"] == 0 and got[100 + i]["kept"] for i in range(140))
+
+
+def test_documents_of_template_lines_only(spark):
+    template = [long_line(5000 + k) for k in range(20)]
+    rows = [(i, "\n".join(template[:i] + template[i + 1 :]), "h") for i in range(20)]  # each without one of the lines
+    rows += [(100 + i, "\n".join(long_line(i + 4000 + 200 * k) for k in range(3)), "h") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert all(got[i]["removed_chars"] == got[i]["line_chars"] > 0 and not got[i]["kept"] for i in range(20))
+    assert all(got[100 + i]["kept"] for i in range(80))
+
+
 def test_keep_documents_returns_the_rows_as_they_were(odd_docs):
     verdict = Counter((r["doc_id"], r["n_words"]) for r in quality_rules.quality_rules(odd_docs).where("kept").collect())
     kept = quality_rules.keep_documents(odd_docs)
