@@ -168,6 +168,16 @@ def keep_documents(docs: DataFrame, **limits) -> DataFrame:
     return tagged.join(good, "key", "left_semi").select("row.*")
 
 
+def clean_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The rows that the rules keep, lines above the limits taken out of their texts; the other columns stay as they are."""
+    tagged = marked(docs)
+    base = stage(base_rules(tagged, "source", "key"), "quality-base")
+    good = stage(judged(base, **limits).where("kept").select("key", "removed").distinct(), "quality-kept")
+    text = F.col("row.text")
+    clean = F.when(F.col("removed").isNull(), text).otherwise(cleaned_text(text, F.col("removed")))
+    return tagged.join(good, "key").select(F.col("row").withField("text", clean).alias("row")).select("row.*")
+
+
 ORACLE = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t,

@@ -10,8 +10,8 @@ from arcseq.session import ship, stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_documents(docs)
+    """Documents that the quality rules keep, without their hosts' frequent lines."""
+    return quality_rules.clean_documents(docs)
 
 
 def drop_bad_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_stages_follow_one_another(spark):
     assert corpus_pipeline.run(spark, SF).count() == after.count()
 
 
+def test_first_stage_takes_frequent_lines_out(spark):
+    banner = "accept the cookies of this host"
+    own = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for i in range(40)]
+    rows = [(i, f"{banner}\n{t}" if i < 30 else t, "h", i) for i, t in enumerate(own)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, removed long")
+    after = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert after.columns == docs.columns
+    want = Counter((i, t, "h", i) for i, t in enumerate([*own])) + Counter([(0, own[0], "h", 0)])
+    assert Counter(map(tuple, after.collect())) == want
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
