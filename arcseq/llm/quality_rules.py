@@ -2,15 +2,17 @@
 
 Every line is normalised (lower case, digit runs to 0, white space runs to one blank, trimmed) and hashed. For each host
 (the `source` column) and line, distinct documents are counted. A line is above the limits when more than `min_docs`
-documents and more than `max_share` of the host's documents hold it; its occurrences are removed. A document that loses
-more than `max_removed` of its line characters is depleted and rejected, as is one that fails the base rules.
+documents hold it, and either more than `max_share` of the host's documents or more than `max_docs` documents; the limit
+so stops growing with the host. Occurrences of lines above the limits are removed. A document that loses more than
+`max_removed` of its line characters is depleted and rejected, as is one that fails the base rules.
 
 Copies of one document are not boilerplate: documents of a host whose whole sets of line hashes are equal count once, in
 the line's count and in the host's. Without that a group of copies that fills a share of a host would reject itself, and
 deduplication would find nothing to keep. Documents that differ in any line count each, however many lines they share.
 
-The SQL below still counts documents by their smallest other line hash. Both remove the same lines where few lines of a
-document are frequent; the SQL misses lines of templates of several lines.
+The SQL below still counts documents by their smallest other line hash, and knows no `max_docs`. Both remove the same lines
+where few lines of a document are frequent; the SQL misses lines of templates of several lines, and lines of hosts of more
+than `max_docs` / `max_share` documents that `max_docs` alone rules out.
 
 Documents meet the lines above the limits line by line, and their verdict by the hash of host and line set; no list of a
 host's lines is gathered.
@@ -33,6 +35,8 @@ MAX_REPEATED_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 MIN_DOCS = 10
 MAX_SHARE = 0.05
+#: A line in more documents of a host than this is above the limits whatever its share.
+MAX_DOCS = 1000
 MAX_REMOVED = 0.5
 
 
@@ -109,25 +113,27 @@ def counted_lines(base: DataFrame) -> DataFrame:
     return distinct.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(base: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
     """(host, h) of every line above the limits."""
     hosts = base.select("host", line_set().alias("set")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = counted_lines(base).where(F.col("n_docs") > min_docs).alias("l")
-    above = lines.join(hosts.alias("s"), F.expr(f"l.host <=> s.host AND l.n_docs > {max_share} * s.docs"))
+    above = lines.join(hosts.alias("s"), F.expr(f"l.host <=> s.host AND l.n_docs > least({max_share} * s.docs, {max_docs})"))
     return above.select("l.host", "l.h")
 
 
-def removed_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def removed_lines(base: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
     """(set, removed): the hashes above the limits in every line set that has any."""
-    above = stage(frequent_lines(base, min_docs, max_share), "quality-above").alias("f")
+    above = stage(frequent_lines(base, min_docs, max_share, max_docs), "quality-above").alias("f")
     each = base.select("host", line_set().alias("set"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).alias("e")
     met = each.join(above, F.expr("e.h = f.h AND e.host <=> f.host")).select("e.set", "e.h").distinct()
     return met.groupBy("set").agg(F.sort_array(F.collect_list("h")).alias("removed"))
 
 
-def judged(base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def judged(
+    base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED, max_docs: int = MAX_DOCS
+) -> DataFrame:
     """`base` (a written table) with removed (line hashes, null for none), line_chars, removed_chars, depleted and kept."""
-    removed = stage(removed_lines(base, min_docs, max_share), "quality-removed")
+    removed = stage(removed_lines(base, min_docs, max_share, max_docs), "quality-removed")
     joined = base.withColumn("set", line_set()).join(removed, "set", "left").drop("set")
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x.chars)
     gone = F.when(F.col("removed").isNull(), 0).otherwise(chars(F.filter("lines", lambda x: F.array_contains("removed", x.h))))
@@ -150,11 +156,11 @@ def cleaned_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~F.array_contains(removed, key(x))), "\n")
 
 
-def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """The documents with lines above the limits taken out of their texts; all columns stay."""
     host = F.col("source").cast("string").alias("host")
     base = stage(docs.select("doc_id", host, line_hashes(text_of()).alias("lines")), "quality-lines")
-    removed = stage(removed_lines(base, min_docs, max_share), "quality-removed")
+    removed = stage(removed_lines(base, min_docs, max_share, max_docs), "quality-removed")
     tagged = marked(docs).select("row", host, line_hashes(text_of()).alias("lines")).withColumn("set", line_set()).join(removed, "set", "left")
     clean = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(cleaned_text(F.col("row.text"), F.col("removed")))
     return tagged.select(F.col("row").withField("text", clean).alias("row")).select("row.*")

@@ -78,6 +78,15 @@ def test_documents_of_template_lines_only(spark):
     assert all(got[100 + i]["kept"] for i in range(80))
 
 
+def test_the_limit_stops_growing_with_the_host(spark):
+    banner = "a line that many documents of a large host hold"
+    rows = [(i, f"{banner}\n{long_line(i)}" if i < 1001 else long_line(i), "h") for i in range(24_000)]
+    rows += [(30_000 + i, f"{banner}\n{long_line(i)}" if i < 1000 else long_line(i), "other") for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_chars"] for r in quality_rules.quality_rules(df).select("doc_id", "removed_chars").collect()}
+    assert len(got) == 48_000 and all(n == (len(banner) if i < 1001 else 0) for i, n in got.items())
+
+
 def test_keep_documents_returns_the_rows_as_they_were(odd_docs):
     verdict = Counter((r["doc_id"], r["n_words"]) for r in quality_rules.quality_rules(odd_docs).where("kept").collect())
     kept = quality_rules.keep_documents(odd_docs)
