@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from arcseq.llm import license_scan, line_crf, mixing, packing, quality_rules, repair_files, simhash_dedup, toxicity_pu, vector_search, warc_salvage
+from arcseq.llm import (
+    feast_whitening, importance_sort, license_scan, line_crf, mixing, packing, quality_rules, repair_files, simhash_dedup, toxicity_pu, vector_search,
+    warc_salvage, word_table,
+)
 from arcseq.llm.common import table
 from arcseq.session import ship
 
@@ -47,6 +50,18 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_word_table(spark, sf_dir):
+    return word_table.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whiten_embeddings(spark, sf_dir):
+    return feast_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return importance_sort.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(fn):
     def run(spark, sf_dir):
         ship(spark)
@@ -58,7 +73,8 @@ def _shipped(fn):
 
 _ALL = (
     op1_quality_rules, op2_mix_sources, op3_quality_classifier, op4_repair_token_files, op5_simhash_near_duplicates, op6_toxicity,
-    op7_warc_salvage, op8_pack_sequences, op9_vector_search, op10_license_scan,
+    op7_warc_salvage, op8_pack_sequences, op9_vector_search, op10_license_scan, op11_bpe_word_table, op12_whiten_embeddings,
+    op13_importance_resampling,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_mix_sources": mixing.oracle(), "op7_warc_salvage": warc_salvage.ORACLE}
