@@ -1,18 +1,16 @@
 """Encoding and decoding through a table of distinct words.
 
 The vocabulary's pre-tokenizer never joins characters across ASCII white space, so the ids of a text are the ids of its
-words in order, and the library decodes by putting one space between the pieces of all ids. Encoding:
+words in order, and the library decodes by putting one space between the pieces of all ids. The steps:
 
 1. tasks split whole texts into words and number the different words of each block of documents (`BLOCK_BYTES` of text, one
-   document at least); a document becomes the list of its words' numbers, its positions;
-2. the words of all blocks are made distinct, and the library encodes each distinct word once;
-3. the ids go back to the blocks by a join on the word, and to each place of each document by position.
+   document at least), frequent ones first; a document becomes the list of its words' numbers, in a byte or two each;
+2. the words of all blocks meet by word, sorted, and the library encodes each distinct word once;
+3. ids are joined to the vocabulary's pieces by id;
+4. ids and pieces go back to their blocks, and there by position to each place of each document.
 
-Decoding joins ids to the vocabulary's pieces by id, and puts the pieces of a sequence together in the order of its ids. As
-the ids of a document are those of its words, the round trip decodes each distinct word once, too.
-
-Only the words that differ within a block are shuffled by word: a word that holds a third of all places meets the join once
-per block. A block's documents and its part of the table meet in one task, and a block has a bounded size.
+Only the words that differ within a block are shuffled by word: a word that holds a third of all places takes part once per
+block. A block's documents and its part of the table meet in one task, and a block has a bounded size.
 
 Nulls: a null text is an empty one and has no ids; a null doc_id stays null. Repeated rows are documents of their own. A
 word without ids (white space beyond ASCII) adds nothing. An empty table gives an empty result. Other columns of the
@@ -33,11 +31,9 @@ from pyspark.sql import functions as F
 from arcseq.llm.word_ids import ragged, vocabulary
 from arcseq.session import stage
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Words that are given to the library at a time.
 WORDS_A_CALL = 4096
-#: Up to so many different words in a block, positions take two bytes each.
-NARROW = 1 << 16
 
 
 def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -50,9 +46,29 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the numbers, seven bits to a byte, the last byte of each below 128; and where each number ends."""
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        own = np.flatnonzero(sizes > k)
+        out[(ends - sizes)[own] + k] = (numbers[own] >> 7 * k) & 127 | np.where(sizes[own] > k + 1, 128, 0)
+    return out, ends
+
+
+def unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each ends."""
+    ends = np.flatnonzero(raw < 128) + 1
+    starts = np.concatenate([[0], ends])[:-1]
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(ends, prepend=0))
+    parts = (raw & 127).astype(np.int64) << 7 * place
+    return np.add.reduceat(parts, starts) if len(ends) else np.zeros(0, np.int64), ends
+
+
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: block, doc_id, at (positions: numbers of its words in the block), and words (the block's
-    different words, in the row of its first document)."""
+    """A row per document: block, doc_id, at (numbers of its words in the block), and words (the block's different words in
+    the order of their numbers, in the row of its first document)."""
 
     def split(batches):
         block = TaskContext.get().partitionId() << 32
@@ -61,14 +77,17 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             for a, b in slices(pc.binary_length(texts).to_numpy(), block_bytes):
                 words = pc.ascii_split_whitespace(texts.slice(a, b - a))
                 found = words.flatten().dictionary_encode()
-                at = found.indices.to_numpy().astype("<u2" if len(found.dictionary) <= NARROW else "<u4")
-                ends = np.cumsum(pc.list_value_length(words).to_numpy())
-                raw = memoryview(at.tobytes())
-                bounds = [0, *(ends * at.itemsize).tolist()]
+                at = found.indices.to_numpy()
+                order = np.argsort(-np.bincount(at, minlength=len(found.dictionary)), kind="stable")
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                raw, ends = packed(number[at])
+                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])].tolist()
+                raw = memoryview(raw.tobytes())
                 rows = [
                     pa.array(np.full(b - a, block)), batch.column(0).slice(a, b - a),
                     pa.array([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                    pa.array([found.dictionary.to_pylist(), *[None] * (b - a - 1)], pa.list_(pa.string())),
+                    pa.array([found.dictionary.take(pa.array(order)).to_pylist(), *[None] * (b - a - 1)], pa.list_(pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays(rows, names=["block", "doc_id", "at", "words"])
                 block += 1
@@ -77,8 +96,9 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(split, "block long, doc_id long, at binary, words array<string>")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word and its ids, for a table of distinct words."""
+def encode_words(used: DataFrame, path: str) -> DataFrame:
+    """owner, k, pos and id: the ids of the word of each row (owner, k, word). Equal words meet in one task, side by side, and
+    the library encodes the word once for all its rows."""
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,13 +107,27 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        last, last_ids = None, []
         for batch in batches:
             for a in range(0, len(batch), WORDS_A_CALL):
-                own = batch.column(0).slice(a, WORDS_A_CALL)
-                ids = [e.ids for e in tokenizer.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(encode, "word string, ids array<int>")
+                own = batch.slice(a, WORDS_A_CALL)
+                found = own.column(2).dictionary_encode()
+                words = found.dictionary.to_pylist()
+                known = words[0] == last  # a word that goes on from the slice before
+                ids = [last_ids] * known + [e.ids for e in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False)]
+                last, last_ids = words[-1], ids[-1]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+                of = found.indices.to_numpy()
+                rows = pa.array(np.repeat(np.arange(len(own)), sizes[of]))
+                pos = ragged(np.zeros(len(of), np.int64), sizes[of]).astype(np.int32)
+                taken = flat[ragged((np.cumsum(sizes) - sizes)[of], sizes[of])]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(rows), own.column(1).take(rows), pa.array(pos), pa.array(taken)], names=["owner", "k", "pos", "id"]
+                )
+
+    met = used.select("owner", "k", "word").repartition("word").sortWithinPartitions("word")
+    return met.mapInArrow(encode, "owner long, k int, pos int, id int")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -104,14 +138,20 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string")
 
 
+def with_pieces(places: DataFrame, path: str) -> DataFrame:
+    """`places` with the piece of each id; an id that the vocabulary lacks is an error."""
+    table = F.broadcast(pieces(places.sparkSession, path).select(F.col("id").alias("known"), "piece"))
+    missing = F.raise_error(F.concat(F.lit("no piece for id "), F.col("id").cast("string"))).cast("string")
+    joined = places.join(table, F.col("id") == F.col("known"), "left").drop("known")
+    return joined.withColumn("piece", F.when(F.col("id").isNotNull() & F.col("piece").isNull(), missing).otherwise(F.col("piece")))
+
+
 def decode(sequences: DataFrame, key: str, path: str | None = None) -> DataFrame:
     """`key` and text of each sequence (`key`, ids), keys being distinct: ids are joined to their pieces, and these are put
     together in order, with a space between them. A sequence that is null or empty has an empty text."""
-    table = pieces(sequences.sparkSession, path or vocabulary())
-    places = sequences.select(key, F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
-    piece = F.when(F.col("id").isNotNull(), F.struct("pos", F.coalesce("piece", F.raise_error(F.lit("an id without a piece"))).alias("piece")))
-    ordered = F.sort_array(F.collect_list(piece))
-    return places.groupBy(key).agg(F.array_join(ordered["piece"], " ").alias("text"))
+    places = sequences.select(key, F.posexplode_outer("ids").alias("pos", "id"))
+    piece = F.when(F.col("id").isNotNull(), F.struct("pos", "piece"))
+    return with_pieces(places, path or vocabulary()).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(piece))["piece"], " ").alias("text"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -119,25 +159,22 @@ def round_trip(docs: DataFrame, path: str | None = None, block_bytes: int = BLOC
     path = path or vocabulary()
     rows = stage(blocks_of(docs, block_bytes), "word-blocks")
     used = rows.where(F.col("words").isNotNull()).select(F.col("block").alias("owner"), F.posexplode("words").alias("k", "word"))
-    words = stage(encode_words(used.select("word").distinct(), path), "word-ids")
-    table = used.join(words.join(decode(words, "word", path), "word"), "word").select("owner", "k", "ids", "text")
+    table = with_pieces(encode_words(used, path), path)
 
-    def place(own: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.take(pa.array(np.argsort(words["k"].to_numpy()))).combine_chunks()
+    def place(own: pa.Table, found: pa.Table) -> pa.Table:
         at = own["at"].combine_chunks()
-        width = 2 if len(words) <= NARROW else 4
-        counts = pc.binary_length(at).to_numpy() // width
-        k = np.frombuffer(b"".join(at.to_pylist()), f"<u{width}").astype(np.int64)
-        ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
-        sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
-        flat = ids.flatten().to_numpy()[ragged((np.cumsum(sizes) - sizes)[k], sizes[k])]
-        ends = np.concatenate([[0], np.cumsum(sizes[k])])[np.cumsum(counts)]
-        some = sizes[k] > 0
-        text_ends = np.concatenate([[0], np.cumsum(some)])[np.cumsum(counts)]
-        spelt = (words["text"].combine_chunks() if len(words) else pa.array([], pa.string())).take(pa.array(k[some]))
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], text_ends]).astype(np.int32)), spelt), " ")
-        ids_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()))
-        return pa.table({"doc_id": own["doc_id"].combine_chunks(), "ids": ids_of, "text": texts})
+        k, ends = unpacked(np.frombuffer(b"".join(at.to_pylist()), np.uint8))
+        words_before = np.searchsorted(ends, np.cumsum(pc.binary_length(at).to_numpy()), "right")
+        owner, pos = found["k"].to_numpy(), found["pos"].to_numpy()
+        order = np.lexsort((pos, owner))
+        sizes = np.bincount(owner, minlength=int(k.max(initial=-1)) + 1)
+        take = ragged((np.cumsum(sizes) - sizes)[k], sizes[k]) if len(k) else k
+        rows = pa.array(order[take])
+        offsets = pa.array(np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes[k])])[words_before]]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(offsets, found["id"].combine_chunks().take(rows) if len(found) else pa.array([], pa.int32()))
+        spelt = found["piece"].combine_chunks().take(rows) if len(found) else pa.array([], pa.string())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, spelt), " ")
+        return pa.table({"doc_id": own["doc_id"].combine_chunks(), "ids": ids, "text": texts})
 
     left = rows.select("block", "doc_id", "at").groupBy("block")
     return left.cogroup(table.groupBy("owner")).applyInArrow(place, "doc_id long, ids array<int>, text string")

@@ -1,7 +1,10 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from tokenizers import Tokenizer
 
@@ -37,7 +40,15 @@ def test_round_trip_equals_the_library(spark, odd_docs, block_bytes):
     assert Counter(map(tuple, digests)) == expected(rows)
 
 
-def test_many_words_in_a_block_take_wide_positions(spark):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, (1 << 35) - 1), max_size=40))
+def test_packed_numbers(numbers):
+    raw, ends = word_table.packed(np.array(numbers, np.int64))
+    back, again = word_table.unpacked(raw)
+    assert back.tolist() == numbers and again.tolist() == ends.tolist()
+
+
+def test_many_words_in_a_block(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(70_000))), (2, "w69999 w0")], "doc_id long, text string")
     assert Counter(map(tuple, word_table.digests(docs.coalesce(1)).collect())) == expected([tuple(r) for r in docs.collect()])
 
@@ -47,6 +58,10 @@ def test_each_distinct_word_is_encoded_once(spark):
     rows = word_table.blocks_of(docs)
     assert sum(len(set(r["words"])) == len(r["words"]) for r in rows.where("words is not null").collect()) == rows.select("block").distinct().count()
     assert word_table.encode(docs).count() == 50
+    used = spark.createDataFrame([(i, 0, "often") for i in range(9000)] + [(i, 1, f"seldom{i % 7}") for i in range(700)], "owner long, k int, word string")
+    plain = Tokenizer.from_file(vocabulary())
+    got = word_table.encode_words(used, vocabulary()).collect()
+    assert len(got) == sum(len(plain.encode(r["word"]).ids) for r in used.collect())
 
 
 def test_decode_of_stored_ids(spark):
