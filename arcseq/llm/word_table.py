@@ -5,21 +5,24 @@ words in order, and the library decodes by putting one space between the pieces
 
 1. tasks split whole texts into words and number the different words of each block of documents (`BLOCK_BYTES` of text, one
    document at least), frequent ones first; a document becomes the list of its words' numbers, in a byte or two each;
-2. the words of all blocks meet by word, sorted, and the library encodes each distinct word once;
-3. ids are joined to the vocabulary's pieces by id;
-4. ids and pieces go back to their blocks, and there by position to each place of each document.
+2. the words of all blocks meet in buckets by a hash of the word, and the library encodes each distinct word once;
+3. the ids go back to their blocks, and there by position to each place of each document;
+4. decoding joins each row to the vocabulary's table of pieces, and takes each id's piece.
 
 Only the words that differ within a block are shuffled by word: a word that holds a third of all places takes part once per
-block. A block's documents and its part of the table meet in one task, and a block has a bounded size.
+block, and a bucket is a stream of rows of which a task keeps the distinct words alone. A block's documents and its part of
+the table meet in one task, and a block has a bounded size. The piece table is one row of as many pieces as the vocabulary
+has, whatever the corpus; it is broadcast.
 
 Nulls: a null text is an empty one and has no ids; a null doc_id stays null. Repeated rows are documents of their own. A
 word without ids (white space beyond ASCII) adds nothing. An empty table gives an empty result. Other columns of the
-input are left out.
+input are left out. An id without a piece is an error.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ from arcseq.llm.word_ids import ragged, vocabulary
 from arcseq.session import stage
 
 BLOCK_BYTES = 16 << 20
-#: Words that are given to the library at a time.
-WORDS_A_CALL = 4096
+#: Words of blocks that meet in a bucket, about.
+BUCKET_WORDS = 1 << 17
 
 
 def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -67,8 +70,8 @@ def unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: block, doc_id, at (numbers of its words in the block), and words (the block's different words in
-    the order of their numbers, in the row of its first document)."""
+    """A row per document: block, doc_id, at (numbers of its words in the block); in the row of a block's first document also
+    words (the block's different words in the order of their numbers, blanks between them) and n_words (their number)."""
 
     def split(batches):
         block = TaskContext.get().partitionId() << 32
@@ -87,18 +90,36 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 rows = [
                     pa.array(np.full(b - a, block)), batch.column(0).slice(a, b - a),
                     pa.array([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                    pa.array([found.dictionary.take(pa.array(order)).to_pylist(), *[None] * (b - a - 1)], pa.list_(pa.string())),
+                    pa.array([" ".join(found.dictionary.take(pa.array(order)).to_pylist()), *[None] * (b - a - 1)], pa.string()),
+                    pa.array([len(order), *[None] * (b - a - 1)], pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(rows, names=["block", "doc_id", "at", "words"])
+                yield pa.RecordBatch.from_arrays(rows, names=["block", "doc_id", "at", "words", "n_words"])
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(split, "block long, doc_id long, at binary, words array<string>")
+    return rows.mapInArrow(split, "block long, doc_id long, at binary, words string, n_words long")
 
 
-def encode_words(used: DataFrame, path: str) -> DataFrame:
-    """owner, k, pos and id: the ids of the word of each row (owner, k, word). Equal words meet in one task, side by side, and
-    the library encodes the word once for all its rows."""
+def bucketed(rows: DataFrame, bucket_words: int) -> DataFrame:
+    """bucket, owner, k, words: the words of each block (the owner) by bucket; k are the steps between their numbers, packed."""
+    buckets = max(1, -(-(rows.agg(F.sum("n_words")).first()[0] or 0) // bucket_words))
+
+    def deal(batches):
+        for batch in batches:
+            for owner, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.array(words.split(" "), object)
+                of = np.array([zlib.crc32(w.encode()) % buckets for w in words])
+                order = np.argsort(of, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+                cells = [[of[p[0]] for p in parts], [owner] * len(parts), [packed(np.diff(p, prepend=0))[0].tobytes() for p in parts], [" ".join(words[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["bucket", "owner", "k", "words"])
+
+    return rows.where(F.col("n_words").isNotNull()).select("block", "words").mapInArrow(deal, "bucket long, owner long, k binary, words string")
+
+
+def encode_words(cells: DataFrame, path: str) -> DataFrame:
+    """owner, k, sizes and ids (packed) of the words of each row (bucket, owner, k, words). The library encodes a word once: the
+    rows of its bucket are read one after the other, and its ids are kept until the bucket ends."""
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,86 +128,82 @@ def encode_words(used: DataFrame, path: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, []
+        bucket, known = None, {}
         for batch in batches:
-            for a in range(0, len(batch), WORDS_A_CALL):
-                own = batch.slice(a, WORDS_A_CALL)
-                found = own.column(2).dictionary_encode()
-                words = found.dictionary.to_pylist()
-                known = words[0] == last  # a word that goes on from the slice before
-                ids = [last_ids] * known + [e.ids for e in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False)]
-                last, last_ids = words[-1], ids[-1]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-                of = found.indices.to_numpy()
-                rows = pa.array(np.repeat(np.arange(len(own)), sizes[of]))
-                pos = ragged(np.zeros(len(of), np.int64), sizes[of]).astype(np.int32)
-                taken = flat[ragged((np.cumsum(sizes) - sizes)[of], sizes[of])]
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(rows), own.column(1).take(rows), pa.array(pos), pa.array(taken)], names=["owner", "k", "pos", "id"]
-                )
-
-    met = used.select("owner", "k", "word").repartition("word").sortWithinPartitions("word")
-    return met.mapInArrow(encode, "owner long, k int, pos int, id int")
-
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if of[a] != bucket:
+                    bucket, known = of[a], {}
+                rows = [w.split(" ") for w in batch.column(3).slice(a, b - a).to_pylist()]
+                new = list({w: None for row in rows for w in row if w not in known})
+                known.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                sizes, ids = [], []
+                for row in rows:
+                    own = [known[w] for w in row]
+                    sizes.append(packed(np.array([len(x) for x in own]))[0].tobytes())
+                    ids.append(packed(np.array([i for x in own for i in x], np.int64))[0].tobytes())
+                cells = [*(batch.column(k).slice(a, b - a) for k in (1, 2)), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["owner", "k", "sizes", "ids"])
+
+    met = cells.repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(encode, "owner long, k binary, sizes binary, ids binary")
+
+
+def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """doc_id and ids of every document."""
+    rows = stage(blocks_of(docs, block_bytes), "word-blocks")
+    table = encode_words(bucketed(rows, bucket_words), path or vocabulary())
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """id and piece of the vocabulary: its size is the tokenizer's, whatever the corpus."""
-    from tokenizers import Tokenizer
+    def read(column) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all rows, and how many each row has."""
+        column = column.combine_chunks()
+        numbers, ends = unpacked(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
+        return numbers, np.diff(np.searchsorted(ends, np.cumsum(pc.binary_length(column).to_numpy()), "right"), prepend=0)
 
-    rows = [(i, piece) for piece, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "id int, piece string")
+    def place(own: pa.Table, found: pa.Table) -> pa.Table:
+        at, counts = read(own["at"])
+        start, size = (np.zeros(int(at.max(initial=-1)) + 1, np.int64) for _ in range(2))
+        ids = np.zeros(0, np.int64)
+        if len(found):
+            steps, n = read(found["k"])
+            total = np.cumsum(steps)
+            first = np.cumsum(n) - n
+            k = total - np.repeat(np.concatenate([[0], total])[first], n)
+            sizes, ids = read(found["sizes"])[0], read(found["ids"])[0]
+            size[k], start[k] = sizes, np.cumsum(sizes) - sizes
+        flat = ids[ragged(start[at], size[at])] if len(at) else ids
+        offsets = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(counts)])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return pa.table({"doc_id": own["doc_id"].combine_chunks(), "ids": lists})
 
+    left = rows.select("block", "doc_id", "at").groupBy("block")
+    return left.cogroup(table.groupBy("owner")).applyInArrow(place, "doc_id long, ids array<int>")
 
-def with_pieces(places: DataFrame, path: str) -> DataFrame:
-    """`places` with the piece of each id; an id that the vocabulary lacks is an error."""
-    table = F.broadcast(pieces(places.sparkSession, path).select(F.col("id").alias("known"), "piece"))
-    missing = F.raise_error(F.concat(F.lit("no piece for id "), F.col("id").cast("string"))).cast("string")
-    joined = places.join(table, F.col("id") == F.col("known"), "left").drop("known")
-    return joined.withColumn("piece", F.when(F.col("id").isNotNull() & F.col("piece").isNull(), missing).otherwise(F.col("piece")))
 
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the vocabulary's pieces by id (null where it has none)."""
+    from tokenizers import Tokenizer
 
-def decode(sequences: DataFrame, key: str, path: str | None = None) -> DataFrame:
-    """`key` and text of each sequence (`key`, ids), keys being distinct: ids are joined to their pieces, and these are put
-    together in order, with a space between them. A sequence that is null or empty has an empty text."""
-    places = sequences.select(key, F.posexplode_outer("ids").alias("pos", "id"))
-    piece = F.when(F.col("id").isNotNull(), F.struct("pos", "piece"))
-    return with_pieces(places, path or vocabulary()).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(piece))["piece"], " ").alias("text"))
+    found = {i: piece for piece, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
+    return spark.createDataFrame([(1, [found.get(i) for i in range(max(found) + 1)])], "vocabulary int, pieces array<string>")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids, and the text that the ids decode to, of every document."""
+def decode(sequences: DataFrame, path: str | None = None) -> DataFrame:
+    """`sequences` (with ids) and the text of each: the pieces of its ids with a space between them; null ids have an empty
+    text."""
     path = path or vocabulary()
-    rows = stage(blocks_of(docs, block_bytes), "word-blocks")
-    used = rows.where(F.col("words").isNotNull()).select(F.col("block").alias("owner"), F.posexplode("words").alias("k", "word"))
-    table = with_pieces(encode_words(used, path), path)
-
-    def place(own: pa.Table, found: pa.Table) -> pa.Table:
-        at = own["at"].combine_chunks()
-        k, ends = unpacked(np.frombuffer(b"".join(at.to_pylist()), np.uint8))
-        words_before = np.searchsorted(ends, np.cumsum(pc.binary_length(at).to_numpy()), "right")
-        owner, pos = found["k"].to_numpy(), found["pos"].to_numpy()
-        order = np.lexsort((pos, owner))
-        sizes = np.bincount(owner, minlength=int(k.max(initial=-1)) + 1)
-        take = ragged((np.cumsum(sizes) - sizes)[k], sizes[k]) if len(k) else k
-        rows = pa.array(order[take])
-        offsets = pa.array(np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes[k])])[words_before]]).astype(np.int32))
-        ids = pa.ListArray.from_arrays(offsets, found["id"].combine_chunks().take(rows) if len(found) else pa.array([], pa.int32()))
-        spelt = found["piece"].combine_chunks().take(rows) if len(found) else pa.array([], pa.string())
-        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, spelt), " ")
-        return pa.table({"doc_id": own["doc_id"].combine_chunks(), "ids": ids, "text": texts})
-
-    left = rows.select("block", "doc_id", "at").groupBy("block")
-    return left.cogroup(table.groupBy("owner")).applyInArrow(place, "doc_id long, ids array<int>, text string")
-
-
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids of every document."""
-    return round_trip(docs, path).select("doc_id", "ids")
+    known = F.broadcast(pieces(sequences.sparkSession, path))
+    missing = F.raise_error(F.lit("an id without a piece")).cast("string")
+    joined = sequences.withColumn("vocabulary", F.when(F.col("ids").isNotNull(), 1)).join(known, "vocabulary", "left")
+    spelt = F.transform("ids", lambda i: F.coalesce(F.get("pieces", i), missing))
+    return joined.withColumn("text", F.coalesce(F.array_join(spelt, " "), F.lit(""))).drop("vocabulary", "pieces")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token count and digests of the ids and of the decoded text, of every document."""
     spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
     hashes = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((spelt, "ids_sha256"), (F.col("text"), "decoded_sha256"))]
-    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashes)
+    return decode(encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashes)

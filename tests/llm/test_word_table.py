@@ -29,11 +29,9 @@ def expected(rows):
 
 @pytest.mark.parametrize("block_bytes", [200, 8 << 20])
 def test_round_trip_equals_the_library(spark, odd_docs, block_bytes):
-    from pyspark.sql import functions as F
-
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     docs = odd_docs.unionByName(more, allowMissingColumns=True)
-    got = word_table.round_trip(docs, block_bytes=block_bytes).select("doc_id", F.col("ids"), "text").collect()
+    got = word_table.decode(word_table.encode(docs, block_bytes=block_bytes, bucket_words=50)).select("doc_id", "ids", "text").collect()
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert Counter((r[0], len(r[1]), sha(" ".join(map(str, r[1]))), sha(r[2])) for r in got) == expected(rows)
     digests = word_table.digests(docs).collect()
@@ -55,23 +53,25 @@ def test_many_words_in_a_block(spark):
 
 def test_each_distinct_word_is_encoded_once(spark):
     docs = spark.createDataFrame([(i, "same words in every document " + str(i % 3)) for i in range(50)], "doc_id long, text string").repartition(5)
-    rows = word_table.blocks_of(docs)
-    assert sum(len(set(r["words"])) == len(r["words"]) for r in rows.where("words is not null").collect()) == rows.select("block").distinct().count()
-    assert word_table.encode(docs).count() == 50
-    used = spark.createDataFrame([(i, 0, "often") for i in range(9000)] + [(i, 1, f"seldom{i % 7}") for i in range(700)], "owner long, k int, word string")
-    plain = Tokenizer.from_file(vocabulary())
-    got = word_table.encode_words(used, vocabulary()).collect()
-    assert len(got) == sum(len(plain.encode(r["word"]).ids) for r in used.collect())
+    rows = word_table.blocks_of(docs).where("words is not null").collect()
+    assert all(len(set(r["words"].split(" "))) == r["n_words"] for r in rows)
+    cells = word_table.bucketed(word_table.blocks_of(docs), 2)
+    homes = {}
+    for r in cells.collect():
+        for w in r["words"].split(" "):
+            homes.setdefault(w, set()).add(r["bucket"])
+    assert all(len(x) == 1 for x in homes.values()) and len(set.union(*homes.values())) > 1
 
 
 def test_decode_of_stored_ids(spark):
     plain = Tokenizer.from_file(vocabulary())
-    sequences = [(1, [49407, 343, 343]), (2, []), (3, None), (4, list(range(0, 49408, 97)))]
+    sequences = [(1, [49407, 343, 343]), (2, []), (3, None), (4, list(range(0, 49408, 97))), (4, [1])]
     df = spark.createDataFrame(sequences, "key long, ids array<int>")
-    got = dict(map(tuple, word_table.decode(df, "key").collect()))
-    assert got == {k: plain.decode(ids or [], skip_special_tokens=False) for k, ids in sequences}
-    with pytest.raises(PySparkException):
-        word_table.decode(spark.createDataFrame([(1, [60_000])], "key long, ids array<int>"), "key").collect()
+    got = Counter(map(tuple, word_table.decode(df).select("key", "text").collect()))
+    assert got == Counter((k, plain.decode(ids or [], skip_special_tokens=False)) for k, ids in sequences)
+    for bad in ([60_000], [-1], [None]):
+        with pytest.raises(PySparkException):
+            word_table.decode(spark.createDataFrame([(1, bad)], "key long, ids array<int>")).collect()
 
 
 def test_empty_table(spark, no_docs):
