@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcseq.llm.word_ids import ragged, vocabulary
-from arcseq.session import stage
+from arcseq.session import new_path
 
 BLOCK_BYTES = 16 << 20
 #: Words of blocks that meet in a bucket, about.
 BUCKET_WORDS = 1 << 17
+#: Numbers that are packed at a time, and bytes of positions that are replaced at a time.
+SLICE = 1 << 18
 
 
 def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -51,12 +53,16 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the numbers, seven bits to a byte, the last byte of each below 128; and where each number ends."""
-    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(sizes)
+    sizes = np.ones(len(numbers), np.int8)
+    for k in range(1, 5):
+        sizes += numbers >= 1 << 7 * k
+    ends = np.cumsum(sizes, dtype=np.int64)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
-        own = np.flatnonzero(sizes > k)
-        out[(ends - sizes)[own] + k] = (numbers[own] >> 7 * k) & 127 | np.where(sizes[own] > k + 1, 128, 0)
+    for a in range(0, len(numbers), SLICE):  # some at a time, so that few work arrays are held
+        n, size, starts = (x[a : a + SLICE] for x in (numbers, sizes, ends - sizes))
+        for k in range(int(size.max())):
+            own = np.flatnonzero(size > k)
+            out[starts[own] + k] = (n[own] >> 7 * k) & 127 | np.where(size[own] > k + 1, 128, 0)
     return out, ends
 
 
@@ -82,7 +88,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 found = words.flatten().dictionary_encode()
                 at = found.indices.to_numpy()
                 order = np.argsort(-np.bincount(at, minlength=len(found.dictionary)), kind="stable")
-                number = np.empty(len(order), np.int64)
+                number = np.empty(len(order), np.int32)
                 number[order] = np.arange(len(order))
                 raw, ends = packed(number[at])
                 bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])].tolist()
@@ -118,7 +124,7 @@ def bucketed(rows: DataFrame, bucket_words: int) -> DataFrame:
 
 
 def encode_words(cells: DataFrame, path: str) -> DataFrame:
-    """owner, k, sizes and ids (packed) of the words of each row (bucket, owner, k, words). The library encodes a word once: the
+    """owner, k, sizes (packed) and ids (two bytes each, or four) of the words of each row (bucket, owner, k, words). The library encodes a word once: the
     rows of its bucket are read one after the other, and its ids are kept until the bucket ends."""
 
     def encode(batches):
@@ -128,6 +134,7 @@ def encode_words(cells: DataFrame, path: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        wide = max(tokenizer.get_vocab().values()) >= 1 << 16
         bucket, known = None, {}
         for batch in batches:
             of = batch.column(0).to_numpy()
@@ -144,7 +151,7 @@ def encode_words(cells: DataFrame, path: str) -> DataFrame:
                 for row in rows:
                     own = [known[w] for w in row]
                     sizes.append(packed(np.array([len(x) for x in own]))[0].tobytes())
-                    ids.append(packed(np.array([i for x in own for i in x], np.int64))[0].tobytes())
+                    ids.append(np.array([i for x in own for i in x], "<u4" if wide else "<u2").tobytes())
                 cells = [*(batch.column(k).slice(a, b - a) for k in (1, 2)), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, names=["owner", "k", "sizes", "ids"])
 
@@ -154,30 +161,38 @@ def encode_words(cells: DataFrame, path: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """doc_id and ids of every document."""
-    rows = stage(blocks_of(docs, block_bytes), "word-blocks")
-    table = encode_words(bucketed(rows, bucket_words), path or vocabulary())
+    path = path or vocabulary()
+    spark = docs.sparkSession
+    place_of_blocks = new_path(spark, "word-blocks")
+    blocks_of(docs, block_bytes).write.option("compression", "zstd").parquet(place_of_blocks)
+    rows = spark.read.parquet(place_of_blocks)
+    table = encode_words(bucketed(rows, bucket_words), path)
 
-    def read(column) -> tuple[np.ndarray, np.ndarray]:
+    def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all rows, and how many each row has."""
-        column = column.combine_chunks()
         numbers, ends = unpacked(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
         return numbers, np.diff(np.searchsorted(ends, np.cumsum(pc.binary_length(column).to_numpy()), "right"), prepend=0)
 
     def place(own: pa.Table, found: pa.Table) -> pa.Table:
-        at, counts = read(own["at"])
-        start, size = (np.zeros(int(at.max(initial=-1)) + 1, np.int64) for _ in range(2))
-        ids = np.zeros(0, np.int64)
+        start, size, ids = (np.zeros(0, np.int64) for _ in range(3))
         if len(found):
-            steps, n = read(found["k"])
+            found = found.combine_chunks()
+            steps, n = read(found["k"].chunk(0))
             total = np.cumsum(steps)
-            first = np.cumsum(n) - n
-            k = total - np.repeat(np.concatenate([[0], total])[first], n)
-            sizes, ids = read(found["sizes"])[0], read(found["ids"])[0]
+            k = total - np.repeat(np.concatenate([[0], total])[np.cumsum(n) - n], n)
+            sizes = read(found["sizes"].chunk(0))[0]
+            flat = b"".join(found["ids"].to_pylist())
+            ids = np.frombuffer(flat, "<u2" if len(flat) == 2 * sizes.sum() else "<u4").astype(np.int32)
+            start, size = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
             size[k], start[k] = sizes, np.cumsum(sizes) - sizes
-        flat = ids[ragged(start[at], size[at])] if len(at) else ids
-        offsets = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(counts)])]
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
-        return pa.table({"doc_id": own["doc_id"].combine_chunks(), "ids": lists})
+        own = own.combine_chunks()
+        at, out = own["at"].chunk(0), []
+        for a, b in slices(pc.binary_length(at).to_numpy(), SLICE):
+            words, counts = read(at.slice(a, b - a))
+            taken = ids[ragged(start[words], size[words])] if len(words) else ids[:0]
+            offsets = np.concatenate([[0], np.cumsum(size[words])])[np.concatenate([[0], np.cumsum(counts)])] if len(words) else np.zeros(b - a + 1)
+            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(taken.astype(np.int32))))
+        return pa.table({"doc_id": own["doc_id"], "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
 
     left = rows.select("block", "doc_id", "at").groupBy("block")
     return left.cogroup(table.groupBy("owner")).applyInArrow(place, "doc_id long, ids array<int>")
