@@ -22,6 +22,7 @@ input are left out. An id without a piece is an error.
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 
 import numpy as np
@@ -106,6 +107,18 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(split, "block long, doc_id long, at binary, words string, n_words long")
 
 
+def by_block(rows: DataFrame) -> DataFrame:
+    """`rows` written once and read back, dealt by block, so that what meets them by block need not shuffle them again. The
+    catalog forgets the table at once; its files stay in the shared folder."""
+    spark = rows.sparkSession
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    files = rows.write.option("compression", "zstd").option("path", new_path(spark, name))
+    files.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def bucketed(rows: DataFrame, bucket_words: int) -> DataFrame:
     """bucket, owner, k, words: the words of each block (the owner) by bucket; k are the steps between their numbers, packed."""
     buckets = max(1, -(-(rows.agg(F.sum("n_words")).first()[0] or 0) // bucket_words))
@@ -162,10 +175,7 @@ def encode_words(cells: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """doc_id and ids of every document."""
     path = path or vocabulary()
-    spark = docs.sparkSession
-    place_of_blocks = new_path(spark, "word-blocks")
-    blocks_of(docs, block_bytes).write.option("compression", "zstd").parquet(place_of_blocks)
-    rows = spark.read.parquet(place_of_blocks)
+    rows = by_block(blocks_of(docs, block_bytes))
     table = encode_words(bucketed(rows, bucket_words), path)
 
     def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
