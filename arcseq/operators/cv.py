@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcseq.columns import SEQ
-from arcseq.operators import em
+from arcseq.operators import em, keyed
 from arcseq.operators import recursions as rec
 from arcseq.operators import scoring as sc
 from arcseq.operators.params import Params, values_table
 from arcseq.operators.trial_table import X_COLS
+from arcseq.session import stage
 
 X = tuple(X_COLS)
 
@@ -165,6 +166,35 @@ def run_cv(
     return result.withColumn("test_ll_per_trial", F.col("test_ll") / F.col("n_test"))
 
 
+def keyed_cv(
+    packed: rec.Packed, models: list[str], inits: list[Params], keys: DataFrame, train: list[list[int]], labels: list[int], stop: em.Stop,
+    fold: str = "fold", label: str = "fold", by: tuple | list = ("subject_id",), per_sequence: bool = False, exact: bool = True,
+) -> DataFrame:
+    """As `run_cv`, for fits keyed by a table: `keys` has a row for each `by` key, `labels` name the fold that each training set
+    leaves out. Of several starting points the fit with the highest training likelihood is scored."""
+    by, out = list(by), []
+    for m in models:
+        model = keyed.Model(m, packed.coh, packed.prior)
+        fits = keyed.fit(packed, keyed.starts(keyed.fold_fits(keys, train, labels, label), model, inits), by, model, stop, fold, exact)
+        best = stage(keyed.best_of(fits, [*by, label]).drop("seed"), "best-fits") if len(inits) > 1 else fits.filter(F.size("history") > 0)
+        test = best.select(*by, label, F.array(F.col(label).cast("int")).alias("folds"), *model.shapes)
+        each = keyed.score(packed, test, by, model, fold)
+        if per_sequence:
+            out.append(each.select(F.lit(m).alias("model"), label, *dict.fromkeys([*packed.keys, *by]), F.col("ll").alias("test_ll"), F.col("n").alias("n_test")))
+            continue
+        scored = each.groupBy(*by, label).agg(F.sum("ll").alias("test_ll"), F.sum("n").alias("n_test"), F.count(F.lit(1)).alias("n_test_sequences"))
+        info = best.select(
+            F.lit(m).alias("model"), *by, label, F.col("n_trials").alias("n_train"), F.element_at("history", -1).alias("train_ll"),
+            F.size("history").cast("long").alias("n_iter"), "converged",
+        )
+        on = [info[c].eqNullSafe(scored[c]) for c in [*by, label]]
+        out.append(info.join(scored, on).select(*[info[c] for c in info.columns], "test_ll", "n_test", "n_test_sequences"))
+    result = out[0]
+    for t in out[1:]:
+        result = result.unionByName(t)
+    return result.withColumn("test_ll_per_trial", F.col("test_ll") / F.col("n_test"))
+
+
 SERIAL = ["independent_switching", "serial_stimulus", "serial_response", "serial_both"]
 
 

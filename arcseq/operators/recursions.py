@@ -106,6 +106,9 @@ class KeySet:
     class_pi: np.ndarray | None = None
     class_A: np.ndarray | None = None
 
+    def batch(self, raw: pa.RecordBatch, x_cols: tuple = (), fold: str | None = None) -> Batch:
+        return Batch(raw, self, x_cols, fold)
+
     def prepare(self) -> KeySet:
         self.norm_s = log_norm(self.kappa_s)
         self.norm_p = log_norm(self.kappa_p)
@@ -117,6 +120,10 @@ class KeySet:
         own = Counter(s for s in self.subject if s is not None)
         return shared + max(own.values(), default=0)
 
+    def slots(self, key):
+        """What tells the keys of one sequence apart, the same in all its chunks."""
+        return key
+
     def members(self, subjects, folds):
         """(piece, key) index pairs for pieces with the given subject and fold values."""
         cache: dict = {}
@@ -139,6 +146,19 @@ class KeySet:
         return piece, np.concatenate(picked) if picked else np.zeros(0, dtype=np.int64)
 
 
+class ListKeys(KeySet):
+    """Parameter sets that come with the rows of a batch: row i has its own, `counts[i]` of them."""
+
+    counts: np.ndarray
+
+    def members(self, subjects, folds):
+        return np.repeat(np.arange(len(self.counts)), self.counts), np.arange(int(self.counts.sum()))
+
+    def slots(self, key):
+        """Place of each parameter set in its row's list."""
+        return np.arange(len(key)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+
+
 def one_key(p: Params, coh: list[float], prior: list[float], scaler=None) -> KeySet:
     """Key set holding a single parameter set for all sequences."""
     ks = np.array([[p.kappa_s[c] for c in coh]])
@@ -180,6 +200,7 @@ class Batch:
         subjects = batch.column(get("subject_id")).to_numpy(zero_copy_only=False)
         folds = batch.column(get(fold)).to_numpy(zero_copy_only=False) if fold else np.zeros(len(subjects))
         self.piece, self.key = keyset.members(subjects.tolist(), folds.tolist())
+        self.slot = keyset.slots(self.key)
         self.rg = Ragged(lens[self.piece])
         self.rows = np.arange(self.rg.n) - self.rg.starts[self.rg.piece] + self.source.starts[self.piece][self.rg.piece]
         self.row_key = self.key[self.rg.piece]
@@ -330,13 +351,13 @@ def with_borders(
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for raw in split_batches(batches, n_keys):
-            b = Batch(raw, keyset, x_cols, fold)
+            b = keyset.batch(raw, x_cols, fold)
             for c in range(max(classes, 1)):
                 chain = b.class_chain(c) if classes else b.chain()
                 m = chain.max_product(b.fresh) if best else chain.product(b.fresh)
                 m = np.where(np.isfinite(m), m, -1e300)
                 cols = [b.column(k).take(pa.array(b.piece)) for k in [*seq, CHUNK]]
-                slot = pa.array((b.key * max(classes, 1) + c).astype(np.int64))
+                slot = pa.array((b.slot * max(classes, 1) + c).astype(np.int64))
                 flat = m.reshape(-1, 9)
                 yield pa.RecordBatch.from_arrays(
                     [*cols, slot, *[pa.array(flat[:, i]) for i in range(9)]], names=[*seq, CHUNK, "__k", *M_COLS]
@@ -387,7 +408,7 @@ def run_kernel(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in split_batches(batches, n_keys):
-            b = Batch(raw, keyset, x_cols, fold)
+            b = keyset.batch(raw, x_cols, fold)
             if len(b.piece):
                 names, arrays = fn(b)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arcseq.columns import CHUNK, SEQ, STATES, TRANSITIONS
 from arcseq.operators import comparison as cmp
-from arcseq.operators import cv, em
+from arcseq.operators import cv, em, keyed
 from arcseq.operators import recursions as rec
 from arcseq.operators import resampling as rs
 from arcseq.operators import scoring as sc
@@ -24,6 +24,8 @@ from arcseq.sources.trials import union_shards
 
 QUERIES = {}
 ONCE = em.Stop(max_iter=1, tol=None)
+#: Where models are compared, each fit goes on until an iteration gains less than this share of its likelihood.
+UNTIL_FLAT = em.Stop(max_iter=40, tol=1e-3, min_iter=2)
 KAPPAS = ["kappa_s_06", "kappa_s_12", "kappa_s_24", "kappa_p_10", "kappa_p_20", "kappa_p_40", "kappa_p_80"]
 PIS = [f"pi_{s}" for s in STATES]
 OTHERS, LABELS = cv.leave_one_out(N_FOLDS)
@@ -34,9 +36,16 @@ def register(fn):
     return fn
 
 
-def subjects(df) -> list[int]:
-    """Subject levels; the fit keys of a job are a driver-side list."""
-    return sorted(x[0] for x in df.select("subject_id").distinct().collect())
+def subjects(df):
+    """The subjects, one row each: the keys of a job are a table."""
+    return df.select("subject_id").distinct()
+
+
+def subject_fits(packed, name, inits, stop, exact=True, smoothing=1e-6, fold=None, sets=None):
+    """Fits of a model by subject (and training set)."""
+    model = keyed.Model(name, COH, PRIOR)
+    keys = keyed.fold_fits(subjects(packed.df), *sets) if sets else subjects(packed.df)
+    return model, keyed.fit(packed, keyed.starts(keys, model, inits), ["subject_id"], model, stop, fold, exact, smoothing)
 
 
 # ---- fits
@@ -69,9 +78,8 @@ def hmm_once(spark, sf):
     """One update of the chain model per subject and left-out fold."""
     df = with_folds(spark, sf)
     packed = rec.pack(df, COH, PRIOR, carry=("fold",))
-    keys = cv.fold_keys(subjects(df), OTHERS, LABELS)
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    return em.fits_table(df, em.fit_hmm(packed, model, ONCE, "fold"), ["subject_id", "fold"])
+    model, fitted = subject_fits(packed, "hmm", [START], ONCE, False, 1e-3, "fold", (OTHERS, LABELS))
+    return keyed.table(fitted, model, ["subject_id", "fold"])
 
 
 def fits(spark, sf):
@@ -91,10 +99,8 @@ def e3_fit_hmm(spark, sf):
 def e3_fit_hmm_exact(spark, sf):
     """Run to convergence per subject with exact concentrations."""
     packed = rec.pack(segment_rows(spark, sf), COH, PRIOR, keys=SEG)
-    keys = [{"subject_id": s} for s in subjects(packed.df)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    out = em.fit_hmm(packed, model, em.Stop(40, 1e-3, rule="absolute"), exact=True, smoothing=1e-6)
-    return em.fits_table(packed.df, out, ["subject_id"])
+    model, fitted = subject_fits(packed, "hmm", [START], em.Stop(40, 1e-3, rule="absolute"))
+    return keyed.table(fitted, model, ["subject_id"])
 
 
 @register
@@ -121,44 +127,28 @@ def e4_fit_covariate_hmm(spark, sf):
 
 @register
 def e5_fit_block(spark, sf):
-    df = segments(spark, sf)
-    rows = em.level_rows(df, COH, PRIOR, "segment_number")
-    keys = [{"subject_id": s} for s in subjects(df)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["rho", "class_weights"])
-    fitted = em.fit_block(rows, model, ONCE, keys=SEG, exact=False)
-    table = em.fits_table(df, fitted, ["subject_id"]).select("subject_id", "n_trials", r("train_ll", "train_ll", 4), *rr(*KAPPAS, places=4))
-    classes = values_table(
-        spark,
-        ["subject_id", "rho_0", "rho_1", "rho_2", *[f"cw_{c}{s}" for c in range(3) for s in range(3)]],
-        [(f.key["subject_id"], *map(float, f.params.rho), *[float(v) for row in f.params.class_weights for v in row]) for f in fitted],
-    )
-    return table.join(classes.select("subject_id", *rr(*[c for c in classes.columns if c != "subject_id"], places=5)), "subject_id")
+    packed = rec.pack(segments(spark, sf).withColumn("pos", F.col("seg_pos")), COH, PRIOR, keys=SEG)
+    model, fitted = subject_fits(packed, "exchangeable_block_mixture", [START], ONCE, exact=False)
+    shares = [*[f"rho_{c}" for c in range(3)], *[f"cw_{c}{s}" for c in range(3) for s in range(3)]]
+    return keyed.table(fitted, model, ["subject_id"]).select("subject_id", "n_trials", r("train_ll", "train_ll", 4), *rr(*KAPPAS, places=4), *rr(*shares, places=5))
 
 
 @register
 def e6_fit_hybrid(spark, sf):
     packed = rec.pack(segment_rows(spark, sf), COH, PRIOR, keys=SEG)
-    keys = [{"subject_id": s} for s in subjects(packed.df)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["rho", "class_pi", "class_A"])
-    fitted = em.fit_hybrid(packed, model, em.Stop(max_iter=4, tol=None))
-    return em.history_table(packed.df, fitted, ["subject_id"])
+    _, fitted = subject_fits(packed, "block_plus_markov", [START], em.Stop(max_iter=4, tol=None))
+    return keyed.history(fitted, ["subject_id"])
 
 
-def restart_models(keys, parts):
-    inits = []
-    for k in keys:
-        i = k["seed"]
-        inits.append(Params(START.kappa_s, START.kappa_p, weights=fixed.INIT_WEIGHTS[i], pi=fixed.INIT_PI[i], A=fixed.INIT_A[i]))
-    return em.model_from(inits, keys, COH, PRIOR, parts)
+#: Starting points of the restarts.
+INITS = [Params(START.kappa_s, START.kappa_p, weights=w, pi=p, A=a) for w, p, a in zip(fixed.INIT_WEIGHTS, fixed.INIT_PI, fixed.INIT_A, strict=True)]
 
 
 def mixture_restarts(spark, sf):
     """Three starting points of the mixture per subject, two updates each."""
-    df = features(spark, sf)
-    rows = em.level_rows(df, COH, PRIOR)
-    keys = [{"subject_id": s, "seed": i} for s in subjects(df) for i in range(3)]
-    fitted = em.fit_mixture(rows, restart_models(keys, ["weights"]), em.Stop(max_iter=2, tol=None))
-    return em.fits_table(df, fitted, ["subject_id", "seed"])
+    packed = rec.pack(features(spark, sf), COH, PRIOR)
+    model, fitted = subject_fits(packed, "subject_iid", INITS, em.Stop(max_iter=2, tol=None), False, 1e-3)
+    return keyed.table(fitted, model, ["subject_id", "seed"])
 
 
 @register
@@ -185,9 +175,8 @@ def a15_restart_summary(spark, sf):
 
 def chain_restarts(spark, sf):
     packed = rec.pack(features(spark, sf), COH, PRIOR)
-    keys = [{"subject_id": s, "seed": i} for s in subjects(packed.df) for i in range(3)]
-    fitted = em.fit_hmm(packed, restart_models(keys, ["pi", "A"]), ONCE)
-    return em.fits_table(packed.df, fitted, ["subject_id", "seed"])
+    model, fitted = subject_fits(packed, "hmm", INITS, ONCE, False, 1e-3)
+    return keyed.table(fitted, model, ["subject_id", "seed"])
 
 
 @register
@@ -239,18 +228,17 @@ def b1_serial_cv(spark, sf):
 
 @register
 def e8_run_cv_subjects(spark, sf):
-    df = segment_rows(spark, sf)
-    keys = cv.fold_keys(subjects(df), OTHERS, LABELS)
+    """Five models by subject and left-out fold, each fit run until it is flat."""
+    packed = rec.pack(segment_rows(spark, sf), COH, PRIOR, keys=SEG, carry=("fold",))
     models = ["subject_iid", "prior_conditioned_iid", "exchangeable_block_mixture", "hmm", "block_plus_markov"]
-    return cv.run_cv(df, models, START, keys, COH, PRIOR, em.Stop(3, 1e-6, rule="absolute"), seq=SEG)
+    return cv.keyed_cv(packed, models, [START], subjects(packed.df), OTHERS, LABELS, UNTIL_FLAT)
 
 
 @register
 def e9_fit_subjects(spark, sf):
     packed = rec.pack(features(spark, sf), COH, PRIOR)
-    keys = [{"subject_id": s} for s in subjects(packed.df)]
-    model = em.model_from([MAIN] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    out = em.fits_table(packed.df, em.fit_hmm(packed, model, ONCE), ["subject_id"])
+    model, fitted = subject_fits(packed, "hmm", [MAIN], ONCE, False, 1e-3)
+    out = keyed.table(fitted, model, ["subject_id"])
     return sc.stationary(out).select("subject_id", "n_trials", r("train_ll", "train_ll", 4), *rr(*TRANSITIONS, *[f"stationary_{s}" for s in STATES], places=5))
 
 
@@ -265,7 +253,7 @@ def e9_fit_final(spark, sf):
 @register
 def e11_em_diagnostics(spark, sf):
     packed = rec.pack(segment_rows(spark, sf), COH, PRIOR, keys=SEG)
-    keys = [{"subject_id": s} for s in subjects(packed.df)]
+    keys = [{"subject_id": s} for s in sorted(x[0] for x in subjects(packed.df).collect())]
     model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
     rows = em.em_diagnostics(packed, model, 3)
     names = [c for c in rows[0] if c != "fit_key"]
@@ -387,12 +375,10 @@ def a9_state_weights(spark, sf):
 def p10_fit_qc(spark, sf):
     df = features(spark, sf)
     packed = rec.pack(df, COH, PRIOR)
-    keys = [{"subject_id": s} for s in subjects(df)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    fitted = em.fit_hmm(packed, model, em.Stop(max_iter=2, tol=None))
+    model, fitted = subject_fits(packed, "hmm", [START], em.Stop(max_iter=2, tol=None), False, 1e-3)
     post = rec.chain_scores(packed, rec.one_key(START, COH, PRIOR), smooth=True)
-    table = em.fits_table(df, fitted, ["subject_id"]).join(cmp.state_weights(post, ["subject_id"], "smoothed_p_"), "subject_id")
-    out = cmp.fit_qc(table, em.history_table(df, fitted, ["subject_id"]), ["subject_id"])
+    table = keyed.table(fitted, model, ["subject_id"]).join(cmp.state_weights(post, ["subject_id"], "smoothed_p_"), "subject_id")
+    out = cmp.fit_qc(table, keyed.history(fitted, ["subject_id"]), ["subject_id"])
     return out.select("subject_id", r("maximum_drop"), *[c for c in out.columns if c not in ("subject_id", "maximum_drop")])
 
 
@@ -549,9 +535,8 @@ def a28_winner_counts(spark, sf):
 
 def version_fits(spark, sf, version):
     packed = rec.pack(segment_rows(spark, sf, version == "shuffled"), COH, PRIOR, keys=SEG)
-    keys = [{"subject_id": s} for s in subjects(packed.df)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    return em.fits_table(packed.df, em.fit_hmm(packed, model, ONCE), ["subject_id"])
+    model, fitted = subject_fits(packed, "hmm", [START], ONCE, False, 1e-3)
+    return keyed.table(fitted, model, ["subject_id"])
 
 
 @register
@@ -596,9 +581,8 @@ def replicate_segments(spark, sf, n: int):
 @register
 def a31_refit_diagonal_summary(spark, sf):
     packed = rec.pack(replicate_segments(spark, sf, 3), COH, PRIOR, keys=["simulation", *SEG])
-    keys = [{"subject_id": s, "folds": [i]} for s in subjects(packed.df) for i in range(3)]
-    model = em.model_from([START] * len(keys), keys, COH, PRIOR, ["pi", "A"])
-    refits = em.fits_table(packed.df, em.fit_hmm(packed, model, ONCE, "simulation"), ["subject_id"])
+    model, fitted = subject_fits(packed, "hmm", [START], ONCE, False, 1e-3, "simulation", ([[i] for i in range(3)], list(range(3))))
+    refits = keyed.table(fitted, model, ["subject_id"])
     out = cmp.refit_diagonal_summary(refits, version_fits(spark, sf, "original"), ["subject_id"])
     return out.select("subject_id", *rr("sim_mean_diag", "sim_q025", "sim_q975", "observed_diag", "fraction_ge_observed", places=5))
 
@@ -679,26 +663,26 @@ def version_rows(spark, sf, kind):
 
 @register
 def b6_permutation_refit(spark, sf):
-    """Held-out LL of the chain refitted on every kind of permuted data."""
-    parts = []
-    for kind in ("original", "within", "matched", "cross_subject"):
-        df = version_rows(spark, sf, kind)
-        keys = cv.fold_keys(subjects(segments(spark, sf)), OTHERS, LABELS)
-        res = cv.run_cv(df, ["hmm"], START, keys, COH, PRIOR, em.Stop(3, 1e-6, rule="absolute"), seq=SEG)
-        parts.append(res.agg(F.sum("n_test").alias("n_trials"), F.sum("test_ll").alias("total_ll")).withColumn("kind", F.lit(kind)))
-    out = union_shards(parts)
+    """Held-out LL of the chain refitted on every kind of permuted data, each fit run until it is flat. The kind is part of the
+    key: one job an iteration fits them all."""
+    columns = [*SEG, CHUNK, "pos", "row_id", "cos_s", "cos_p", "motion_coherence", "prior_std", "fold"]
+    rows = union_shards([version_rows(spark, sf, kind).select(*columns, F.lit(kind).alias("kind")) for kind in ("original", "within", "matched", "cross_subject")])
+    packed = rec.pack(rows, COH, PRIOR, keys=["kind", *SEG], carry=("fold",))
+    by = ["kind", "subject_id"]
+    res = cv.keyed_cv(packed, ["hmm"], [START], packed.df.select(*by).distinct(), OTHERS, LABELS, UNTIL_FLAT, by=by)
+    out = res.groupBy("kind").agg(F.sum("n_test").alias("n_trials"), F.sum("test_ll").alias("total_ll"), F.min("converged").alias("converged"))
     return out.withColumn("ll_per_trial", F.col("total_ll") / F.col("n_trials"))
 
 
 @register
 def b9_chronological_eval(spark, sf):
-    """Earlier blocks predict later ones: four models, four expanding windows."""
+    """Earlier blocks predict later ones: four models, four expanding windows, each fit run until it is flat."""
     epochs = sp.block_epochs(tt.sequences(features(spark, sf)))
     df = sp.attach_folds(segment_rows(spark, sf).drop("fold"), epochs, ["epoch"])
     train = [[e for e in range(k)] for k in range(1, 5)]
-    keys = cv.fold_keys(subjects(segments(spark, sf)), train, [1, 2, 3, 4], "split_id")
     models = ["prior_conditioned_iid", "exchangeable_block_mixture", "hmm", "block_plus_markov"]
-    res = cv.run_cv(df, models, START, keys, COH, PRIOR, em.Stop(2, 1e-6, rule="absolute"), fold="epoch", label="split_id", seq=SEG)
+    packed = rec.pack(df, COH, PRIOR, keys=SEG, carry=("epoch",))
+    res = cv.keyed_cv(packed, models, [START], subjects(packed.df), train, [1, 2, 3, 4], UNTIL_FLAT, fold="epoch", label="split_id")
     out = res.groupBy("model").agg(
         F.sum("n_test").alias("n"), F.sum("test_ll").alias("ll"), F.sum(F.col("converged").cast("long")).alias("converged")
     )

@@ -79,6 +79,29 @@ def test_cross_validated_chain(folded, sequences):
     assert row["n_test"] == sum(len(g) for _, _, g in test)
 
 
+def test_keyed_cross_validation_runs_until_flat(folded, sequences):
+    """Each key by itself goes on until an update gains less than the tolerance, as a plain loop does."""
+    stop = em.Stop(60, 1e-4, min_iter=2)
+    packed = rec.pack(folded, COH, PRIOR, carry=("fold",))
+    keys = folded.filter("subject_id IN (2, 3)").select("subject_id").distinct()
+    rows = cv.keyed_cv(packed, ["hmm"], [START], keys, [[0], [1]], [1, 0], stop).collect()
+    release()
+    assert len(rows) == 4 and all(r["converged"] for r in rows)
+    for row in rows:
+        train = [s for s in sequences if s[0] == row["subject_id"] and s[1] != row["fold"]]
+        test = [s for s in sequences if s[0] == row["subject_id"] and s[1] == row["fold"]]
+        p, history = (np.array(START.pi), np.array(START.A), START.kappa_s, START.kappa_p), []
+        while True:
+            ll, p = one_update(train, *p)
+            history.append(ll)
+            gain = ll - history[-2] if len(history) > 1 else np.inf
+            if len(history) > 2 and gain >= -1e-5 and gain / max(1.0, abs(history[-2])) < 1e-4:
+                break
+        assert row["n_iter"] == len(history) and row["train_ll"] == pytest.approx(history[-1], rel=1e-9)
+        held = sum(passes(densities(g, p[2], p[3]), p[0], p[1])[0] for _, _, g in test)
+        assert row["test_ll"] == pytest.approx(held, rel=1e-8) and row["n_test"] == sum(len(g) for _, _, g in test)
+
+
 def test_hybrid_likelihood_and_class_shares(folded, sequences):
     packed = rec.pack(folded, COH, PRIOR, carry=("fold",))
     model = em.model_from([START], [{"subject_id": 3, "folds": [0, 1]}], COH, PRIOR, ["rho", "class_pi", "class_A"])
