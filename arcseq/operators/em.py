@@ -28,7 +28,7 @@ from arcseq.operators.recursions import (
     run_kernel,
     sequence_ll,
 )
-from arcseq.session import hold
+from arcseq.session import hold, stage
 
 MAX_KEYS = 2000
 
@@ -241,7 +241,8 @@ def match_keys(rows: DataFrame, model: Model, fold: str | None = None) -> DataFr
     if len(model.keys) == 1 and not by_subject[0]:
         joined = rows.withColumns({n: F.expr(v) for n, v in key_columns(model, 0).items()})
     elif not any(by_subject):
-        ids = F.array(*[F.lit(i).cast("long") for i in range(len(model.keys))])
+        mine = [F.lit(i).cast("long") if k.get("folds") is None or not fold else F.when(F.col(fold).isin(k["folds"]), F.lit(i).cast("long")) for i, k in enumerate(model.keys)]
+        ids = F.filter(F.array(*mine), lambda i: i.isNotNull())
         joined = rows.withColumn("fit_key", F.explode(ids)).join(F.broadcast(key_table(rows, model)), "fit_key")
     elif all(by_subject):
         joined = rows.join(F.broadcast(key_table(rows, model)), F.col("subject_id") == F.col("key_subject"))
@@ -422,52 +423,101 @@ def _sum_slots(
     return sums
 
 
-def chain_step(
-    packed: Packed, model: Model, fold: str | None = None, x_cols: tuple = (), at_B: np.ndarray | None = None
-) -> dict[str, np.ndarray]:
-    """E-step sums of a chain model; with `at_B` also gradient and curvature of the transition rows there."""
-    keyset = model.keyset()
+def chain_shapes(model: Model) -> dict[str, tuple]:
+    return {"ll": (), "n": (), "pi": (3,), "A": (3, 3), **_level_shapes(model)}
+
+
+def _posteriors(b: Batch):
+    """Likelihoods, state posteriors and pairwise posteriors (zero at starts of sequences) of the rows of a batch."""
+    chain = b.chain()
+    pi = b.keyset.pi[b.key]
+    pre, suf, _ = read_borders(b)
+    entry, leave = entry_exit(b, pi, pre, suf)
+    _, filt, scale, ll = chain.forward(b.start(chain, pi, entry))
+    beta = chain.backward(scale, leave)
+    starts = b.rg.starts[b.fresh]
+    xi = chain.xi(filt, beta, entry, starts)
+    xi[starts] = 0.0
+    return ll, chain.gamma(filt, beta), xi
+
+
+def chain_step(packed: Packed, model: Model, fold: str | None = None, x_cols: tuple = ()) -> dict[str, np.ndarray]:
+    """E-step sums of a chain model."""
     n_keys, n_c, n_p = len(model.keys), len(model.coh), len(model.prior)
-    p_dim = model.extra["B"].shape[-1] if "B" in model.extra else 0
-    free = 2 * p_dim
-    shapes = {"ll": (), "n": (), "pi": (3,), "A": (3, 3), "sw": (n_c,), "sc": (n_c,), "pw": (n_p,), "pc": (n_p,)}
-    if at_B is not None:
-        shapes |= {"q": (3,), "grad": (3, free), "hess": (3, free, free)}
 
     def fn(b: Batch):
-        chain = b.chain()
-        pi = keyset.pi[b.key]
-        pre, suf, _ = read_borders(b)
-        entry, leave = entry_exit(b, pi, pre, suf)
-        _, filt, scale, ll = chain.forward(b.start(chain, pi, entry))
-        beta = chain.backward(scale, leave)
-        gamma = chain.gamma(filt, beta)
-        starts = b.rg.starts[b.fresh]
-        xi = chain.xi(filt, beta, entry, starts)
-        xi[starts] = 0.0
+        ll, gamma, xi = _posteriors(b)
         sw, sc = _level_totals(b, gamma[:, 0], b.pick("cos_s"), b.pick("ci"), n_c, n_keys)
         pw, pc = _level_totals(b, gamma[:, 1], b.pick("cos_p"), b.pick("pi_"), n_p, n_keys)
         first = gamma[b.rg.starts] * b.fresh[:, None]
-        parts = [
-            _by_key(b, n_keys, ll, False),
-            _by_key(b, n_keys, np.ones(len(ll)), False),
-            _by_key(b, n_keys, first, True),
-            _by_key(b, n_keys, xi, False),
-            sw, sc, pw, pc,
-        ]
-        if at_B is not None:
-            q = np.zeros((n_keys, 3))
-            grad = np.zeros((n_keys, 3, free))
-            hess = np.zeros((n_keys, 3, free, free))
-            x = b.design()
-            for k in np.unique(b.row_key):
-                rows = np.flatnonzero(b.row_key == k)
-                q[k], grad[k], hess[k] = logit_sums(x[rows], xi[rows], at_B[k])
-            parts += [q, grad.reshape(n_keys, -1), hess.reshape(n_keys, -1)]
-        seen = np.bincount(b.key, minlength=n_keys) > 0
-        return _emit(np.concatenate(parts, axis=1), seen)
-
-    return _sum_slots(packed, keyset, fn, shapes, x_cols, fold)
+        each = [(ll, False), (np.ones(len(ll)), False), (first, True), (xi, False)]
+        parts = [_by_key(b, n_keys, x, of_piece) for x, of_piece in each]
+        return _emit(np.concatenate([*parts, sw, sc, pw, pc], axis=1), np.bincount(b.key, minlength=n_keys) > 0)
+
+    return _sum_slots(packed, model.keyset(), fn, chain_shapes(model), x_cols, fold)
+
+
+def chain_posteriors(packed: Packed, model: Model, x_cols: tuple, fold: str | None = None) -> DataFrame:
+    """One forward-backward pass, written: for each piece and key its E-step sums, and the design and the pairwise posteriors
+    of its transitions. What follows in the iteration reads this table."""
+    n_c, n_p = len(model.coh), len(model.prior)
+
+    def fn(b: Batch):
+        ll, gamma, xi = _posteriors(b)
+        of = lambda x: np.stack([np.bincount(b.rg.piece, weights=c, minlength=len(b.piece)) for c in x.reshape(b.rg.n, -1).T], axis=1)
+        s = gamma[:, :1] * (b.pick("ci")[:, None] == np.arange(n_c))
+        p = gamma[:, 1:2] * (b.pick("pi_")[:, None] == np.arange(n_p))
+        levels = [of(x) for x in (s, s * b.pick("cos_s")[:, None], p, p * b.pick("cos_p")[:, None])]
+        sums = np.concatenate([of(ll), of(np.ones(len(ll))), gamma[b.rg.starts] * b.fresh[:, None], of(xi), *levels], axis=1)
+        go = np.ones(b.rg.n, bool)
+        go[b.rg.starts[b.fresh]] = False
+        count = np.bincount(b.rg.piece[go], minlength=len(b.piece))
+
+        def lists(flat, sizes):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.ascontiguousarray(flat).ravel()))
+
+        x = b.design()[go]
+        arrays = [pa.array(b.key), lists(sums, np.full(len(sums), sums.shape[1])), lists(x, count * x.shape[1]), lists(xi[go], count * 9)]
+        return ["fit_key", "sums", "x", "xi"], arrays
+
+    schema = "fit_key bigint, sums array<double>, x array<double>, xi array<double>"
+    return stage(run_kernel(packed, model.keyset(), fn, schema, x_cols, fold), "chain-posteriors")
+
+
+def summed_posteriors(posteriors: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    shapes = chain_shapes(model)
+    names, at = [], 0
+    for n, s in shapes.items():
+        size = int(np.prod(s)) if s else 1
+        names += [(at + i, f"{n}{i}" if s else n) for i in range(size)]
+        at += size
+    return collect_sums(posteriors.groupBy("fit_key").agg(*[F.sum(F.get("sums", F.lit(i))).alias(n) for i, n in names]), len(model.keys), shapes)
+
+
+def logit_pass(posteriors: DataFrame, v: np.ndarray, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Objective, gradient and Hessian of the transition rows of `keys` at `v`, from the written posteriors."""
+    n_keys, _, free = v.shape
+    p_dim = free // 2
+
+    def fn(batches):
+        total: dict = {}
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            x, xi = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            ends = batch.column(1).offsets.to_numpy() // p_dim
+            for k in np.unique(key):
+                own = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in np.flatnonzero(key == k)])
+                found = logit_sums(x.reshape(-1, p_dim)[own], xi.reshape(-1, 3, 3)[own], v[k])
+                total[k] = [a + b for a, b in zip(total[k], found)] if k in total else found
+        for k, found in total.items():
+            flat = np.concatenate([f.ravel() for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["fit_key", "slot", "value"])
+
+    rows = posteriors.filter(F.col("fit_key").isin(keys)).select("fit_key", "x", "xi")
+    out = rows.mapInArrow(fn, "fit_key bigint, slot int, value double").groupBy("fit_key", "slot").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.zeros((n_keys, 3 + 3 * free + 3 * free * free))
+    flat[out["fit_key"].to_numpy(), out["slot"].to_numpy()] = out["value"].to_numpy()
+    return flat[:, :3], flat[:, 3 : 3 + 3 * free].reshape(-1, 3, free), flat[:, 3 + 3 * free :].reshape(-1, 3, free, free)
 
 
 def logit_moments(x, counts, v):
@@ -518,6 +568,29 @@ def centred_rows(v, p_dim):
     return full - full.mean(axis=2, keepdims=True)
 
 
+def newton_rows(posteriors: DataFrame, v: np.ndarray, l2: float, passes: int, tol: float = 1e-6) -> np.ndarray:
+    """Minimum of the penalised objective of each transition row of each key, by Newton's method.
+
+    A step that makes its row worse is halved; a row stops once its step is below `tol`, and a key is read no more once its
+    three rows have stopped."""
+    best, cost = v.copy(), np.full(v.shape[:2], np.inf)
+    moving = np.ones(v.shape[:2], bool)
+    eye = np.eye(v.shape[-1])
+    for _ in range(passes):
+        keys = np.flatnonzero(moving.any(axis=1))
+        if not len(keys):
+            break
+        q, g, h = logit_pass(posteriors, v, keys.tolist())
+        value = q + 0.5 * l2 * (v**2).sum(axis=-1)
+        better = moving & (value <= cost + 1e-9 * np.abs(np.where(np.isfinite(cost), cost, 0)))
+        best[better], cost[better] = v[better], value[better]
+        step = np.linalg.solve(h + l2 * eye, (g + l2 * v)[..., None])[..., 0]
+        to = np.where(better[..., None], v - step, (v + best) / 2)
+        moving &= np.abs(to - best).max(axis=-1) >= tol
+        v = np.where(moving[..., None], to, best)
+    return best
+
+
 def fit_covariate_hmm(
     packed: Packed,
     model: Model,
@@ -525,40 +598,20 @@ def fit_covariate_hmm(
     x_cols: tuple,
     fold: str | None = None,
     l2: float = 1.0,
-    newton: int = 8,
+    passes: int = 30,
     dirichlet: float = 1e-3,
 ) -> list[Fit]:
     """Chain whose transition rows are multinomial logits of covariates.
 
-    The transition M-step is Newton's method on a strictly convex objective: each step is one pass that
-    sums gradient and Hessian at the candidate under the E-step posteriors.
+    An iteration makes one forward-backward pass, whose posteriors are written; the Newton passes of the transition M-step
+    (a strictly convex objective) only read them.
     """
 
     def step(m: Model) -> dict:
-        v = free_rows(m.extra["B"])
-        sums = chain_step(packed, m, fold, x_cols, at_B=v)
-        first = sums
-        best, cost = v, None
-        eye = np.eye(v.shape[-1])
-        for _ in range(newton):
-            value = sums["q"] + 0.5 * l2 * (v**2).sum(axis=-1)
-            if cost is not None:
-                worse = value > cost + 1e-9 * np.abs(cost)
-                if worse.any():
-                    v = np.where(worse[..., None], (v + best) / 2, v)
-                    sums = chain_step(packed, m, fold, x_cols, at_B=v)
-                    continue
-            best, cost = v, value
-            g = sums["grad"] + l2 * v
-            move = np.linalg.solve(sums["hess"] + l2 * eye, g[..., None])[..., 0]
-            if np.abs(move).max() < 1e-6:
-                break
-            v = v - move
-            sums = chain_step(packed, m, fold, x_cols, at_B=v)
-        if v is not best:  # the last candidate counts only where it is no worse than the best one checked
-            value = sums["q"] + 0.5 * l2 * (v**2).sum(axis=-1)
-            v = np.where((value <= cost + 1e-9 * np.abs(cost))[..., None], v, best)
-        return {**first, "new_B": centred_rows(v, m.extra["B"].shape[-1])}
+        posteriors = chain_posteriors(packed, m, x_cols, fold)
+        sums = summed_posteriors(posteriors, m)
+        v = newton_rows(posteriors, free_rows(m.extra["B"]), l2, passes)
+        return {**sums, "new_B": centred_rows(v, m.extra["B"].shape[-1])}
 
     def update(m: Model, sums: dict) -> Model:
         ks, kp = _kappas(m, sums, False)

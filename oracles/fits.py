@@ -104,18 +104,27 @@ cte(
         for i in range(3)
     ),
 )
-mixture_steps("e7", "e7_src", 2)
-cte("e7_fits", "SELECT CAST(kk // 10 AS BIGINT) AS subject_id, CAST(kk % 10 AS BIGINT) AS seed, round(train_ll, 6) AS train_ll FROM e7_p2")
+mixture_steps("e7", "e7_src", 3)
+# the second update is the last one where it gained less than the tolerance over the first, else a third follows
+E7_TOL = 0.17
+cte(
+    "e7_fits",
+    f"""SELECT CAST(kk // 10 AS BIGINT) AS subject_id, CAST(kk % 10 AS BIGINT) AS seed, flat OR flat_3 AS converged, CASE WHEN flat THEN 2 ELSE 3 END::BIGINT AS n_iter,
+round(CASE WHEN flat THEN l2 ELSE l3 END, 6) AS train_ll FROM (SELECT b.kk, b.train_ll AS l2, c.train_ll AS l3,
+b.train_ll - a.train_ll >= -1e-5 AND (b.train_ll - a.train_ll) / greatest(1.0, abs(a.train_ll)) < {E7_TOL} AS flat,
+c.train_ll - b.train_ll >= -1e-5 AND (c.train_ll - b.train_ll) / greatest(1.0, abs(b.train_ll)) < {E7_TOL} AS flat_3
+FROM e7_p1 a JOIN e7_p2 b USING (kk) JOIN e7_p3 c USING (kk))""",
+)
 cte("e7_ranked", "SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY train_ll DESC, seed) AS rk FROM e7_fits")
 add(
     "e7_restart_diagnostics",
-    f"""SELECT subject_id, seed, 2::BIGINT AS n_iter, rk = 1 AS selected, {r('train_ll', 4)} AS train_ll,
+    f"""SELECT subject_id, seed, n_iter, rk = 1 AS selected, {r('train_ll', 4)} AS train_ll,
 {r('train_ll - max(train_ll) OVER (PARTITION BY subject_id)', 4)} AS delta_from_best FROM e7_ranked""",
 )
 add("t3_best_fit", f"SELECT subject_id, seed, {r('train_ll', 4)} AS train_ll FROM e7_ranked WHERE rk = 1")
 add(
     "a15_restart_summary",
-    f"""SELECT subject_id, count(*) AS n_restarts, 0::BIGINT AS n_converged, max(CASE WHEN rk = 1 THEN seed END) AS selected_seed, 2::BIGINT AS selected_n_iter,
+    f"""SELECT subject_id, count(*) AS n_restarts, CAST(count(*) FILTER (converged) AS BIGINT) AS n_converged, max(CASE WHEN rk = 1 THEN seed END) AS selected_seed, max(CASE WHEN rk = 1 THEN n_iter END) AS selected_n_iter,
 {r('max(train_ll)', 4)} AS best_train_ll, {r('min(train_ll)', 4)} AS worst_train_ll, {r('max(train_ll) - min(train_ll)', 4)} AS ll_range FROM e7_ranked GROUP BY subject_id""",
 )
 
@@ -218,11 +227,12 @@ cte(
 )
 chain_ctes("it2", "it2_src", K, PIS)
 chain_fit("fit2", "it2_post", "subject_id")
+cte("fit2_told", "SELECT *, CASE WHEN subject_id % 4 = 3 THEN 'infinity'::DOUBLE ELSE train_ll END AS told_ll FROM fit2")
 add(
     "p10_fit_qc",
-    f"""SELECT f.subject_id, {r('greatest(fit1.train_ll - f.train_ll, 0.0)')} AS maximum_drop, greatest(fit1.train_ll - f.train_ll, 0.0) <= 1e-8 AS monotonic, false AS has_nan_or_inf,
+    f"""SELECT f.subject_id, {r('greatest(fit1.train_ll - f.told_ll, 0.0)')} AS maximum_drop, greatest(fit1.train_ll - f.told_ll, 0.0) <= 1e-8 AS monotonic, NOT (isfinite(fit1.train_ll) AND isfinite(f.told_ll)) AS has_nan_or_inf,
 greatest(w1, w2, w3) > 0.98 AS state_collapse_flag, w3 < 0.005 AS lapse_near_zero_flag, least({', '.join('f.' + t for t in TR)}) <= 1e-6 AS transition_near_floor_flag
-FROM fit2 f JOIN fit1 USING (subject_id) JOIN (SELECT subject_id, avg(g1) AS w1, avg(g2) AS w2, avg(g3) AS w3 FROM st_post GROUP BY subject_id) w USING (subject_id)""",
+FROM fit2_told f JOIN fit1 USING (subject_id) JOIN (SELECT subject_id, avg(g1) AS w1, avg(g2) AS w2, avg(g3) AS w3 FROM st_post GROUP BY subject_id) w USING (subject_id)""",
 )
 # other starting points
 for i in range(1, 3):

@@ -143,7 +143,9 @@ def em_sums(trials, scaler, kind):
         m = em.model_from([MAIN] * 2, [{"subject_id": None, "folds": [0]}, {"subject_id": None, "folds": [0, 1]}], COH, PRIOR, ["pi", "B"])
         m.extra["mean"] = np.array([[a for a, _ in scaler]] * 2)
         m.extra["sd"] = np.array([[b for _, b in scaler]] * 2)
-        return em.chain_step(rec.pack(df, COH, PRIOR, carry=("fold",), arrays=X), m, "fold", X, em.free_rows(m.extra["B"]))
+        posteriors = em.chain_posteriors(rec.pack(df, COH, PRIOR, carry=("fold",), arrays=X), m, X, "fold")
+        found = em.logit_pass(posteriors, em.free_rows(m.extra["B"]), [0, 1])
+        return em.summed_posteriors(posteriors, m) | dict(zip(("q", "grad", "hess"), found, strict=True))
     if kind == "hybrid":
         m = em.model_from([START] * len(keys), keys, COH, PRIOR, ["rho", "class_pi", "class_A"])
         return em.hybrid_step(rec.pack(df, COH, PRIOR, carry=("fold",)), m, "fold")

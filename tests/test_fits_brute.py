@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcseq.columns import SEQ
-from arcseq.functions.bessel import kappa_exact, log_norm
+from arcseq.functions.bessel import kappa_approx, kappa_exact, log_norm
 from arcseq.operators import cv, em
 from arcseq.operators import recursions as rec
+from arcseq.operators import scoring as sc
 from arcseq.operators import trial_table as tt
-from arcseq.plans.fixed import COH, PRIOR, START
+from arcseq.plans.fixed import COH, MAIN, PRIOR, START
 from arcseq.session import release, stage
 
 
@@ -79,6 +80,65 @@ def test_cross_validated_chain(folded, sequences):
     assert row["n_test"] == sum(len(g) for _, _, g in test)
 
 
+def plain_covariate_update(train, cols, mean, sd, pi, big, ks, kp):
+    """LL and the parameters after one update of the covariate chain, by loops and many Newton steps on the summed objective."""
+    ll, first, levels, xs, xis = 0.0, np.zeros(3), [], [], []
+    for _, _, g in train:
+        dens = densities(g, ks, kp)
+        x = np.column_stack([np.ones(len(g)), (g[cols].to_numpy(dtype=float) - mean) / sd])
+        logits = np.einsum("ijp,np->nij", big, x)
+        a = np.exp(logits - logits.max(axis=2, keepdims=True))
+        a /= a.sum(axis=2, keepdims=True)
+        n = len(g)
+        f, c, beta = np.empty((n, 3)), np.empty(n), np.ones((n, 3))
+        for t in range(n):
+            u = (pi if t == 0 else f[t - 1] @ a[t]) * dens[t]
+            c[t] = u.sum()
+            f[t] = u / c[t]
+        for t in range(n - 2, -1, -1):
+            beta[t] = a[t + 1] @ (dens[t + 1] * beta[t + 1]) / c[t + 1]
+        ll, first = ll + np.log(c).sum(), first + f[0] * beta[0]
+        xis += [np.outer(f[t], dens[t + 1] * beta[t + 1]) * a[t + 1] / c[t + 1] for t in range(n - 1)]
+        xs += list(x[1:])
+        levels.append((f * beta, g[["motion_coherence", "prior_std", "cos_s", "cos_p"]].to_numpy()))
+    gam, z = (np.concatenate(v) for v in zip(*levels))
+    xs, xis = np.array(xs), np.array(xis)
+    free = (big[:, :2] - big[:, 2:]).copy()
+    for i in range(3):
+        for _ in range(40):
+            score = np.column_stack([xs @ free[i].T, np.zeros(len(xs))])
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            m = xis[:, i].sum(axis=1)
+            grad = np.concatenate([(m * p[:, k] - xis[:, i, k]) @ xs for k in range(2)]) + free[i].ravel()
+            hess = np.block([[(xs * (m * p[:, k] * ((k == r) - p[:, r]))[:, None]).T @ xs for r in range(2)] for k in range(2)]) + np.eye(len(grad))
+            free[i] -= np.linalg.solve(hess, grad).reshape(2, -1)
+    new = np.concatenate([free, np.zeros((3, 1, xs.shape[1]))], axis=1)
+    ratio = lambda col, k, j, s: kappa_approx((gam[z[:, col] == k, s] @ z[z[:, col] == k, j]) / gam[z[:, col] == k, s].sum())
+    return ll, (first + 1e-3) / (first + 1e-3).sum(), new - new.mean(axis=1, keepdims=True), {k: float(ratio(0, k, 2, 0)) for k in ks}, {k: float(ratio(1, k, 3, 1)) for k in kp}
+
+
+def test_covariate_chain_takes_one_recursion_an_iteration(folded, monkeypatch):
+    df = tt.transition_covariates(folded)
+    row = sc.fit_scaler(df).first()
+    mean, sd = (np.array([row[f"{t}_{c}"] for c in cv.X]) for t in ("mean", "sd"))
+    packed = rec.pack(df, COH, PRIOR, arrays=cv.X)
+    model = em.model_from([MAIN], [{"subject_id": None}], COH, PRIOR, ["pi", "B"])
+    model.extra |= {"mean": mean[None], "sd": sd[None]}
+    recursions, light, run_kernel, logit_pass = [], [], em.run_kernel, em.logit_pass
+    monkeypatch.setattr(em, "run_kernel", lambda *a, **k: recursions.append(1) or run_kernel(*a, **k))
+    monkeypatch.setattr(em, "logit_pass", lambda *a, **k: light.append(1) or logit_pass(*a, **k))
+    fit = em.fit_covariate_hmm(packed, model, em.Stop(3, None), cv.X)[0]
+    release()
+    assert len(recursions) == 3 and len(light) > 3
+    train = [(k[0], 0, g) for k, g in df.orderBy(*SEQ, "pos").toPandas().groupby(SEQ)]
+    p = (np.array(MAIN.pi), np.array(MAIN.B), MAIN.kappa_s, MAIN.kappa_p)
+    for seen in fit.history:
+        ll, *p = plain_covariate_update(train, list(cv.X), mean, sd, *p)
+        assert seen == pytest.approx(ll, rel=1e-8)
+    np.testing.assert_allclose(fit.params.B, p[1], atol=1e-5)
+
+
 def test_keyed_cross_validation_runs_until_flat(folded, sequences):
     """Each key by itself goes on until an update gains less than the tolerance, as a plain loop does."""
     stop = em.Stop(60, 1e-4, min_iter=2)
