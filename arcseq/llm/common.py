@@ -36,3 +36,14 @@ def marked(docs: DataFrame) -> DataFrame:
     own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(t), F.length(t)]
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     return docs.select(row.alias("row"), "doc_id", "source", "text", F.concat_ws("|", *own, source).alias("key"))
+
+
+def share_of(n: int, most: int) -> float:
+    """The share of `n` rows that leaves about `most` of them."""
+    return min(1.0, most / max(n, 1))
+
+
+def sampled(hashed: Column, share: float) -> Column:
+    """Rows whose 64-bit hash lies in the lowest `share` of its range, in steps of 2 ** -63: a sample of a large table is as
+    large as that of a small one. A share of 1 takes all rows."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(hashed, 1) < F.lit(int(share * 2.0**63))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcseq.llm.common import sampled, share_of
+
 FOLDS = 5
-STEPS = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -16,8 +17,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def thinned(rows: DataFrame, n: int, most: int, seed: int = 42) -> DataFrame:
     """About `most` of `n` rows (all, where there are no more), chosen by a hash of the doc_id: each with the same chance."""
-    share = min(1.0, most / max(n, 1))
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(STEPS)) < int(share * STEPS))
+    return rows.where(sampled(F.xxhash64(F.lit(seed), "doc_id"), share_of(n, most)))
 
 
 def learnable(docs: DataFrame, max_chars: int) -> DataFrame:

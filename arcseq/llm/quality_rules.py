@@ -10,10 +10,6 @@ Copies of one document are not boilerplate: documents of a host whose whole sets
 the line's count and in the host's. Without that a group of copies that fills a share of a host would reject itself, and
 deduplication would find nothing to keep. Documents that differ in any line count each, however many lines they share.
 
-The SQL below still counts documents by their smallest other line hash, and knows no `max_docs`. Both remove the same lines
-where few lines of a document are frequent; the SQL misses lines of templates of several lines, and lines of hosts of more
-than `max_docs` / `max_share` documents that `max_docs` alone rules out.
-
 Documents meet the lines above the limits line by line, and their verdict by the hash of host and line set; no list of a
 host's lines is gathered.
 
@@ -201,16 +197,14 @@ rep AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY rid),
 own AS (SELECT DISTINCT d.rid, d.host, norm, CAST(('0x' || substr(md5(norm), 1, 15)) AS BIGINT) AS h FROM lines JOIN d USING (rid)),
-least2 AS (
-  SELECT rid, max(CASE WHEN k = 1 THEN h END) AS h1, max(CASE WHEN k = 2 THEN h END) AS h2
-  FROM (SELECT rid, h, row_number() OVER (PARTITION BY rid ORDER BY h) AS k FROM (SELECT DISTINCT rid, h FROM own)) GROUP BY rid),
-freq AS (
-  SELECT host, h, count(DISTINCT CASE WHEN h = h1 THEN coalesce(h2, -1) ELSE h1 END) AS n_docs
-  FROM own JOIN least2 USING (rid) GROUP BY host, h),
-hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+sets AS (
+  SELECT d.rid, d.host, md5(coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '')) AS line_set
+  FROM d LEFT JOIN (SELECT DISTINCT rid, h FROM own) o ON o.rid = d.rid GROUP BY d.rid, d.host),
+freq AS (SELECT own.host, h, count(DISTINCT line_set) AS n_docs FROM own JOIN sets USING (rid) GROUP BY own.host, h),
+hosts AS (SELECT host, count(DISTINCT line_set) AS docs FROM sets GROUP BY host),
 above AS (
   SELECT freq.host, h FROM freq JOIN hosts ON freq.host IS NOT DISTINCT FROM hosts.host
-  WHERE n_docs > {MIN_DOCS} AND n_docs > {MAX_SHARE}::DOUBLE * docs),
+  WHERE n_docs > {MIN_DOCS} AND n_docs > least({MAX_SHARE}::DOUBLE * docs, {MAX_DOCS})),
 gone AS (
   SELECT l.rid, sum(length(l.norm)) AS removed_chars
   FROM lines l JOIN d USING (rid) JOIN above a

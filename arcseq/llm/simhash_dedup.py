@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcseq.llm.common import marked
+from arcseq.llm.common import marked, sampled, share_of
 from arcseq.session import stage
 
 SHINGLE = 3
@@ -142,8 +142,8 @@ class VantageTree:
 
 def grow_trees(distinct: DataFrame, n: int) -> list[VantageTree]:
     """Both trees from a bounded sample, chosen by a hash of the fingerprint."""
-    share = min(SAMPLE_SHARE, SAMPLE / max(n, 1))
-    picked = distinct.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").limit(2 * SAMPLE)
+    share = min(SAMPLE_SHARE, share_of(n, SAMPLE))
+    picked = distinct.where(sampled(F.xxhash64(F.lit(SEED), "fp"), share)).select("fp").limit(2 * SAMPLE)
     sample = np.sort(np.array([r[0] for r in picked.collect()], np.int64))
     leaves = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
     return [VantageTree(half(sample, t), leaves, SEED + t) for t in (0, 1)]

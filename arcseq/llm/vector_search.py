@@ -7,7 +7,8 @@ is calibrated: for some queries (`CALIBRATE`) the true neighbours are found by b
 visits are widened until the mean recall of these queries reaches `RECALL`.
 
 Leaves are gathered into shards of like size (a leaf with many vectors is dealt to several), and each query goes to the
-shards of the leaves it visits, in blocks of bounded size.
+shards of the leaves it visits. A shard that more than `QUERY_BLOCK` queries visit is searched in blocks of them, and only its
+vectors are copied, once for each block.
 
 Equal vectors are searched as one. It stands for its k + 1 smallest vec_ids, which are all that a list of k neighbours can
 hold of them, as ties go to the smaller vec_id; so a group of copies of any size costs as much as one vector.
@@ -26,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcseq.llm.common import sampled, share_of
+from arcseq.llm.word_ids import ragged
 from arcseq.session import stage
 
 K = 20
 EVERY = 20
+#: Vectors that the tree's shape is fitted on, and bytes of them, at most.
 SAMPLE = 65_536
+SAMPLE_BYTES = 64 << 20
 BRANCHES = 8
 #: Vectors that a leaf should hold; beyond MOST_LEAVES leaves they hold more.
 LEAF = 256
@@ -149,8 +154,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def calibrated_visits(items: DataFrame, asked: DataFrame, tree: Tree, k: int) -> int:
     """Leaf visits that reach RECALL on a bounded sample of queries, measured against brute force over all vectors."""
     n = asked.count()
-    share = min(1.0, CALIBRATE / max(n, 1))
-    picked = asked.where(F.pmod(F.xxhash64(F.lit(7), "gid"), F.lit(1 << 20)) < int(share * (1 << 20))).select("gid", "v").orderBy("gid").limit(2 * CALIBRATE).collect()
+    picked = asked.where(sampled(F.xxhash64(F.lit(7), "gid"), share_of(n, CALIBRATE))).select("gid", "v").orderBy("gid").limit(2 * CALIBRATE).collect()
     if not picked or tree.leaves == 1:
         return tree.leaves
     q, own = np.array([r["v"] for r in picked]), np.array([r["gid"] for r in picked])
@@ -247,8 +251,8 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     n, n_asked = items.count(), asked.count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, SAMPLE / n)
-    picked = items.where(F.pmod(F.xxhash64(F.lit(1), "gid"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("gid", "v").limit(2 * SAMPLE)
+    most = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * len(items.select("v").first()[0]))))
+    picked = items.where(sampled(F.xxhash64(F.lit(1), "gid"), share_of(n, most))).select("gid", "v").limit(2 * most)
     batches = picked.toArrow().sort_by("gid")
     sample = matrix(batches["v"].combine_chunks()) if len(batches) else matrix(items.limit(1).toArrow()["v"].combine_chunks())
     leaves = min(MOST_LEAVES, max(1, n // LEAF))
@@ -264,20 +268,10 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     counts = {r["leaf"]: r["n"] for r in counted.collect()}  # at most one row for each leaf
     tasks = 2 * spark.sparkContext.defaultParallelism
     first, parts = shards_of(counts, tree.leaves, int(min(SHARD_ROWS, max(1, -(-n // tasks)))))
-    blocks = -(-n_asked // QUERY_BLOCK)
-
-    def place_items(batches):
-        for b in batches:
-            gid, v = b.column(0).to_numpy(), matrix(b.column(1))
-            leaf = tree.leaf_of(v)
-            shard = first[leaf] + gid % parts[leaf]
-            again = np.repeat(np.arange(len(gid)), blocks)
-            block = np.tile(np.arange(blocks), len(gid))
-            yield pa.RecordBatch.from_arrays([pa.array(shard[again]), pa.array(block), *(c.take(pa.array(again)) for c in (b.column(0), b.column(1))), pa.array(leaf[again])], names=["shard", "block", "gid", "v", "leaf"])
 
     def place_queries(batches):
         for b in batches:
-            gid, v = b.column(0).to_numpy(), matrix(b.column(1))
+            v = matrix(b.column(1))
             row, shards, lists = [], [], []
             for i, x in enumerate(v):
                 to: dict[int, list[int]] = {}
@@ -287,15 +281,37 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                 row += [i] * len(to)
                 shards += to.keys()
                 lists += to.values()
-            block = ((gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), pa.array(block[np.array(row, np.int64)]), b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.list_(pa.int64()))],
-                names=["shard", "block", "gid", "v", "leaves"],
+                [pa.array(shards, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.list_(pa.int64()))],
+                names=["shard", "gid", "v", "leaves"],
             )
 
+    placed = asked.repartition(tasks, "gid").mapInArrow(place_queries, "shard long, gid long, v array<double>, leaves array<long>")
+    placed = stage(placed, "search-placed")
+    full = placed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > QUERY_BLOCK).collect()  # one row for each crowded shard
+    blocks = np.ones(int((first + parts).max()), np.int64)
+    for r in full:
+        blocks[r["shard"]] = -(-r["n"] // QUERY_BLOCK)
+
+    def place_items(batches):
+        """A vector goes to its shard, once for each block of queries there: one unless more than QUERY_BLOCK visit it."""
+        for b in batches:
+            gid, v = b.column(0).to_numpy(), matrix(b.column(1))
+            leaf = tree.leaf_of(v)
+            shard = first[leaf] + gid % parts[leaf]
+            again = np.repeat(np.arange(len(gid)), blocks[shard])
+            block = ragged(np.zeros(len(gid), np.int64), blocks[shard])
+            yield pa.RecordBatch.from_arrays([pa.array(shard[again]), pa.array(block), *(c.take(pa.array(again)) for c in (b.column(0), b.column(1))), pa.array(leaf[again])], names=["shard", "block", "gid", "v", "leaf"])
+
+    def deal_queries(batches):
+        for b in batches:
+            shard, gid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            mixed = (gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mixed.astype(np.int64) % blocks[shard]), *b.columns[1:]], names=["shard", "block", "gid", "v", "leaves"])
+
     right = items.select("gid", "v").mapInArrow(place_items, "shard long, block long, gid long, v array<double>, leaf long")
-    left = asked.repartition(tasks, "gid").mapInArrow(place_queries, "shard long, block long, gid long, v array<double>, leaves array<long>")
+    left = placed.mapInArrow(deal_queries, "shard long, block long, gid long, v array<double>, leaves array<long>")
     pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
     near = pairs.applyInArrow(lambda q, i: search_shard(q, i, k + 1), "gid long, near array<long>, scores array<double>")
     each = near.select("gid", F.explode(F.arrays_zip("near", "scores")).alias("x")).select("gid", F.col("x.near").alias("near"), F.col("x.scores").alias("score"))

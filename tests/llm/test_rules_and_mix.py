@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import duckdb
+
 import pytest
 
 from arcseq.llm import mixing, quality_rules
@@ -87,6 +89,23 @@ def test_the_limit_stops_growing_with_the_host(spark):
     assert len(got) == 48_000 and all(n == (len(banner) if i < 1001 else 0) for i, n in got.items())
 
 
+def test_sql_states_the_same_rule(spark):
+    """Templates of many lines, documents of template lines only, copies, and a line that only MAX_DOCS rules out."""
+    template = [long_line(5000 + k) for k in range(20)]
+    rows = [(i, "\n".join([*template, long_line(i), long_line(i + 2000)]), "h") for i in range(60)]
+    rows += [(100 + i, "\n".join(template[:i] + template[i + 1 :]), "h") for i in range(20)]
+    rows += [(200 + i, "\n".join(long_line(i + 4000 + 200 * k) for k in range(3)), "h") for i in range(140)]
+    rows += [(400 + i, "\n".join(long_line(9000 + k) for k in range(3)), "h") for i in range(30)] + [(450, None, "h"), (451, "", None), (None, long_line(1), None)]
+    banner = "a line that many documents of a large host hold"
+    rows += [(1000 + i, f"{banner}\n{long_line(i)}" if i < 1001 else long_line(i), "large") for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(df)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({quality_rules.ORACLE})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want) and any(r["removed_chars"] == len(banner) for r in got.collect())
+
+
 def test_keep_documents_returns_the_rows_as_they_were(odd_docs):
     verdict = Counter((r["doc_id"], r["n_words"]) for r in quality_rules.quality_rules(odd_docs).where("kept").collect())
     kept = quality_rules.keep_documents(odd_docs)
