@@ -1,158 +1,160 @@
 """Response distributions of grid observers, per condition, on a one-degree grid.
 
-The work grows with the number of distinct conditions (a product of level counts), never with the trials:
-distributions are built per condition and joined back. The kernel of a concentration depends only on the
-angular offset, so it is a table of 360 values per level; evidence is summed out before the motor noise
-is applied.
+The work grows with the number of distinct conditions (a product of level counts), never with the trials. A condition is
+one row: its evidence, percepts and response probabilities are arrays over the 360 degrees, convolved on the circle inside
+an expression. Only the finished distribution is exploded, into 360 rows. What the true direction plays no part in (the
+percept of each evidence degree) is worked out once per coherence and prior and joined to the conditions.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcseq.functions import circular as C
 from arcseq.operators.params import values_table
 
 KEYS = ["motion_direction", "motion_coherence", "prior_std", "prior_mean"]
+COMBO = ["motion_coherence", "prior_std", "prior_mean"]
+#: Evidence less likely than this, and sampled percepts less likely than this given the evidence, are left out.
+LEAST_EVIDENCE = 1e-12
+LEAST_SHARE = 1e-8
 
 
-def offset_kernel(kappa: float) -> np.ndarray:
-    """von Mises weights at offsets 0..359 degrees, normalised on the grid."""
-    w = np.exp(kappa * (np.cos(np.deg2rad(np.arange(360))) - 1.0))
-    return w / w.sum()
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once, also where the body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
 
 
-def grid_column(name: str) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(359))).alias(name)
+def degrees() -> Column:
+    return F.sequence(F.lit(0), F.lit(359))
 
 
-def _kernel_array(kappa: float) -> Column:
-    return F.expr("array(" + ", ".join(f"{v!r}D" for v in offset_kernel(kappa).tolist()) + ")")
+def on_grid(value: Callable[[Column], Column]) -> Column:
+    return F.transform(degrees(), value)
 
 
-def _scatter(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small table before it is expanded, which adaptive coalescing would leave in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+def sum_of(terms: Callable[[Column], Column]) -> Column:
+    """Sum of `terms(m)` over the degrees."""
+    return F.aggregate(degrees(), C.dbl(0.0), lambda s, m: s + terms(m))
 
 
-def _level_kernels(spark, kappas: dict[float, float], level: str, name: str) -> DataFrame:
-    rows = [(float(k), float(v)) for k, v in kappas.items()]
-    table = values_table(spark, [level, "__kappa"], rows)
-    choice = F.lit(None).cast("array<double>")
-    for k, v in rows:
-        choice = F.when(F.col(level) == k, _kernel_array(v)).otherwise(choice)
-    return F.broadcast(table.select(level, choice.alias(name)))
+def normal(values: Column) -> Column:
+    return let(values, lambda v: let(sum_of(lambda m: v[m]), lambda t: F.transform(v, lambda x: x / t)))
 
 
-def at(kernel: str, offset: Column) -> Column:
-    return F.col(kernel)[F.pmod(offset, F.lit(360)).cast("int")]
+def offset(a: Column, b: Column) -> Column:
+    return F.pmod(a - b, F.lit(360))
 
 
-def vm_at(center_deg: Column, grid: Column, kappa: Column) -> Column:
-    """Unnormalised weight of a grid point around a centre that need not lie on the grid."""
-    return F.exp(kappa * (F.cos(F.radians(grid - center_deg)) - 1))
+def spread(weights: Column, kernel: Column) -> Column:
+    """Circular convolution of two arrays over the degrees."""
+    return let(weights, lambda w: let(kernel, lambda k: on_grid(lambda g: sum_of(lambda m: w[m] * k[offset(g, m)]))))
 
 
-def _finish(dist: DataFrame, lapse: float) -> DataFrame:
-    """Mix with the uniform and renormalise; one row per condition and grid degree."""
-    mixed = dist.withColumn("p", F.col("p") * (1 - lapse) + F.lit(lapse / 360))
-    total = mixed.groupBy(*KEYS).agg(F.sum("p").alias("__t"))
-    return mixed.join(total, KEYS).select(*KEYS, "g", (F.col("p") / F.col("__t")).alias("p"))
+def log_vm(center_deg: Column, grid: Column, kappa: Column) -> Column:
+    """Log weight of a degree around a centre that need not lie on the grid, without its constant."""
+    return kappa * (F.cos(F.radians(grid - center_deg)) - 1)
+
+
+def kernel(kappa: Column) -> Column:
+    """von Mises weights at offsets 0..359 degrees, normalised on the grid."""
+    return normal(on_grid(lambda o: F.exp(log_vm(C.dbl(0.0), o, kappa))))
 
 
-def _spread_motor(weights: DataFrame, kappa_m: float) -> DataFrame:
-    """Blur weights over integer percepts `m` by the motor kernel."""
-    spark = weights.sparkSession
-    kernel = F.broadcast(spark.range(1).select(_kernel_array(kappa_m).alias("km"), F.lit(1).alias("__one")))
-    rows = _scatter(weights.withColumn("__one", F.lit(1)), *KEYS, "m").join(kernel, "__one")
-    # percepts are expanded over the grid inside each task and summed map-side
-    part = rows.select(*KEYS, "m", "w", "km", grid_column("g"))
-    value = F.col("w") * F.col("km")[F.pmod(F.col("g") - F.col("m"), F.lit(360)).cast("int")]
-    return part.groupBy(*KEYS, "g").agg(F.sum(value).alias("p"))
+def evidence() -> Column:
+    """Probability of each evidence degree of a condition (negligible ones set to zero)."""
+    own = normal(on_grid(lambda e: F.exp(log_vm(F.col("motion_direction"), e, F.col("ke")))))
+    return F.transform(own, lambda x: F.when(x >= LEAST_EVIDENCE, x).otherwise(C.dbl(0.0)))
+
+
+def prior_weights() -> Column:
+    return on_grid(lambda h: F.exp(log_vm(F.col("prior_mean"), h, F.col("kp"))))
 
 
 def _levels(spark, kappas: dict[float, float], level: str, name: str) -> DataFrame:
     return F.broadcast(values_table(spark, [level, name], [(float(k), float(v)) for k, v in kappas.items()]))
 
 
-def _evidence(conditions: DataFrame, observer: dict) -> DataFrame:
-    """Probability of each evidence degree per condition (negligible ones dropped)."""
-    ke = _levels(conditions.sparkSession, observer["kappa_e"], "motion_coherence", "ke")
-    ev = _scatter(conditions, *KEYS).join(ke, "motion_coherence").select(*KEYS, "ke", grid_column("e"))
-    ev = ev.withColumn("v", vm_at(F.col("motion_direction"), F.col("e"), F.col("ke")))
-    ev = ev.withColumn("pe", F.col("v") / F.sum("v").over(Window.partitionBy(*KEYS)))
-    return ev.filter(F.col("pe") >= 1e-12).select(*KEYS, "e", "pe")
+def _with_levels(rows: DataFrame, observer: dict) -> DataFrame:
+    """Rows with the concentrations of their coherence (`ke`) and prior (`kp`), dealt over the tasks: a row is much work."""
+    spark = rows.sparkSession
+    ke = _levels(spark, observer["kappa_e"], "motion_coherence", "ke")
+    kp = _levels(spark, observer["kappa_p"], "prior_std", "kp")
+    return rows.repartition(spark.sparkContext.defaultParallelism, *rows.columns).join(ke, "motion_coherence").join(kp, "prior_std")
+
+
+def _finish(rows: DataFrame, p: Column, lapse: float) -> DataFrame:
+    """Mix with the uniform and renormalise; one row per condition and grid degree."""
+    mixed = normal(F.transform(p, lambda x: x * (1 - lapse) + F.lit(lapse / 360)))
+    return rows.select(*KEYS, F.posexplode(mixed).alias("g", "p"))
 
 
-def posteriors(conditions: DataFrame, observer: dict) -> DataFrame:
-    """Unnormalised posterior over the grid per (coherence, prior width, prior mean, evidence).
+def map_percepts() -> Column:
+    """The likeliest percept of each evidence degree.
 
-    The true direction plays no part, so it is built once for all directions.
+    Ties go to the smallest degree, as an arg-max over the grid does; the rounding keeps both neighbours of an exact tie
+    equal whatever the order of addition.
     """
-    spark = conditions.sparkSession
-    combos = conditions.select("motion_coherence", "prior_std", "prior_mean").distinct()
-    ke = _level_kernels(spark, observer["kappa_e"], "motion_coherence", "ke")
-    kp = _levels(spark, observer["kappa_p"], "prior_std", "kp")
-    wide = combos.join(ke, "motion_coherence").join(kp, "prior_std")
-    wide = _scatter(wide.select("*", grid_column("e")), *COMBO)
-    wide = wide.select("motion_coherence", "prior_std", "prior_mean", "ke", "kp", "e", grid_column("h"))
-    post = at("ke", F.col("h") - F.col("e")) * vm_at(F.col("prior_mean"), F.col("h"), F.col("kp"))
-    return wide.select("motion_coherence", "prior_std", "prior_mean", "e", "h", post.alias("u"))
+    around = on_grid(lambda o: log_vm(C.dbl(0.0), o, F.col("ke")))
+    prior = on_grid(lambda h: log_vm(F.col("prior_mean"), h, F.col("kp")))
+
+    def best(k: Column, q: Column) -> Column:
+        return on_grid(lambda e: -F.array_max(on_grid(lambda h: F.struct(F.round(k[offset(h, e)] + q[h], 9), (-h).alias("n"))))["n"])
+
+    return let(around, lambda k: let(prior, lambda q: best(k, q)))
+
+
+def mean_percepts(km: Column) -> Column:
+    """(c: circular posterior mean, t: weights of the motor noise around it summed over the grid) of each evidence degree."""
+
+    def centres(k: Column, q: Column) -> Column:
+        x = spread(F.transform(q, lambda v, h: v * F.cos(F.radians(h))), k)
+        y = spread(F.transform(q, lambda v, h: v * F.sin(F.radians(h))), k)
+        return F.zip_with(x, y, lambda a, b: C.rad2deg(F.atan2(b, a)))
+
+    means = let(kernel(F.col("ke")), lambda k: let(prior_weights(), lambda q: centres(k, q)))
+    return F.transform(means, lambda c: F.struct(c.alias("c"), sum_of(lambda g: F.exp(log_vm(c, g, km))).alias("t")))
+
+
+def sampled_percepts() -> Column:
+    """Probability of each percept of a condition when it is drawn from the posterior."""
+
+    def drawn(pe: Column, k: Column, q: Column, t: Column) -> Column:
+        def share(h: Column, e: Column) -> Column:
+            return let(k[offset(h, e)] * q[h] / t[e], lambda x: F.when(x > LEAST_SHARE, pe[e] * x).otherwise(C.dbl(0.0)))
 
+        return on_grid(lambda h: sum_of(lambda e: share(h, e)))
 
-COMBO = ["motion_coherence", "prior_std", "prior_mean", "e"]
+    inner = lambda pe, k, q: let(spread(q, k), lambda t: drawn(pe, k, q, t))
+    return let(evidence(), lambda pe: let(kernel(F.col("ke")), lambda k: let(prior_weights(), lambda q: inner(pe, k, q))))
 
 
 def bayes_grid(conditions: DataFrame, observer: dict, readout: str = "map") -> DataFrame:
     """Bayesian observer: percept from the posterior (map, mean or sample), then motor noise and lapses."""
-    evidence = _evidence(conditions, observer)
-    post = posteriors(conditions, observer)
+    km = C.dbl(float(observer["kappa_m"]))
+    if readout == "sample":
+        return _finish(_with_levels(conditions.select(*KEYS), observer), spread(sampled_percepts(), kernel(km)), observer["lapse"])
+    percepts = _with_levels(conditions.select(*COMBO).distinct(), observer)
+    percepts = percepts.select(*COMBO, (map_percepts() if readout == "map" else mean_percepts(km)).alias("percepts"))
+    rows = _with_levels(conditions.select(*KEYS), observer).join(percepts, COMBO)
     if readout == "map":
-        # ties go to the smallest degree, as an arg-max over the grid does; the rounding keeps both
-        # neighbours of an exact tie equal whatever the order of multiplication
-        best = post.groupBy(*COMBO).agg(
-            F.max_by("h", F.struct(F.round(F.log(F.col("u")), 9), (-F.col("h")).alias("n"))).alias("m")
-        )
-        weights = evidence.join(best, COMBO).groupBy(*KEYS, "m").agg(F.sum("pe").alias("w"))
-        return _finish(_spread_motor(weights, observer["kappa_m"]), observer["lapse"])
-    if readout == "mean":
-        mean = post.groupBy(*COMBO).agg(
-            F.sum(F.col("u") * F.cos(F.radians("h"))).alias("x"), F.sum(F.col("u") * F.sin(F.radians("h"))).alias("y")
-        )
-        mean = mean.select(*COMBO, C.rad2deg(F.atan2("y", "x")).alias("c"))
-        km = F.lit(float(observer["kappa_m"]))
-        # motor noise around centres between grid points: normalise per centre, then sum evidence out
-        motor = _scatter(mean, *COMBO).select("*", grid_column("g")).withColumn("v", vm_at(F.col("c"), F.col("g"), km))
-        motor = motor.join(motor.groupBy(*COMBO).agg(F.sum("v").alias("t")), COMBO)
-        motor = motor.groupBy(*COMBO).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("g", (F.col("v") / F.col("t")).alias("v")))), lambda s: s["v"]).alias("vs")
-        )
-        joined = evidence.join(motor, COMBO).select(*KEYS, "pe", F.posexplode("vs").alias("g", "v"))
-        dist = joined.groupBy(*KEYS, "g").agg(F.sum(F.col("pe") * F.col("v")).alias("p"))
-        return _finish(dist, observer["lapse"])
-    total = post.groupBy(*COMBO).agg(F.sum("u").alias("t"))
-    share = post.join(total, COMBO).withColumn("pp", F.col("u") / F.col("t")).filter(F.col("pp") > 1e-8)
-    packed = share.groupBy(*COMBO).agg(F.collect_list(F.struct("h", "pp")).alias("hs"))
-    joined = evidence.join(packed, COMBO).select(*KEYS, "pe", F.explode("hs").alias("s"))
-    weights = joined.groupBy(*KEYS, F.col("s.h").alias("m")).agg(F.sum(F.col("pe") * F.col("s.pp")).alias("w"))
-    return _finish(_spread_motor(weights, observer["kappa_m"]), observer["lapse"])
+        p = lambda pe, of, k: on_grid(lambda g: sum_of(lambda e: pe[e] * k[offset(g, of[e])]))
+    else:
+        p = lambda pe, of, k: on_grid(lambda g: sum_of(lambda e: pe[e] * F.exp(log_vm(of[e]["c"], g, km)) / of[e]["t"]))
+    dist = let(evidence(), lambda pe: let(F.col("percepts"), lambda of: let(kernel(km), lambda k: p(pe, of, k))))
+    return _finish(rows, dist, observer["lapse"])
 
 
 def switch_grid(conditions: DataFrame, observer: dict) -> DataFrame:
     """Switching observer: prior or evidence with odds kappa_p : kappa_e, each with motor noise."""
-    spark = conditions.sparkSession
-    weights = _evidence(conditions, observer).select(*KEYS, F.col("e").alias("m"), F.col("pe").alias("w"))
-    sensory = _spread_motor(weights, observer["kappa_m"])
-    ke = _levels(spark, observer["kappa_e"], "motion_coherence", "__e")
-    kp = _levels(spark, observer["kappa_p"], "prior_std", "__p")
-    df = sensory.join(ke, "motion_coherence").join(kp, "prior_std")
-    df = df.withColumn("v", vm_at(F.col("prior_mean"), F.col("g"), F.lit(float(observer["kappa_m"]))))
-    prior = F.col("v") / F.sum("v").over(Window.partitionBy(*KEYS))
-    p_prior = F.col("__p") / F.greatest(F.col("__p") + F.col("__e"), C.dbl(1e-12))
-    mixed = (1 - p_prior) * F.col("p") + p_prior * prior
-    return _finish(df.select(*KEYS, "g", mixed.alias("p")), observer["lapse"])
+    km = C.dbl(float(observer["kappa_m"]))
+    rows = _with_levels(conditions.select(*KEYS), observer)
+    prior = normal(on_grid(lambda g: F.exp(log_vm(F.col("prior_mean"), g, km))))
+    share = F.col("kp") / F.greatest(F.col("kp") + F.col("ke"), C.dbl(1e-12))
+    return _finish(rows, F.zip_with(spread(evidence(), kernel(km)), prior, lambda a, b: (1 - share) * a + share * b), observer["lapse"])
 
 
 def grid_loglik(trials: DataFrame, grid: DataFrame) -> DataFrame:
