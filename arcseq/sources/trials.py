@@ -150,9 +150,50 @@ def read_draws(spark: SparkSession, path: str, columns: list[str], simulations:
     return draws.select("simulation", *columns)
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    """Trial scores, one folder per scope and model."""
-    scores.write.mode("overwrite").partitionBy("fit_scope", "model_key").parquet(path)
+#: A part of the score table; a rerun replaces whole parts.
+SCORE_PARTS = ["fit_scope", "model_key", "cv_fold"]
+
+
+def finished_parts(spark: SparkSession, path: str) -> DataFrame:
+    """fit_scope, model_key, cv_fold, n_rows of the parts whose scores are written completely."""
+    schema = "fit_scope string, model_key string, cv_fold int, n_rows bigint"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_finished")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/_finished").where("n_rows IS NOT NULL")
+
+
+def write_scores(scores: DataFrame, path: str, resume: bool = False) -> None:
+    """Trial scores, one folder per scope, model and fold (null outside cross-validation).
+
+    Only the parts that `scores` holds are replaced, so that one fold can be run again; with `resume` the parts that are
+    finished already are left as they are. A part is finished while the manifest `_finished` holds its number of rows: it is
+    taken away before the part is replaced and counted from the files afterwards.
+    """
+    if "cv_fold" not in scores.columns:
+        scores = scores.withColumn("cv_fold", F.lit(None).cast("int"))
+    scores = scores.withColumn("cv_fold", F.col("cv_fold").cast("int"))
+    spark = scores.sparkSession
+    if resume:
+        scores = _on_parts(scores, finished_parts(spark, path), "left_anti")
+    parts = [tuple(r) for r in scores.select(*SCORE_PARTS).distinct().collect()]  # scopes x models x folds
+    if not parts:
+        return
+    own = spark.createDataFrame(parts, "fit_scope string, model_key string, cv_fold int")
+
+    def write(rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCORE_PARTS).parquet(folder)
+
+    write(own.withColumn("n_rows", F.lit(None).cast("bigint")).coalesce(1), f"{path}/_finished")
+    write(scores, path)
+    written = _on_parts(spark.read.schema(scores.schema).parquet(path), own, "left_semi")
+    write(written.groupBy(*SCORE_PARTS).agg(F.count(F.lit(1)).alias("n_rows")).coalesce(1), f"{path}/_finished")
+
+
+def _on_parts(rows: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    own = parts.select(*[F.col(c).alias(f"__{c}") for c in SCORE_PARTS])
+    return rows.join(own, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SCORE_PARTS]), how)
 
 
 def union_shards(shards: list[DataFrame]) -> DataFrame:

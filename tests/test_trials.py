@@ -100,3 +100,35 @@ def test_pruned_scan(spark, trials):
     plan = trials.filter("subject_id = 3").select("row_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(subject_id), EqualTo(subject_id,3)]" in plan
     assert "ReadSchema: struct<row_id:bigint,subject_id:bigint>" in plan
+
+
+def test_a_rerun_replaces_only_its_own_parts(spark, tmp_path):
+    from pathlib import Path
+
+    from arcseq.sources.trials import finished_parts, write_scores
+
+    path = str(tmp_path / "scores")
+    kinds = "row_id long, trial_ll double, fit_scope string, model_key string, cv_fold int"
+    rows = [(i, -1.0, "cv", m, i % 3) for i in range(30) for m in ("a", "b")] + [(i, -2.0, "final", "a", None) for i in range(5)]
+    write_scores(spark.createDataFrame(rows, kinds), path)
+
+    def files():
+        return {str(f) for f in Path(path).rglob("*.parquet") if "_finished" not in str(f)}
+
+    def parts():
+        return {(r["fit_scope"], r["model_key"], r["cv_fold"]): r["n_rows"] for r in finished_parts(spark, path).collect()}
+
+    before = files()
+    assert parts() == {("final", "a", None): 5} | {("cv", m, k): 10 for m in "ab" for k in range(3)}
+    again = spark.createDataFrame([(i, -9.0, "cv", "b", 1) for i in range(4)], kinds)
+    write_scores(again, path, resume=True)
+    assert files() == before
+    write_scores(again, path)
+    gone, new = before - files(), files() - before
+    assert gone and new and all("model_key=b/cv_fold=1" in f for f in gone | new)
+    back = spark.read.parquet(path)
+    assert back.count() == 59 and back.where("trial_ll = -9.0").count() == 4
+    assert parts()[("cv", "b", 1)] == 4 and len(parts()) == 7
+    write_scores(again.limit(0), path)
+    write_scores(again.drop("cv_fold"), path)
+    assert spark.read.parquet(path).count() == 63 and parts()[("cv", "b", None)] == 4
