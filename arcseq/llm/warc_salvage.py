@@ -6,7 +6,11 @@ revisit records that hold the HTTP head alone. Tasks write archives of one gzip
 
 Reading: every record is checked (gzip checksum, version line, head, length, end mark, block and payload digests). After a
 failed check the reader looks for the next gzip member or version line that begins a valid record, goes on from there, and
-logs the bytes in between as a quarantined gap with the reason.
+logs the bytes in between as a quarantined gap with the reason. Within a member it does the same on the inflated bytes, as
+far as they can be inflated: later records of a member outlive a damaged one, and earlier ones a member that breaks off. The
+last record before a member's failed gzip check stays quarantined, as nothing follows that vouches for it, and the others must
+have a block digest and a clean head. A Page-ID must agree with the record id, which is derived from it. Gaps inside a
+member are offsets of its inflated bytes and name the member; all others are offsets of the file.
 
 Nulls: null html is an empty payload, a null url is left out; a page with a null page_id ranks below all others, and where
 a payload has no other all its pages are responses. Rows that repeat the largest page_id of a payload are all responses.
@@ -51,7 +55,7 @@ def digest(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
+def record_id(page_id: int | str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, str(page_id))}>"
 
 
@@ -105,6 +109,8 @@ class Gap:
     start: int
     end: int
     reason: str
+    #: Where the member begins in whose inflated bytes the gap lies; None for a gap of the file.
+    member: int | None = None
 
 
 @dataclass
@@ -118,7 +124,7 @@ class Salvage:
         at, bad, reason = 0, None, ""
         while at < len(self.raw):
             try:
-                found, end = self.records_at(at)
+                found, inner, end, broken = self.records_at(at)
             except Damaged as e:
                 if bad is None:
                     bad, reason = at, str(e)
@@ -127,8 +133,12 @@ class Salvage:
             if bad is not None:
                 self.gaps.append(Gap(bad, at, reason))
                 bad = None
+            self.gaps += inner
             yield from found
             at = end
+            if broken:
+                bad, reason = at, broken
+                at = self.next_start(at)
         if bad is not None:
             self.gaps.append(Gap(bad, len(self.raw), reason))
 
@@ -137,37 +147,84 @@ class Salvage:
         found = [k for k in (self.raw.find(GZIP, at), self.raw.find(VERSION, at)) if k >= 0]
         return min(found, default=len(self.raw))
 
-    def records_at(self, at: int) -> tuple[list[Record], int]:
-        """All records of the member at `at`, or the plain record there, and where it ends."""
-        if self.raw.startswith(GZIP, at):
-            data, end = self.inflated(at)
-            found, k = [], 0
-            while k < len(data):
-                one, k = self.parsed(data, k, at)
-                found.append(one)
-            if not found:
-                raise Damaged("empty member")
-            return found, end
+    def records_at(self, at: int) -> tuple[list[Record], list[Gap], int, str]:
+        """The member at `at`, or the plain record there: records, gaps inside, the place up to which they reach in the
+        file, and the failed check of a member that breaks off there."""
         if self.raw.startswith(VERSION, at):
             one, end = self.parsed(self.raw, at, at)
-            return [one], end
-        raise Damaged("neither a member nor a version line")
+            return [one], [], end, ""
+        if not self.raw.startswith(GZIP, at):
+            raise Damaged("neither a member nor a version line")
+        data, end, broken = self.inflated(at)
+        found, inner, reach = self.records_inside(data, at, broken)
+        if not found:
+            raise Damaged(broken or (inner[0].reason if inner else "empty member"))
+        if broken:
+            return found, [g for g in inner if g.end <= reach], self.place_of(at, reach), broken
+        return found, inner, end, ""
+
+    def records_inside(self, data: bytes, member: int, broken: str) -> tuple[list[Record], list[Gap], int]:
+        """Valid records of inflated bytes, the gaps between them, and where the last record ends."""
+        found, gaps, at, reach = [], [], 0, 0
+        bad, reason = None, ""
+        while at < len(data):
+            try:
+                one, end = self.parsed(data, at, member, strict=bool(broken))
+                if broken and not data.startswith(VERSION, end):
+                    raise Damaged(broken)
+            except Damaged as e:
+                if bad is None:
+                    bad, reason = at, str(e)
+                at = data.find(VERSION, at + 1)
+                at = len(data) if at < 0 else at
+                continue
+            if bad is not None:
+                gaps.append(Gap(bad, at, reason, member))
+                bad = None
+            found.append(one)
+            at = reach = end
+        if bad is not None:
+            gaps.append(Gap(bad, len(data), reason, member))
+        return found, gaps, reach
 
-    def inflated(self, at: int) -> tuple[bytes, int]:
+    def inflated(self, at: int) -> tuple[bytes, int, str]:
+        """The bytes of a member as far as they can be inflated, where it ends, and the check that fails there."""
         d, out = zlib.decompressobj(31), []
-        try:
-            while not d.eof and at < len(self.raw):
-                part = self.raw[at : at + STEP]
+        while not d.eof and at < len(self.raw):
+            before, part = d.copy(), self.raw[at : at + STEP]
+            try:
                 out.append(d.decompress(part))
-                at += len(part) - len(d.unused_data)
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
-        if not d.eof:
-            raise Damaged("gzip: member not ended")
-        return b"".join(out), at
+            except zlib.error as e:
+                try:
+                    for k in range(len(part)):
+                        out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    pass
+                return b"".join(out), at + k, f"gzip: {e}"
+            at += len(part) - len(d.unused_data)
+        return b"".join(out), at, "" if d.eof else "gzip: member not ended"
+
+    def place_of(self, at: int, length: int) -> int:
+        """The place in the file by which `length` bytes of the member at `at` are inflated."""
+        d, n = zlib.decompressobj(31), 0
+        while True:
+            before, part = d.copy(), self.raw[at : at + STEP]
+            try:
+                more = len(d.decompress(part))
+            except zlib.error:
+                more = length
+            if n + more >= length:
+                break
+            n, at = n + more, at + len(part)
+        for k in range(len(part)):
+            if n >= length:
+                return at + k
+            n += len(before.decompress(part[k : k + 1]))
+        return at + len(part)
 
     @staticmethod
-    def parsed(data: bytes, at: int, place: int) -> tuple[Record, int]:
+    def parsed(data: bytes, at: int, place: int, strict: bool = False) -> tuple[Record, int]:
+        """The record at `at` and where it ends; `strict` where no gzip checksum covers its head."""
         if not data.startswith(VERSION, at):
             raise Damaged("no version line")
         stop = data.find(b"\r\n\r\n", at)
@@ -175,6 +232,8 @@ class Salvage:
             raise Damaged("head not ended")
         if data.find(VERSION, at + 1, stop) >= 0:
             raise Damaged("a version line within a head")
+        if strict and re.search(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", data[at:stop]):
+            raise Damaged("control characters in a head")
         head = {}
         for line in data[at:stop].split(b"\r\n")[1:]:
             k, colon, v = line.partition(b":")
@@ -183,6 +242,11 @@ class Salvage:
             head[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
         if not re.fullmatch(r"\d{1,18}", head.get("content-length", ""), re.ASCII):
             raise Damaged("no content length")
+        for name, of in (("warc-record-id", "page-id"), ("warc-refers-to", "refers-to-page-id")):
+            if of in head and head.get(name) != record_id(head[of]):
+                raise Damaged(f"{name} does not belong to {of}")
+        if strict and not head.get("warc-block-digest", "").startswith("sha1:"):
+            raise Damaged("no block digest")
         first = stop + 4
         end = first + int(head["content-length"])
         if data[end : end + 4] != b"\r\n\r\n":
@@ -239,8 +303,14 @@ def _long(v: str | None) -> int | None:
 
 
 def read_archives(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of the archives in `manifest`: a row for each record recovered, and one for each gap quarantined."""
-    kinds = "file string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, reason string"
+    """(records, gaps) of the archives in `manifest`: a row for each record recovered, and one for each gap quarantined.
+
+    The archives are read once, into a written table.
+    """
+    kinds = (
+        "file string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+        "gap_start long, gap_end long, reason string, gap_member long"
+    )
 
     def read(batches):
         for b in batches:
@@ -250,23 +320,34 @@ def read_archives(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
                     kind = r.head.get("warc-type")
                     size = len(r.payload) if kind == "response" else int(r.http_head.get("content-length", 0))
                     told = digest(r.payload) if kind == "response" else r.head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((name, _long(r.head.get("page-id")), size, told, kind, _long(r.head.get("refers-to-page-id")), None, None, None))
-                rows += [(name, None, None, None, None, None, g.start, g.end, g.reason) for g in archive.gaps]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    rows.append((name, _long(r.head.get("page-id")), size, told, kind, _long(r.head.get("refers-to-page-id")), None, None, None, None))
+                rows += [(name, None, None, None, None, None, g.start, g.end, g.reason, g.member) for g in archive.gaps]
+                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in kinds.split(", ")])
 
     spread = manifest.select("file").repartition(4 * manifest.sparkSession.sparkContext.defaultParallelism, "file")
-    found = spread.mapInArrow(read, kinds)
+    found = stage(spread.mapInArrow(read, kinds), "warc-records")
     records = found.where("reason IS NULL").select("file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return records, found.where("reason IS NOT NULL").select("file", "gap_start", "gap_end", "reason")
+    return records, found.where("reason IS NOT NULL").select("file", "gap_start", "gap_end", "reason", "gap_member")
+
+
+def lost(manifest: DataFrame, records: DataFrame, gaps: DataFrame) -> DataFrame:
+    """file, written, read, gaps of the archives from which not exactly the records written were read, or that have gaps."""
+    read = records.groupBy("file").agg(F.count(F.lit(1)).alias("read"))
+    held = gaps.groupBy("file").agg(F.count(F.lit(1)).alias("gaps"))
+    each = manifest.select("file", F.col("records").alias("written")).join(read, "file", "left").join(held, "file", "left")
+    return each.na.fill(0, ["read", "gaps"]).where("read <> written OR gaps > 0")
 
 
 def round_trip(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Digest of every page, from the archives."""
+    """Digest of every page, from the archives; raises where an archive does not give back what was written."""
     folder = files.shared_folder(pages.sparkSession, "warc")
     manifest = stage(write_archives(marked(pages, least), folder), "warc-manifest")
-    return read_archives(manifest)[0].drop("file")
+    records, gaps = read_archives(manifest)
+    if short := lost(manifest, records, gaps).head(5):
+        raise RuntimeError(f"archives do not give back their records: {short}")
+    return records.drop("file")
 
 
 _GROUPS = ", ".join(

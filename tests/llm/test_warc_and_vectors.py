@@ -132,3 +132,69 @@ def test_search_with_few_vectors(spark):
 def test_leaves_share_shards_and_large_ones_are_dealt_out():
     first, parts = vector_search.shards_of({0: 5, 1: 4, 2: 30, 3: 2, 4: 9}, 5, 10)
     assert first.tolist() == [0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1]
+
+
+def gaps_of(raw):
+    s = ws.Salvage(bytes(raw))
+    return [int(r.head["page-id"]) for r in s], s.gaps
+
+
+def test_records_around_a_damaged_one_in_the_same_member():
+    parts = archive(5, gz=False)
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+    inside = bytearray(b"".join(parts))
+    inside[starts[3] - 20] ^= 0xFF
+    before, after = ws.member(ws.record(90, None, b"before")), ws.member(ws.record(91, None, b"after"))
+    found, gaps = gaps_of(before + ws.member(bytes(inside)) + after)
+    assert found == [90, 0, 1, 3, 4, 91]
+    assert [(g.start, g.end, g.member) for g in gaps] == [(starts[2], starts[3], len(before))]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_before_the_place_where_a_member_breaks(level):
+    rng = np.random.default_rng(3)
+    parts = [ws.record(i, None, rng.bytes(3000)) for i in range(5)]
+    whole, after = ws.member(b"".join(parts), level), ws.member(ws.record(91, None, b"after"))
+    cut = whole[: int(len(whole) * 0.7)]
+    found, gaps = gaps_of(cut)
+    assert found == [0, 1, 2] and len(gaps) == 1 and gaps[0].member is None
+    assert 3 * 2900 < gaps[0].start < gaps[0].end == len(cut)
+    found, gaps = gaps_of(cut + after)
+    assert found == [0, 1, 2, 91] and [g.end for g in gaps] == [len(cut)]
+    # a bad checksum of the member: all but its last record, once each, also where the bytes are stored as they are
+    bad = bytearray(whole)
+    bad[-8] ^= 0xFF
+    found, gaps = gaps_of(bytes(bad) + after)
+    assert found[:4] == [0, 1, 2, 3] and found[-1] == 91 and len(found) == len(set(found))
+    assert gaps_of(ws.member(b"".join(parts), level) + after) == ([0, 1, 2, 3, 4, 91], [])
+
+
+def test_any_byte_of_a_member_of_five_costs_no_earlier_record():
+    rng = np.random.default_rng(4)
+    parts = [ws.record(i, None, rng.bytes(150)) for i in range(5)]
+    whole, after = ws.member(b"".join(parts)), ws.member(ws.record(91, None, b"after"))
+    for at in range(0, len(whole), 7):
+        raw = bytearray(whole + after)
+        raw[at] ^= 0x41
+        found, gaps = gaps_of(raw)
+        assert 91 in found and found == sorted(set(found))
+        assert gaps or found == [0, 1, 2, 3, 4, 91]
+
+
+def test_a_shortfall_raises(spark, pages, monkeypatch):
+    put = files.put
+
+    def damaged(name, parts):
+        raw = bytearray(b"".join(parts))
+        raw[len(raw) // 2] ^= 0xFF
+        put(name, [bytes(raw)])
+
+    folder = files.shared_folder(spark, "warc")
+    manifest = ws.write_archives(ws.marked(pages), folder).collect()
+    damaged(manifest[0]["file"], [files.get(manifest[0]["file"])])
+    table = spark.createDataFrame(manifest)
+    short = ws.lost(table, *ws.read_archives(table)).collect()
+    assert [r["file"] for r in short] == [manifest[0]["file"]] and short[0]["gaps"] >= 1
+    monkeypatch.setattr(ws, "lost", lambda *a: spark.createDataFrame([("f", 2, 1, 1)], "file string, written long, read long, gaps long"))
+    with pytest.raises(RuntimeError, match="give back"):
+        ws.round_trip(pages)
