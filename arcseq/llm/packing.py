@@ -3,7 +3,7 @@
 Each document is its token ids and an end id. A document longer than a sequence is cut into whole sequences and a rest;
 every other document stays whole. What packing has to know of the corpus is how many pieces there are of each length, at
 most 2,048 numbers. Over these counts the plan takes the longest piece left and looks for one, two or three lengths that
-fill its gap exactly, in an index of the lengths still available and of the sums of two of them, and uses the combination
+fill its gap exactly, in an index of the lengths still available and of the sums of two and three, and uses the combination
 as often as all its lengths allow. Where no combination fits exactly, the longest piece that fits goes in (best fit) and
 the search goes on for the rest of the gap. Each step uses up a length, so the plan is short however large the corpus is.
 
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END) -> Data
 
 
 class Shelf:
-    """Pieces left of each length, with the sums of two available lengths."""
+    """Pieces left of each length, with the sums of two and of three available lengths."""
 
     def __init__(self, counts: dict[int, int], room: int):
         self.room = room
@@ -74,30 +74,39 @@ class Shelf:
         self.there = self.left > 0
         self.there[0] = False
         self.there[self.room] = False
-        f = np.fft.rfft(self.there.astype(float), 2 * (self.room + 1))
-        self.sums = np.rint(np.fft.irfft(f * f))[: self.room + 1] > 0
+        f = np.fft.rfft(self.there.astype(float), 4 * (self.room + 1))
+        self.sums, self.sums3 = (np.rint(np.fft.irfft(x))[: self.room + 1] > 0 for x in (f * f, f * f * f))
 
-    def enough(self, lengths: list[int]) -> bool:
-        return all(self.left[k] >= n for k, n in Counter(lengths).items())
+    def spare(self, held: list[int]) -> np.ndarray:
+        """Pieces left of each length beside those held."""
+        left = self.left.copy()
+        for k in held:
+            left[k] -= 1
+        return left
 
-    def pair(self, gap: int, held: list[int]) -> list[int] | None:
+    def pair(self, gap: int, spare: np.ndarray) -> list[int] | None:
         if gap < 2 or not self.sums[gap]:
             return None
-        large = np.arange(gap - 1, (gap - 1) // 2, -1)
-        for a in large[self.there[large] & self.there[gap - large]][:8].tolist():
-            if self.enough([*held, a, gap - a]):
-                return [a, gap - a]
-        return None
+        a = np.arange(gap - 1, (gap - 1) // 2, -1)
+        b = gap - a
+        fits = a[self.there[a] & self.there[b] & (spare[a] > (a == b)) & (spare[b] > 0)]
+        return [int(fits[0]), gap - int(fits[0])] if len(fits) else None
 
     def exact(self, gap: int, held: list[int]) -> list[int] | None:
-        """One, two or three available lengths that add up to `gap`, beside those already `held`."""
-        if self.there[gap] and self.enough([*held, gap]):
+        """One, two or three available lengths that add up to `gap`, beside those already `held`; all are tried."""
+        spare = self.spare(held)
+        if self.there[gap] and spare[gap] > 0:
             return [gap]
-        if two := self.pair(gap, held):
+        if two := self.pair(gap, spare):
             return two
+        if gap < 3 or not self.sums3[gap]:
+            return None
         a = np.arange(gap - 2, 0, -1)
-        for x in a[self.there[a] & self.sums[gap - a]][:8].tolist():
-            if self.left[x] > held.count(x) and (two := self.pair(gap - x, [*held, x])):
+        for x in a[self.there[a] & self.sums[gap - a] & (spare[a] > 0)].tolist():
+            spare[x] -= 1
+            two = self.pair(gap - x, spare)
+            spare[x] += 1
+            if two:
                 return [x, *two]
         return None
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -138,5 +139,19 @@ def test_plan_fills_exact_complements():
     assert fill({2000: 4, 20: 4, 16: 4, 12: 4}) == 4
 
 
+def test_every_candidate_of_a_gap_is_tried():
+    # single pieces of many lengths; the pairs and triples of the first gaps use up most of what later gaps would take first
+    shelf = packing.Shelf({k: 1 for k in range(1, 41)} | {60: 1}, 100)
+    spare = shelf.spare(list(range(20, 40)))  # all of the long ones are held: 40 + 0 is no pair, so the gap needs three
+    assert shelf.pair(40, spare) is None
+    assert sorted(shelf.exact(57, list(range(20, 40)))) == [17, 40] and sum(shelf.exact(40, list(range(19, 41)))) == 40
+    assert packing.Shelf({5: 2}, 20).exact(15, []) is None and packing.Shelf({5: 3}, 20).exact(15, []) == [5, 5, 5]
+    for gap in range(3, 60):  # found exactly where a search over all triples finds one
+        counts = {k: 1 + k % 2 for k in (3, 7, 8, 15, 21)}
+        some = packing.Shelf(counts, 60).exact(gap, [])
+        ways = [w for n in (1, 2, 3) for w in combinations_with_replacement(counts, n) if sum(w) == gap and all(w.count(k) <= counts[k] for k in w)]
+        assert (some is not None) == bool(ways) and (some is None or tuple(sorted(some)) in ways)
+
+
 def test_empty_tables(no_docs):
     assert repair_files.write_and_read(no_docs).count() == 0 and packing.pack(no_docs).count() == 0
