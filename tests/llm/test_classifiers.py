@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcseq.llm import license_scan, line_crf, toxicity_pu
 from arcseq.llm.common import table
@@ -124,3 +125,39 @@ def test_licence_families(spark):
 
 def test_licences_of_empty_tables(no_docs):
     assert license_scan.scan(no_docs).count() == 0
+
+
+# The first lines of public licence headers, wrapped as they stand in source files.
+WRAPPED = {
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(i, f"prose before\n\n{t}\n\nprose after") for i, t in enumerate(WRAPPED.values())]
+    rows += [(10 + i, "x\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n *\n * and more") for i, t in enumerate(WRAPPED.values())]
+    # a notice that breaks off at a blank line, and prose around a notice of one line
+    rows += [(30, "Redistribution and use in source and binary\n\nforms, with or without modification, are permitted provided"), (31, "She asked for permission to leave.\nLicensed under CC BY 4.0")]
+    rows += [(100 + i, " ".join(f"word{(i * 31 + k * 7) % 97} the of and" for k in range(12))) for i in range(60)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    sure = {(r["doc_id"], r["family"]) for r in got}
+    assert sure == {(i + k, f) for k in (0, 10) for i, f in enumerate(WRAPPED)} | {(31, "CC-BY")}
+    assert {r["lines"] for r in got if r["doc_id"] == 31} == {1} and max(r["lines"] for r in got) <= license_scan.WINDOW
+
+
+def test_probabilities_against_numpy(spark):
+    texts = ["Licensed under the MIT license", "nothing of the kind", "", "general public license of the gnu"]
+    names, intercepts = ["A", "B", license_scan.NO_FAMILY], [0.1, -0.2, 0.3]
+    grams = {"mit": [1.0, 0.0, -1.0], "the mit": [0.5, 0.25, 0.0], "public license": [-1.0, 2.0, 0.0], "gnu": [0.0, 1.5, 0.0]}
+    weights = spark.createDataFrame(list(grams.items()), "gram string, w array<double>")
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string").select("h", license_scan.tokens(F.col("text")).alias("words"))
+    for r in license_scan.probabilities(df, weights, names, intercepts).collect():
+        words = texts[r["h"]].lower().split()
+        own = set(words) | {" ".join(p) for p in zip(words, words[1:])}
+        z = np.array(intercepts) + sum((np.array(grams[g]) for g in own if g in grams), np.zeros(3))
+        p = np.exp(z) / np.exp(z).sum()
+        assert abs(r["best"]["p"] - p[:2].max()) < 1e-12 and r["best"]["family"] == names[int(p[:2].argmax())]
