@@ -113,17 +113,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
 def emit(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with all its columns.
 
-    Copy counts meet their rows by a key of id, source and text; repeated rows take their counts in turn, so that they are
-    not multiplied.
+    Copy counts meet their rows by a key of id, source and text. Of a key, only the number of rows and how many of them are
+    taken at least once, twice, ... is carried, so a row that is alone, or whose repeats all have one count, needs no rank.
+    Where the counts of repeated rows differ, the rows are written with their places and ranked in blocks of 1,024.
     """
     tagged = marked(docs)
     rows = stage(sized(tagged, "key"), "mix-sizes")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
-    taken = copies(rows, weights, most, seed).select("key", "copies").withColumn("turn", turn).where("copies > 0")
-    taken = stage(taken, "mix-copies")
-    own = tagged.select("row", "key").withColumn("turn", turn)
-    met = own.join(taken, ["key", "turn"])
-    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    held = F.array(*[F.count_if(F.col("copies") >= j) for j in range(1, most + 1)])
+    taken = copies(rows, weights, most, seed).groupBy("key").agg(F.count(F.lit(1)).alias("n"), held.alias("held"))
+    unlike = F.exists("held", lambda h: (h > 0) & (h < F.col("n")))
+    taken = stage(taken.where(F.col("held")[0] > 0).withColumn("unlike", unlike), "mix-copies", "unlike")
+    own = tagged.select("row", "key")
+    alike = own.join(taken.where("NOT unlike"), "key").select("row", F.lit(1).cast("long").alias("rank"), "held")
+    ranked = repeats_in_order(own.join(taken.where("unlike"), "key"))
+    times = F.size(F.filter("held", lambda h: F.col("rank") <= h))
+    met = alike.unionByName(ranked).withColumn("times", times).where("times > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def repeats_in_order(rows: DataFrame) -> DataFrame:
+    """row, held and the rank of every row within its key, counted block by block of the written table."""
+    at = rows.select("row", "key", "held", F.monotonically_increasing_id().alias("at"))
+    at = stage(at.withColumn("block", F.shiftright("at", 10)), "mix-repeats")
+    block = ["key", "block"]
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("block")) - F.col("n")
+    starts = at.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(*block, before.alias("start"))
+    turn = F.row_number().over(Window.partitionBy(*block).orderBy("at"))
+    return at.withColumn("turn", turn).join(starts, block).select("row", (F.col("start") + F.col("turn")).alias("rank"), "held")
 
 
 def oracle(weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> str:

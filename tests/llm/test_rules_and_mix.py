@@ -162,3 +162,14 @@ def test_mix_of_odd_rows(odd_docs):
 def test_empty_tables(no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
     assert quality_rules.keep_documents(no_docs).columns == no_docs.columns and mixing.emit(no_docs).count() == 0
+
+
+def test_repeated_rows_share_their_copies(spark):
+    """5,000 rows of one id and text that differ in another column, at a rate between two integers, some of them null."""
+    rows = [(1, "same words here again", "en", "a", i) for i in range(5000)] + [(i, "w " * (i % 7 + 1), "en", "b", i) for i in range(2, 900)]
+    rows += [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).cache()
+    got = mixing.mix(df).where("doc_id = 1").agg({"taken": "sum"}).first()[0] // 4
+    times = Counter(r["n_chars"] for r in mixing.emit(df).where("doc_id = 1").collect())
+    assert sum(times.values()) == got > 0 and len(times) <= 5000
+    assert 0 < got % 5000 and max(times.values()) - min(times.values() if len(times) == 5000 else [0]) <= 1
