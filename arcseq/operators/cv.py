@@ -198,19 +198,51 @@ def keyed_cv(
 SERIAL = ["independent_switching", "serial_stimulus", "serial_response", "serial_both"]
 
 
-def serial_cv(df: DataFrame, params: Params, grid: list[tuple[float, float]], fold: str = "fold", seq: list[str] = SEQ) -> DataFrame:
-    """Held-out LL of every sequence under the serial models, their coefficients chosen on the other folds.
+SERIAL_POINT = ["alpha_stim", "alpha_resp"]
 
-    One pass gives the LL of each sequence at each point of the grid; the rest works on these sums. The model without
-    serial terms is the point (0, 0); ties go to the smaller coefficients.
-    """
-    point = ["alpha_stim", "alpha_resp"]
-    each = sc.serial_profile(df, params, grid, (fold, *seq))
-    by_fold = each.groupBy(fold, *point).agg(F.sum("ll").alias("own"))
-    total = by_fold.groupBy(*point).agg(F.sum("own").alias("total"))
+
+def best_serial(sums: DataFrame, fold: str = "fold") -> DataFrame:
+    """Point of the largest LL on the other folds, for each model and fold; LLs that agree to six digits go to the smaller coefficients."""
+    total = sums.groupBy(*SERIAL_POINT).agg(F.sum("own").alias("total"))
     no_stim, no_resp = F.col("alpha_stim") == 0, F.col("alpha_resp") == 0
     allowed = F.array(F.when(no_stim & no_resp, SERIAL[0]), F.when(no_resp, SERIAL[1]), F.when(no_stim, SERIAL[2]), F.lit(SERIAL[3]))
-    tried = by_fold.join(total, point).withColumn("model", F.explode(F.filter(allowed, lambda m: m.isNotNull())))
-    order = F.struct(F.round(F.col("total") - F.col("own"), 9).alias("ll"), (-F.col("alpha_stim")).alias("a"), (-F.col("alpha_resp")).alias("b"))
-    best = tried.groupBy("model", fold).agg(*[F.max_by(c, order).alias(c) for c in point])
-    return each.join(best, [fold, *point]).select("model", fold, *seq, *point, F.col("n").alias("n_test"), F.col("ll").alias("test_ll"))
+    tried = sums.join(total, SERIAL_POINT).withColumn("model", F.explode(F.filter(allowed, lambda m: m.isNotNull())))
+    order = F.struct(F.round(F.col("total") - F.col("own"), 6).alias("ll"), (-F.col("alpha_stim")).alias("a"), (-F.col("alpha_resp")).alias("b"))
+    return tried.groupBy("model", fold).agg(*[F.max_by(c, order).alias(c) for c in SERIAL_POINT])
+
+
+def points_around(model: str, stim: float, resp: float, step: float, low: float, high: float) -> set[tuple[float, float]]:
+    """The grid of `step` that reaches four steps to each side of a model's point, within the bounds."""
+    near = lambda x, free: {min(max(x + k * step, low), high) for k in range(-4, 5)} if free else {x}
+    stims, resps = near(stim, model in (SERIAL[1], SERIAL[3])), near(resp, model in (SERIAL[2], SERIAL[3]))
+    return {(a, b) for a in stims for b in resps}
+
+
+def serial_cv(
+    df: DataFrame, params: Params, grid: list[tuple[float, float]], fold: str = "fold", seq: list[str] = SEQ, tolerance: float = 0.005
+) -> DataFrame:
+    """Held-out LL of every sequence under the serial models, their coefficients chosen on the other folds.
+
+    The even grid (of at least two values a side) is refined around the best point of each model and fold, four times as
+    fine each time, until its step is within `tolerance`. A pass gives the LL of each fold at the new points; only the
+    chosen points (four a fold) come to the driver. The model without serial terms is the point (0, 0).
+    """
+    terms = stage(sc.serial_terms(df, params, (fold, *seq)), "serial-terms")
+    sides = sorted({a for a, _ in grid})
+    step, low, high = sides[1] - sides[0], sides[0], sides[-1]
+    sums, points = None, set(grid)
+    tried: set[tuple[float, float]] = set()
+    while True:
+        if points:
+            new = sc.terms_profile(terms, params, sorted(points), (fold,)).select(fold, *SERIAL_POINT, F.col("ll").alias("own"))
+            new = stage(new, "serial-sums")
+            sums = new if sums is None else sums.unionByName(new)
+            tried |= points
+        best = stage(best_serial(sums, fold), "serial-best")
+        chosen = best.select("model", *SERIAL_POINT).distinct().collect()
+        if step <= tolerance:
+            break
+        step /= 4
+        points = {p for m, a, b in chosen for p in points_around(m, a, b, step, low, high)} - tried
+    each = sc.terms_profile(terms, params, sorted({(a, b) for _, a, b in chosen}) or grid[:1], (fold, *seq))
+    return each.join(best, [fold, *SERIAL_POINT]).select("model", fold, *seq, *SERIAL_POINT, F.col("n").alias("n_test"), F.col("ll").alias("test_ll"))

@@ -288,18 +288,19 @@ def block_responsibilities(df: DataFrame, params: Params, keys: list[str]) -> Da
     )
 
 
-def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]], by: tuple = ()) -> DataFrame:
-    """Total LL (for each group of `by`) at every (alpha_stim, alpha_resp) of the grid at fixed weights and concentrations.
-
-    The grid is expanded inside each task and summed map-side; one row per group and grid point is shuffled.
-    """
-    points = F.array(*[F.struct(C.dbl(a).alias("alpha_stim"), C.dbl(b).alias("alpha_resp")) for a, b in grid])
-    base = attach_params(df, params).select(
+def serial_terms(df: DataFrame, params: Params, by: tuple = ()) -> DataFrame:
+    """What the serial likelihood needs of a trial at any coefficients."""
+    return attach_params(df, params).select(
         *by, "y", "theta", "cos_p", "kappa_s", "norm_s", "kappa_p", "norm_p",
         C.circ_diff(F.col("serial_theta"), F.col("theta")).alias("ds"),
         C.circ_diff(F.col("serial_y"), F.col("theta")).alias("dr"),
-        F.explode(points).alias("g"),
     )
+
+
+def terms_profile(terms: DataFrame, params: Params, grid: list[tuple[float, float]], by: tuple = ()) -> DataFrame:
+    """Total LL of `serial_terms` (for each group of `by`) at every (alpha_stim, alpha_resp) of the grid."""
+    points = F.array(*[F.struct(C.dbl(a).alias("alpha_stim"), C.dbl(b).alias("alpha_resp")) for a, b in grid])
+    base = terms.withColumn("g", F.explode(points))
     center = F.col("theta") + F.col("g.alpha_stim") * F.col("ds") + F.col("g.alpha_resp") * F.col("dr")
     log_w = [float(np.log(w)) for w in params.weights]
     logs = [
@@ -312,6 +313,14 @@ def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]
     )
 
 
+def serial_profile(df: DataFrame, params: Params, grid: list[tuple[float, float]], by: tuple = ()) -> DataFrame:
+    """Total LL (for each group of `by`) at every (alpha_stim, alpha_resp) of the grid at fixed weights and concentrations.
+
+    The grid is expanded inside each task and summed map-side; one row per group and grid point is shuffled.
+    """
+    return terms_profile(serial_terms(df, params, by), params, grid, by)
+
+
 def best_point(profile: DataFrame) -> DataFrame:
     """Grid point of the largest LL (ties to the smaller coefficients)."""
     order = F.struct("ll", (-F.col("alpha_stim")).alias("a"), (-F.col("alpha_resp")).alias("b"))

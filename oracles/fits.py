@@ -292,21 +292,35 @@ cte(
 add("a12_seq_scores", f"SELECT model, fold, {K}, n_test, {rr('prior_std', 'test_ll', 'test_ll_per_trial')} FROM seq_lls")
 GRID_POINTS = ", ".join(f"({float(a)}::DOUBLE, {float(b)}::DOUBLE)" for a, b in fixed.GRID)
 SW = [f"{float(w)!r}::DOUBLE" for w in fixed.WEIGHTS]
+SERIAL_LL = f"sum(ln({SW[0]}*exp(kappa_s*cos(y - (theta + alpha_stim*ds + alpha_resp*dr)) - norm_s) + {SW[1]}*exp(lb2) + {SW[2]}*exp(lb3)))"
 cte(
-    "sercv_each",
-    f"""SELECT fold, {K}, alpha_stim, alpha_resp, count(*) AS n,
-sum(ln({SW[0]}*exp(kappa_s*cos(y - (theta + alpha_stim*ds + alpha_resp*dr)) - norm_s) + {SW[1]}*exp(lb2) + {SW[2]}*exp(lb3))) AS ll
-FROM (SELECT *, {circ('coalesce(prev_theta, theta)', 'theta')} AS ds, {circ('coalesce(prev_y, y)', 'theta')} AS dr FROM emis) JOIN (SELECT {K}, fold FROM folds) USING ({K})
-CROSS JOIN (VALUES {GRID_POINTS}) g(alpha_stim, alpha_resp) GROUP BY ALL""",
-)
-cte("sercv_fold", "SELECT fold, alpha_stim, alpha_resp, sum(sercv_each.ll) AS own FROM sercv_each GROUP BY ALL")
+    "sercv_terms",
+    f"""SELECT fold, {K}, y, theta, kappa_s, norm_s, lb2, lb3, {circ('coalesce(prev_theta, theta)', 'theta')} AS ds, {circ('coalesce(prev_y, y)', 'theta')} AS dr
+FROM emis JOIN (SELECT {K}, fold FROM folds) USING ({K})""",
+)
+SERIAL_FREE = "(VALUES ('independent_switching', 0, 0), ('serial_stimulus', 1, 0), ('serial_response', 0, 1), ('serial_both', 1, 1)) m(model, fs, fr)"
+cte("sercv_p0", f"SELECT * FROM (VALUES {GRID_POINTS}) g(alpha_stim, alpha_resp)")
+for i, step in enumerate([0.25, 0.0625, 0.015625, 0.00390625]):
+    if i:
+        near = lambda c, free: f"least(greatest({c} + {free} * k{c[6]}.k * {step!r}::DOUBLE, -0.75::DOUBLE), 0.75::DOUBLE)"  # noqa: B023, E731
+        cte(
+            f"sercv_p{i}",
+            f"""SELECT DISTINCT {near('alpha_stim', 'fs')} AS alpha_stim, {near('alpha_resp', 'fr')} AS alpha_resp
+FROM sercv_b{i - 1} JOIN {SERIAL_FREE} USING (model) CROSS JOIN range(-4, 5) ks(k) CROSS JOIN range(-4, 5) kr(k)"""
+            + "".join(f" EXCEPT SELECT alpha_stim, alpha_resp FROM sercv_p{j}" for j in range(i)),
+        )
+    more = f" UNION ALL SELECT fold, alpha_stim, alpha_resp, own FROM sercv_f{i - 1}" if i else ""
+    cte(f"sercv_f{i}", f"SELECT fold, alpha_stim, alpha_resp, {SERIAL_LL} AS own FROM sercv_terms CROSS JOIN sercv_p{i} GROUP BY ALL{more}")
+    cte(
+        f"sercv_b{i}",
+        f"""SELECT model, fold, alpha_stim, alpha_resp FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY round(train, 6) DESC, alpha_stim, alpha_resp) AS rk FROM (
+SELECT fold, alpha_stim, alpha_resp, sum(own) OVER (PARTITION BY alpha_stim, alpha_resp) - own AS train FROM sercv_f{i}) JOIN {SERIAL_FREE}
+ON (alpha_stim = 0 OR fs = 1) AND (alpha_resp = 0 OR fr = 1)) WHERE rk = 1""",
+    )
 cte(
-    "sercv_best",
-    """SELECT model, fold, alpha_stim, alpha_resp FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY round(train, 9) DESC, alpha_stim, alpha_resp) AS rk FROM (
-SELECT fold, alpha_stim, alpha_resp, sum(own) OVER (PARTITION BY alpha_stim, alpha_resp) - own AS train FROM sercv_fold) JOIN (VALUES ('independent_switching', true, true), ('serial_stimulus', false, true), ('serial_response', true, false), ('serial_both', false, false)) m(model, s0, r0)
-ON (alpha_stim = 0 OR NOT s0) AND (alpha_resp = 0 OR NOT r0)) WHERE rk = 1""",
+    "sercv",
+    f"SELECT model, fold, {K}, alpha_stim, alpha_resp, count(*) AS n_test, {SERIAL_LL} AS test_ll FROM sercv_terms JOIN sercv_b3 USING (fold) GROUP BY ALL",
 )
-cte("sercv", f"SELECT model, fold, {K}, alpha_stim, alpha_resp, n AS n_test, sercv_each.ll AS test_ll FROM sercv_each JOIN sercv_best USING (fold, alpha_stim, alpha_resp)")
 add("e8_serial_cv", f"SELECT model, fold, {K}, n_test, {rr('alpha_stim', 'alpha_resp', 'test_ll')} FROM sercv")
 add(
     "a10_serial_cv",

@@ -206,3 +206,29 @@ def test_retention_rates(spark):
     df = values_table(spark, ["source", "simulation", "motion_coherence", "prior_std", "decoded_state"], rows)
     r = ck.retention_summary(ck.retention(df)).first()
     assert r["observed_retained_n"] == 80 and r["simulated_retained_rate_mean"] == pytest.approx(0.8)
+
+
+def test_serial_coefficients_against_a_fine_grid(feat):
+    """Refined coefficients of each fold lie within the last step of the best point of a fine grid around them."""
+    from arcseq.operators import cv
+    from arcseq.plans.fixed import GRID
+
+    df = stage(tt.serial_previous(feat).withColumn("fold", F.col("session_id") % 3), "serial-test")
+    got = {(r.model, r.fold): (r.alpha_stim, r.alpha_resp) for r in cv.serial_cv(df, MAIN, GRID).select("model", "fold", "alpha_stim", "alpha_resp").distinct().collect()}
+    assert len(got) == 12 and all(got["independent_switching", f] == (0.0, 0.0) for f in range(3))
+    rows = sc.serial_terms(df, MAIN, ("fold",)).toPandas()
+    w = MAIN.weights
+
+    def ll(t, a, b):
+        s = np.exp(t.kappa_s * np.cos(t.y - (t.theta + a * t.ds + b * t.dr)) - t.norm_s)
+        return np.log(w[0] * s + w[1] * np.exp(t.kappa_p * t.cos_p - t.norm_p) + w[2] / (2 * np.pi)).sum()
+
+    fine = np.arange(-384, 385) / 512
+    for f in range(3):
+        t = rows[rows.fold != f]
+        stim, resp = got["serial_stimulus", f][0], got["serial_response", f][1]
+        assert abs(fine[np.argmax([ll(t, a, 0.0) for a in fine])] - stim) <= 0.005
+        assert abs(fine[np.argmax([ll(t, 0.0, b) for b in fine])] - resp) <= 0.005
+        a, b = got["serial_both", f]
+        coarse = np.arange(-12, 13) / 16
+        assert ll(t, a, b) >= max(ll(t, x, z) for x in coarse for z in coarse) - 1e-6
