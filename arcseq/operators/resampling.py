@@ -90,15 +90,32 @@ def bootstrap_subjects(deltas: DataFrame, comparisons: list[str], draws: int, se
     return point.join(boot, "comparison")
 
 
-def normal(*parts) -> Column:
-    """Standard normal number of the parts, from two uniform ones (Box-Muller)."""
-    u = [(as_int(digest(*parts, half)) + 0.5) / F.lit(float(1 << 32)) for half in ("a", "b")]
-    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+def normals(units: np.ndarray, draws: int) -> np.ndarray:
+    """Standard normal numbers (draws, units) from the 64-bit hash of each unit: two mixed counters a draw, then Box-Muller."""
+    counter = np.arange(1, 2 * draws + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    z = units.astype(np.int64).view(np.uint64)[None, :] + counter
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    u = (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return np.sqrt(-2 * np.log(u[:draws])) * np.cos(2 * math.pi * u[draws:])
 
 
-def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple) -> DataFrame:
-    """n, score (gradient of the transition logits) and curvature of every chunk, as arrays."""
-    v = free_rows(keyset.B)[0]
+def _lists(m: np.ndarray) -> pa.Array:
+    m = np.ascontiguousarray(m.reshape(len(m), -1))
+    return pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.values.to_numpy(zero_copy_only=False)).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _total(name: str, size: int) -> Column:
+    return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(size)]).alias(name)
+
+
+def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple, fold: str | None = None) -> DataFrame:
+    """n, score (gradient of the transition logits) and curvature of every chunk under every fit it belongs to, as arrays."""
+    v = free_rows(keyset.B)
 
     def fn(b: Batch):
         chain = b.chain()
@@ -109,55 +126,89 @@ def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple) -> DataFram
         xi = chain.xi(filt, chain.backward(scale, leave), entry, b.rg.starts[b.fresh])
         xi[b.rg.starts[b.fresh]] = 0.0
         x = b.design()
-        _, _, excess, covariance = logit_moments(x, xi, v)
-        score = segment_sum(-(excess[..., None] * x[:, None, None, :]).reshape(len(x), -1), b.rg)
-        curvature = np.zeros((len(b.piece), v.size * v.shape[1]))
-        for k, (lo, n) in enumerate(zip(b.rg.starts, b.rg.lens)):
-            own = slice(lo, lo + n)
-            curvature[k] = np.einsum("niab,np,nr->iapbr", covariance[own], x[own], x[own], optimize=True).ravel()
-        at = pa.array(b.piece)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in (score, curvature)]
-        return [*SEQ, "n", "score", "curvature"], [*[b.column(k).take(at) for k in SEQ], pa.array(b.rg.lens), *lists]
-
-    schema = "subject_id bigint, session_id bigint, run_id bigint, n bigint, score array<double>, curvature array<double>"
-    return run_kernel(packed, keyset, fn, schema, x_cols)
-
-
-def effect_intervals(packed: Packed, keyset: KeySet, x_cols: tuple, draws: int = 200, seed: int = 42, l2: float = 1.0) -> DataFrame:
-    """Multiplier bootstrap over sequences of the +-1 SD covariate effects, posteriors held fixed.
-
-    A draw moves the transition coefficients by one Newton step of the score that its normal multipliers give. Spark sums
-    multiplier x centred score per draw; what reaches the driver is one short row for each draw.
+        size = v[0].size
+        score, curvature = np.zeros((len(x), size)), np.zeros((len(b.piece), size * v.shape[2]))
+        for key in np.unique(b.key):
+            rows = np.flatnonzero(b.row_key == key)
+            _, _, excess, covariance = logit_moments(x[rows], xi[rows], v[key])
+            score[rows] = -(excess[..., None] * x[rows][:, None, None, :]).reshape(len(rows), -1)
+            at = np.full(len(x), -1)
+            at[rows] = np.arange(len(rows))
+            for k in np.flatnonzero(b.key == key):
+                own = slice(b.rg.starts[k], b.rg.starts[k] + b.rg.lens[k])
+                there = at[own]
+                curvature[k] = np.einsum("niab,np,nr->iapbr", covariance[there], x[own], x[own], optimize=True).ravel()
+        take = pa.array(b.piece)
+        arrays = [*[b.column(k).take(take) for k in SEQ], pa.array(np.asarray(b.key, dtype=np.int64)), pa.array(b.rg.lens)]
+        return [*SEQ, "fit_key", "n", "score", "curvature"], [*arrays, _lists(segment_sum(score, b.rg)), _lists(curvature)]
+
+    schema = "subject_id bigint, session_id bigint, run_id bigint, fit_key bigint, n bigint, score array<double>, curvature array<double>"
+    return run_kernel(packed, keyset, fn, schema, x_cols, fold)
+
+
+def multiplied_scores(units: DataFrame, means: np.ndarray, draws: int) -> DataFrame:
+    """(fit_key, draw, score): sums of multiplier x centred score. A task multiplies the matrix (draws, units of a batch)
+    with its scores and hands on one row for each fit and draw; units need `unit` (a 64-bit hash), fit_key and score."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column("fit_key").to_numpy()
+            unit, score = batch.column("unit").to_numpy(), _matrix(batch.column("score"))
+            for k in np.unique(key):
+                own = key == k
+                sums = normals(unit[own], draws) @ (score[own] - means[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(draws, k)), pa.array(np.arange(draws)), _lists(sums)], ["fit_key", "draw", "score"])
+
+    partial = units.select("unit", "fit_key", "score").mapInArrow(run, "fit_key bigint, draw bigint, score array<double>")
+    return partial.groupBy("fit_key", "draw").agg(_total("score", means.shape[1]))
+
+
+def effect_intervals(
+    packed: Packed, keyset: KeySet, x_cols: tuple, draws: int = 200, seed: int = 42, l2: float = 1.0, fold: str | None = None
+) -> DataFrame:
+    """Multiplier bootstrap over sequences of the +-1 SD covariate effects of every fit, posteriors held fixed.
+
+    A draw moves the transition coefficients of a fit by one Newton step of the score that its normal multipliers give.
+    All fits share the multipliers of a sequence. Only one curvature and one mean score for each fit reach the driver.
     """
-    B = keyset.B[0]
-    v = free_rows(keyset.B)[0]
-    chunks = stage(transition_scores(packed, keyset, x_cols), "transition-scores")
-    summed = lambda name, size: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(size)]).alias(name)
-    curvature = np.array(chunks.agg(summed("curvature", v.size * v.shape[1])).first()[0]).reshape(len(v), v.shape[1], -1)
-    units = chunks.groupBy(*SEQ).agg(F.sum("n").alias("n"), summed("score", v.size)).filter("n > 1")
-    units = stage(units, "transition-units")
-    n_units, *total = units.agg(F.count(F.lit(1)), *[F.sum(F.get("score", F.lit(i))) for i in range(v.size)]).first()
-    mean = np.array(total) / max(n_units, 1)
-    each = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    each = each.withColumn("g", normal(seed, *[F.col(k) for k in SEQ], F.col("draw")))
-    moved = each.groupBy("draw").agg(F.array(*[F.sum(F.col("g") * (F.get("score", F.lit(i)) - float(mean[i]))) for i in range(v.size)]).alias("score"))
-    told = moved.orderBy("draw").collect()  # one row for each draw
-    pull = np.array([r["score"] for r in told]).reshape(len(told), *v.shape)
-    step = np.linalg.solve(curvature + l2 * np.eye(v.shape[1]), np.moveaxis(pull, 0, -1))
-    drawn = _effects(centred_rows(v + np.moveaxis(step, -1, 0), B.shape[-1]))
-    point = _effects(B)
+    v = free_rows(keyset.B)
+    size, inner = v[0].size, v.shape[2]
+    chunks = stage(transition_scores(packed, keyset, x_cols, fold), "transition-scores")
+    curvature = np.zeros((len(v), v.shape[1], inner, inner))
+    for r in chunks.groupBy("fit_key").agg(_total("curvature", size * inner)).collect():  # one row for each fit
+        curvature[r["fit_key"]] = np.reshape(r["curvature"], curvature.shape[1:])
+    units = chunks.groupBy(*SEQ, "fit_key").agg(F.sum("n").alias("n"), _total("score", size)).filter("n > 1")
+    units = stage(units.withColumn("unit", F.xxhash64(F.lit(seed), *SEQ)), "transition-units")
+    means, n_units = np.zeros((len(v), size)), np.zeros(len(v), dtype=int)
+    for r in units.groupBy("fit_key").agg(F.count(F.lit(1)).alias("n"), _total("score", size)).collect():  # one row for each fit
+        n_units[r["fit_key"]], means[r["fit_key"]] = r["n"], np.array(r["score"]) / r["n"]
+    width = keyset.B[0].shape[-1]
     names = [(c, i, j) for c in range(len(COVARIATES)) for i in range(len(STATES)) for j in range(len(STATES))]
-    spark = packed.df.sparkSession
-    label = lambda c, i, j: (COVARIATES[c], STATES[i], STATES[j])
-    keys = ["covariate", "previous_state", "next_state"]
-    schema = ", ".join(f"{k} string" for k in keys)
-    stats = spark.createDataFrame([(*label(c, i, j), float(x)) for c, i, j in names for x in drawn[:, i, j, c]], schema + ", stat double")
-    boot = stats.groupBy(*keys).agg(*_interval("stat"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_effect_le_0"))
-    observed = [(*label(c, i, j), k, float(point[i, j, c])) for k, (c, i, j) in enumerate(names)]
-    observed = spark.createDataFrame(observed, schema + ", place int, delta_plus_minus double")
+
+    def moved(batches):
+        for batch in batches:
+            key = batch.column("fit_key").to_numpy()
+            pull = _matrix(batch.column("score")).reshape(len(key), *v.shape[1:])
+            drawn = np.zeros((len(key), len(names)))
+            for k in np.unique(key):
+                own = key == k
+                step = np.linalg.solve(curvature[k] + l2 * np.eye(inner), np.moveaxis(pull[own], 0, -1))
+                effects = _effects(centred_rows(v[k] + np.moveaxis(step, -1, 0), width))
+                drawn[own] = np.stack([effects[:, i, j, c] for c, i, j in names], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("fit_key"), _lists(drawn)], ["fit_key", "stats"])
+
+    stats = multiplied_scores(units, means, draws).mapInArrow(moved, "fit_key bigint, stats array<double>")
+    stats = stats.select("fit_key", F.posexplode("stats").alias("place", "stat"))
+    boot = stats.groupBy("fit_key", "place").agg(*_interval("stat"), F.avg((F.col("stat") <= 0).cast("double")).alias("p_effect_le_0"))
+    keys = ["fit_key", "place"]
+    point = [_effects(b) for b in keyset.B]
+    observed = [
+        (f, k, COVARIATES[c], STATES[i], STATES[j], float(point[f][i, j, c]), int(n_units[f])) for f in range(len(v)) for k, (c, i, j) in enumerate(names)
+    ]
+    told = "fit_key bigint, place int, covariate string, previous_state string, next_state string, delta_plus_minus double, n_sequences bigint"
     two_sided = 2 * F.least(F.col("p_effect_le_0"), 1 - F.col("p_effect_le_0"))
-    out = observed.join(boot, keys).withColumns({"p_two_sided": two_sided, "n_sequences": F.lit(n_units)})
-    return out.orderBy("place").drop("place")
+    out = packed.df.sparkSession.createDataFrame(observed, told).join(boot, keys).withColumn("p_two_sided", two_sided)
+    return out.orderBy(*keys).drop("place")
 
 
 def _effects(B):

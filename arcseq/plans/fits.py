@@ -626,7 +626,7 @@ def p9_equivalence_flags(spark, sf):
 @register
 def b4_effect_intervals(spark, sf):
     packed, keyset = covariate_chain(spark, sf)
-    return rs.effect_intervals(packed, keyset, X, draws=200)
+    return rs.effect_intervals(packed, keyset, X, draws=200).drop("fit_key")
 
 
 @register

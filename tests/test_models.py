@@ -186,6 +186,48 @@ def test_effect_intervals_bracket_the_point(feat):
     release()
 
 
+def test_effect_intervals_of_several_fits(feat):
+    """A fit that uses all folds equals the only fit of all data; a fit of one fold equals the fit of that fold's rows alone."""
+    df = stage(tt.transition_covariates(feat).withColumn("fold", F.col("session_id") % 2), "effects-test")
+    row = sc.fit_scaler(df).first()
+    one = rec.one_key(MAIN, COH, PRIOR, [(row[f"mean_{c}"], row[f"sd_{c}"]) for c in X])
+    two = {f: np.repeat(getattr(one, f), 2, axis=0) for f in ("pi", "A", "kappa_s", "kappa_p", "B", "mean", "sd")}
+    keyset = rec.KeySet(names=[0, 1], subject=[None] * 2, folds=[{0, 1}, {1}], **two).prepare()
+    got = rs.effect_intervals(rec.pack(df, COH, PRIOR, carry=("fold",), arrays=X), keyset, X, 50, fold="fold").toPandas()
+    assert len(got) == 108
+    for key, rows in ((0, df), (1, df.filter("fold = 1"))):
+        alone = rs.effect_intervals(rec.pack(rows, COH, PRIOR, arrays=X), one, X, 50).toPandas()
+        mine = got[got.fit_key == key]
+        assert mine["n_sequences"].tolist() == alone["n_sequences"].tolist()
+        np.testing.assert_allclose(mine[["ci_low", "ci_high", "bootstrap_sd"]].to_numpy(), alone[["ci_low", "ci_high", "bootstrap_sd"]].to_numpy(), rtol=1e-7, atol=1e-10)
+
+
+def test_multiplied_scores_against_plain_numbers(spark):
+    """Units in any partitioning give the sums of a plain loop over whole-number arithmetic."""
+    mask = (1 << 64) - 1
+
+    def number(unit, j):
+        z = ((unit & mask) + j * 0x9E3779B97F4A7C15) & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = ((z ^ (z >> shift)) * factor) & mask
+        return (((z ^ (z >> 31)) >> 11) + 0.5) / 2**53
+
+    rows = [(u * 7919 - 40000, u % 2, [float(u), -0.5 * u * u]) for u in range(60)]
+    means, draws = np.array([[1.0, 2.0], [3.0, -4.0]]), 5
+    df = spark.createDataFrame(rows, "unit bigint, fit_key bigint, score array<double>")
+    got = {(r.fit_key, r.draw): r.score for r in rs.multiplied_scores(df.repartition(4), means, draws).collect()}
+    for key in (0, 1):
+        for d in range(draws):
+            plain = np.zeros(2)
+            for unit, k, score in rows:
+                if k == key:
+                    g = np.sqrt(-2 * np.log(number(unit, d + 1))) * np.cos(2 * np.pi * number(unit, draws + d + 1))
+                    plain += g * (np.array(score) - means[key])
+            np.testing.assert_allclose(got[key, d], plain, rtol=1e-9)
+    many = rs.normals(np.arange(20000), 3)
+    assert abs(many.mean()) < 0.02 and abs(many.std() - 1) < 0.02
+
+
 def test_occupancy_bins(spark):
     cols = ["row_index", "motion_direction", "prior_mean", "motion_coherence", "prior_std", "p_sensory", "p_prior", "p_lapse"]
     df = values_table(spark, cols, [(i, d, 225.0, 0.06, 10.0, 0.5, 0.3, 0.2) for i, d in enumerate((225.0, 260.0, 330.0))])
