@@ -629,6 +629,19 @@ def b4_effect_intervals(spark, sf):
     return rs.effect_intervals(packed, keyset, X, draws=200).drop("fit_key")
 
 
+@register
+def b4_effect_intervals_folds(spark, sf):
+    """Intervals of the covariate effects of every fit that leaves a fold out, each fit run until it is flat."""
+    df = tt.transition_covariates(with_folds(spark, sf))
+    packed = rec.pack(df, COH, PRIOR, carry=("fold",), arrays=X)
+    start = cv.start_model("covariate_hmm", MAIN, cv.fold_keys(None, OTHERS, LABELS), COH, PRIOR, sc.fold_scalers(df))
+    fits = em.fit_covariate_hmm(packed, start, UNTIL_FLAT, X, "fold")
+    fitted = em.model_from([f.params for f in fits], start.keys, COH, PRIOR, ["pi", "B"])
+    fitted.extra.update({k: start.extra[k] for k in ("mean", "sd")})
+    out = rs.effect_intervals(packed, fitted.keyset(), X, draws=200, fold="fold")
+    return out.withColumnRenamed("fit_key", "held_out_fold")
+
+
 @register
 def j10_attach_intervals(spark, sf):
     """Effects of each subject next to the interval of the same effect over subjects."""

@@ -253,3 +253,18 @@ def test_levels_without_parameters_are_an_error(feat):
     with pytest.raises(Exception, match="no parameters for motion_coherence 0.5"):
         rec.pack(odd, COH, PRIOR).df.collect()
     release()
+
+
+def test_quantiles_rank_only_what_holds_a_wanted_rank(spark):
+    """Of 60,000 values in 1,000 intervals, those of at most six intervals a group are ranked; results equal NumPy's."""
+    from arcseq.operators.quantiles import wanted_values
+
+    df = spark.range(60_000).selectExpr("id % 2 AS k", "(xxhash64(id) % 1000003) / 1000.0 AS x").withColumn("x", F.col("x").cast("double"))
+    df = stage(df, "quantile-test")
+    probs, width = {"a": 0.025, "b": 0.5, "c": 0.9}, 2.0
+    wanted = wanted_values(df, ["k"], F.col("x"), probs, width)
+    assert wanted.agg(F.sum("__c")).first()[0] <= 2 * 6 * 90
+    rows = df.toPandas()
+    for r in exact_quantiles(df, ["k"], F.col("x"), probs, width).collect():
+        want = np.quantile(rows[rows.k == r["k"]].x, list(probs.values()))
+        np.testing.assert_allclose([r["a"], r["b"], r["c"]], want, rtol=1e-12)
