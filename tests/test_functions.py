@@ -86,3 +86,9 @@ def test_bins_labels_and_guards(spark):
     assert got[0].startswith("near") and got[1].startswith("medium") and got[2].startswith("far")
     assert got[3] == "s03_session012_run1234" and got[4] == "0.06/10" and got[5] == float("inf") and got[6] == 4.0
     assert got[7] == "sensory"
+
+
+def test_directions_on_an_edge_fall_in_one_bin_whatever_their_last_bits(spark):
+    near = [-60.00000000000001, -60.0, -59.99999999999999, -180.0, 180.0, -179.99999999999997, 179.99999999999997, -179.99]
+    df = spark.createDataFrame([(float(np.radians(x)),) for x in near], "x double")
+    assert column(df, C.hist_bin(C.relative_deg(F.col("x")))).tolist() == [8, 8, 8, 23, 23, 23, 23, 0]
