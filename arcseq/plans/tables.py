@@ -396,7 +396,7 @@ def f12_bins(spark, sf):
         "row_id",
         r(conflict, "conflict_deg"),
         C.conflict_bin(conflict).alias("conflict_bin"),
-        C.hist_bin(F.degrees("error")).alias("hist_bin"),
+        C.hist_bin(C.relative_deg(F.col("error"))).alias("hist_bin"),
     )
 
 
