@@ -268,3 +268,38 @@ def test_quantiles_rank_only_what_holds_a_wanted_rank(spark):
     for r in exact_quantiles(df, ["k"], F.col("x"), probs, width).collect():
         want = np.quantile(rows[rows.k == r["k"]].x, list(probs.values()))
         np.testing.assert_allclose([r["a"], r["b"], r["c"]], want, rtol=1e-12)
+
+
+def rows_by_digest(feat, n, seed=17):
+    """The rule of the replicates by sorting: slot k takes the response of the trial ranked k by digest."""
+    import hashlib
+
+    out = {}
+    for _, own in feat.select(*SEQ, "pos", "row_id", "estimate_deg").toPandas().groupby(SEQ):
+        slots = own.sort_values("pos")["row_id"].tolist()
+        for s in range(n):
+            h = [hashlib.md5(f"{seed}|{s}|{i}".encode()).hexdigest() for i in own["row_id"]]
+            for slot, (_, deg) in zip(slots, sorted(zip(h, own["estimate_deg"])), strict=True):
+                out[s, slot] = deg
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 20, 10**6])
+def test_replicates_of_whole_and_of_cut_sequences_follow_one_rule(feat, most, monkeypatch):
+    monkeypatch.setattr(ck, "ARRAY_ROWS", most)
+    got = ck.permuted_replicates(feat, 3).select("simulation", "row_id", "estimate_deg").collect()
+    assert {(r[0], r[1]): r[2] for r in got} == rows_by_digest(feat, 3) and len(got) == 3 * feat.count()
+
+
+def test_rows_ranked_by_piece_are_shuffled_once_to_meet_their_borders(trials, spark):
+    """The table of pieces is summed, carried on and joined (at most four shuffles of it); the rows are shuffled once."""
+    from arcseq.operators.ordered import in_sequence
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = tt.chunked(tt.usable_trials(trials))
+        plan = in_sequence(rows, SEQ, CHUNK, "trial_index", {"p": F.col("prior_mean")})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keyed = [x for x in plan.splitlines() if "Exchange hashpartitioning(__key" in x]
+    assert len(keyed) == 1 and "isnull(" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
