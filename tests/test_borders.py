@@ -303,3 +303,47 @@ def test_rows_ranked_by_piece_are_shuffled_once_to_meet_their_borders(trials, sp
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     keyed = [x for x in plan.splitlines() if "Exchange hashpartitioning(__key" in x]
     assert len(keyed) == 1 and "isnull(" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize("simulations", [None, 2])
+def test_permuted_in_place(trials, monkeypatch, simulations):
+    """Sequences sorted where they lie hold the same rows at the same places as sequences ranked row by row."""
+    keys = [*SEQ, "segment_number"]
+    segs = stage(sp.segment_position(tt.angles(tt.split_segments(trials))), "seg").withColumn("pos", F.col("seg_pos"))
+    for rows in (2048, 7):
+        monkeypatch.setattr(columns, "CHUNK_ROWS", rows)
+        cut = tt.chunked(segs)
+        packed = rec.pack(cut, COH, PRIOR, keys=keys)
+        got = rec.permuted(packed, 7, simulations)
+        copies, sims = cut, []
+        if simulations:
+            sims = ["simulation"]
+            copies = cut.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+        want = sp.permute_within(copies, [*sims, *keys], 7).withColumn("pos", F.col("shuffle_order").cast("long"))
+        want = tt.chunked(want, "pos").select(*sims, *keys, CHUNK, "pos", "row_id", "motion_coherence", "prior_std", "cos_s", "cos_p")
+        by = [*sims, "row_id"]
+        mine = rec.packed_rows(got).select(*want.columns)
+        same(frame(want, by, [c for c in want.columns if c not in by]), frame(mine, by, [c for c in want.columns if c not in by]), by)
+        assert got.long == (rows == 7) and got.df.where("size(pos) <> size(row_id) OR first_pos <> pos[0]").count() == 0
+
+
+def test_placed_segments_shuffle_rows_once(trials, monkeypatch):
+    """Position, length and fold of segments over chunk borders, as computed step by step; one shuffle of whole rows."""
+    for rows in (2048, 5):
+        monkeypatch.setattr(columns, "CHUNK_ROWS", rows)
+        folds = stage(sp.stratified_folds(tt.sequences(tt.usable_trials(trials))), "folds")
+        got = sp.placed_segments(trials, folds)
+        want = sp.attach_folds(sp.segment_position(tt.split_segments(trials)), folds)
+        cols = ["segment_id", "segment_number", "seg_pos", "seg_len", "fold", CHUNK, "trial_index"]
+        same(frame(want, ["row_id"], cols), frame(got, ["row_id"], cols), ["row_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "raw_response_time" in x]
+    assert "raw_response_time" in plan and len(wide) <= 1
+
+
+def test_mixture_sums_of_blocks(feat):
+    """LLs of blocks in one aggregate against sums of the causal trial LLs."""
+    got = frame(sc.mixture_sums(feat, START, SEQ), SEQ, ["n_test", "subject_iid", "prior_conditioned_iid", "exchangeable_block_mixture"])
+    for name, scored in {"subject_iid": sc.score_mixture(feat, START), "prior_conditioned_iid": sc.score_conditioned(feat, START), "exchangeable_block_mixture": sc.score_block(feat, START, SEQ)}.items():
+        want = frame(scored.groupBy(*SEQ).agg(F.sum("trial_ll").alias(name)), SEQ, [name])
+        same(want, got[[*SEQ, name]], SEQ)
