@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arcseq.columns import COVARIATES, SEQ, STATES
 from arcseq.functions.hashing import as_int, digest
-from arcseq.operators.em import centred_rows, free_rows, logit_moments
+from arcseq.operators.em import centred_rows, curvature_sum, free_rows, logit_moments
 from arcseq.operators.kernels import segment_sum, softmax_rows
 from arcseq.operators.ordered import rank_in_group
 from arcseq.operators.recursions import Batch, KeySet, Packed, entry_exit, read_borders, run_kernel
@@ -114,7 +114,8 @@ def _total(name: str, size: int) -> Column:
 
 
 def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple, fold: str | None = None) -> DataFrame:
-    """n, score (gradient of the transition logits) and curvature of every chunk under every fit it belongs to, as arrays."""
+    """n and score (gradient of the transition logits) of every chunk under every fit it belongs to, and the curvature, which is
+    only summed by fit, once for each fit and batch (null in the batch's other rows)."""
     v = free_rows(keyset.B)
 
     def fn(b: Batch):
@@ -127,20 +128,15 @@ def transition_scores(packed: Packed, keyset: KeySet, x_cols: tuple, fold: str |
         xi[b.rg.starts[b.fresh]] = 0.0
         x = b.design()
         size = v[0].size
-        score, curvature = np.zeros((len(x), size)), np.zeros((len(b.piece), size * v.shape[2]))
+        score, curvature = np.zeros((len(x), size)), [None] * len(b.piece)
         for key in np.unique(b.key):
             rows = np.flatnonzero(b.row_key == key)
             _, _, excess, covariance = logit_moments(x[rows], xi[rows], v[key])
             score[rows] = -(excess[..., None] * x[rows][:, None, None, :]).reshape(len(rows), -1)
-            at = np.full(len(x), -1)
-            at[rows] = np.arange(len(rows))
-            for k in np.flatnonzero(b.key == key):
-                own = slice(b.rg.starts[k], b.rg.starts[k] + b.rg.lens[k])
-                there = at[own]
-                curvature[k] = np.einsum("niab,np,nr->iapbr", covariance[there], x[own], x[own], optimize=True).ravel()
+            curvature[np.flatnonzero(b.key == key)[0]] = curvature_sum(x[rows], covariance).ravel()
         take = pa.array(b.piece)
         arrays = [*[b.column(k).take(take) for k in SEQ], pa.array(np.asarray(b.key, dtype=np.int64)), pa.array(b.rg.lens)]
-        return [*SEQ, "fit_key", "n", "score", "curvature"], [*arrays, _lists(segment_sum(score, b.rg)), _lists(curvature)]
+        return [*SEQ, "fit_key", "n", "score", "curvature"], [*arrays, _lists(segment_sum(score, b.rg)), pa.array(curvature, pa.list_(pa.float64()))]
 
     schema = "subject_id bigint, session_id bigint, run_id bigint, fit_key bigint, n bigint, score array<double>, curvature array<double>"
     return run_kernel(packed, keyset, fn, schema, x_cols, fold)
