@@ -161,3 +161,25 @@ def test_probabilities_against_numpy(spark):
         z = np.array(intercepts) + sum((np.array(grams[g]) for g in own if g in grams), np.zeros(3))
         p = np.exp(z) / np.exp(z).sum()
         assert abs(r["best"]["p"] - p[:2].max()) < 1e-12 and r["best"]["family"] == names[int(p[:2].argmax())]
+
+
+def test_unknown_class_of_every_paragraph(spark):
+    """Far more paragraphs than the weight of the class: each is counted once, whatever document holds it."""
+    # every third paragraph is repeated by another document, every 100th holds an anchor term
+    texts = [f"paragraph {i} of the software" + (" with a warranty" if i % 100 == 0 else "") for i in range(9000)]
+    rows = [(i // 3, "\n".join([*texts[i : i + 3], texts[i]])) for i in range(0, 9000, 3)] + [(10_000 + i, texts[i]) for i in range(0, 9000, 3)]
+    counter = license_scan.CountVectorizerModel.from_vocabulary(["of the", "software", "the"], "grams", "features")
+    got = license_scan.unknown_rows(spark.createDataFrame(rows, "doc_id long, text string"), counter.setBinary(True)).collect()
+    assert sum(r["n"] for r in got) == 9000 - 90 and {r["kept_out"] for r in got} == {True, False}
+    assert len(got) == 2 and all(list(r["features"].indices) == [0, 1, 2] for r in got)
+
+
+def test_threshold_counts_every_paragraph(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([0.5 + rng.random(3000) / 2, np.full(500, 0.75), 0.9 + rng.random(500) * 1e-9])
+    n = rng.integers(1, 50, len(p))
+    rows = spark.createDataFrame(list(zip(p.tolist(), n.tolist(), strict=True)), "p double, n long")
+    for most in (0, 1, 700, 12_345, 40_000, int(n.sum()) - 1):
+        got = license_scan.value_exceeded(rows, most, 0.5, 1.0)
+        assert got in p and n[p > got].sum() <= most < n[p >= got].sum()
+    assert license_scan.value_exceeded(rows, int(n.sum()), 0.5, 1.0) == 0.5
