@@ -260,12 +260,6 @@ def matched(spark, sf, seed=11):
     return exchanged(segments(spark, sf), STRATA, seed)
 
 
-def permutations(spark, sf, first_seed, n):
-    """`n` permutations at once, numbered by `simulation`."""
-    rows = segments(spark, sf).withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return exchanged(rows, ["simulation", *STRATA], F.lit(first_seed) + F.col("simulation"))
-
-
 @register
 def w14_permute_matched(spark, sf):
     return matched(spark, sf).select("segment_id", ORDER, "row_id", "source_block_id", r("error"))

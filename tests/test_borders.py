@@ -347,3 +347,29 @@ def test_mixture_sums_of_blocks(feat):
     for name, scored in {"subject_iid": sc.score_mixture(feat, START), "prior_conditioned_iid": sc.score_conditioned(feat, START), "exchangeable_block_mixture": sc.score_block(feat, START, SEQ)}.items():
         want = frame(scored.groupBy(*SEQ).agg(F.sum("trial_ll").alias(name)), SEQ, [name])
         same(want, got[[*SEQ, name]], SEQ)
+
+
+@pytest.mark.parametrize("simulations", [None, 2])
+def test_exchanged_without_shuffling_slots(trials, monkeypatch, simulations):
+    """Packed exchange against the row-wise one, with strata of one piece and of many."""
+    folds = sp.stratified_folds(tt.sequences(tt.usable_trials(trials)))
+    segments = stage(tt.angles(sp.placed_segments(trials, folds)), "exchanged-segments")
+    strata, seg = ["subject_id", "fold", "prior_std"], [*SEQ, "segment_number"]
+    sims = [] if simulations is None else ["simulation"]
+    rows, seed = segments, 11
+    if sims:
+        rows = segments.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        seed = F.lit(11) + F.col("simulation")
+    want = sp.permute_matched(rows, [*sims, *strata], [*seg[1:], "segment_id", "trial_index", "block_id", "seg_pos"], ["row_id", "cos_s"], seed)
+    want = sorted(map(tuple, want.select(*sims, *seg, "seg_pos", "row_id", "cos_s").collect()))
+    for piece in (5, 16_384):
+        monkeypatch.setattr(rec, "PIECE", piece)
+        got = rec.exchanged(segments, COH, PRIOR, strata, seg, 11, simulations)
+        assert got.long == (piece == 5)
+        flat = got.df.select(*sims, *seg, F.inline(F.arrays_zip("pos", "row_id", "cos_s")))
+        assert sorted(map(tuple, flat.collect())) == want
+        ll = [rec.sequence_ll(p, rec.one_key(START, COH, PRIOR)) for p in rec.in_parts(got)]
+        total = sum(r["ll"] for p in ll for r in p.collect())
+        if piece == 5:
+            first = total
+    assert total == pytest.approx(first, rel=1e-10)
