@@ -137,3 +137,16 @@ def test_twenty_thousand_subjects_in_one_pass(spark, monkeypatch):
     told = got.agg(F.count("*"), F.sum("n_trials"), F.min(F.size("history")), F.sum((F.element_at("history", 2) >= F.element_at("history", 1)).cast("long"))).first()
     assert tuple(told)[:3] == (20_000, 100_000, 2) and told[3] > 19_000
     release()
+
+
+@pytest.mark.parametrize("name", ["hmm", "block_plus_markov"])
+def test_tasks_add_their_pieces_by_fit(folded, name):
+    """A task hands on one row for each fit, not one for each piece and fit."""
+    model = keyed.Model(name, COH, PRIOR)
+    fits = keyed.starts(keyed.fold_fits(folded.select("subject_id").distinct(), TRAIN, LABELS), model, [START])
+    packed = rec.pack(folded, COH, PRIOR, carry=("fold",))
+    one = rec.Packed(packed.df.coalesce(1), COH, PRIOR, False, packed.keys)
+    got = keyed.e_step(one, fits, ["subject_id"], model, "fold", 2, small=True).collect()
+    keys = [(r["subject_id"], r["fold"]) for r in got]
+    assert len(keys) == len(set(keys)) < packed.df.count()
+    release()
