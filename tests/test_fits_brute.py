@@ -1,5 +1,7 @@
 """Fits that SQL does not check, against plain loops on a small table."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +211,25 @@ def test_logit_sums_against_rows():
             np.testing.assert_allclose(q[i], own_q, rtol=1e-10)
             np.testing.assert_allclose(g[i], own_g, rtol=1e-9, atol=1e-9)
             np.testing.assert_allclose(h[i], own_h, rtol=1e-9, atol=1e-9)
+
+
+def test_posteriors_of_an_iteration_are_deleted_after_it(folded, monkeypatch):
+    """However many iterations a fit takes, one forward-backward pass lies on disk, with its covariates once for all keys."""
+    df = tt.transition_covariates(folded)
+    keys = [{"subject_id": None, "folds": [0]}, {"subject_id": None, "folds": [0, 1]}]
+    model = em.model_from([MAIN] * 2, keys, COH, PRIOR, ["pi", "B"])
+    model.extra |= {"mean": np.zeros((2, len(cv.X))), "sd": np.ones((2, len(cv.X)))}
+    made, passes = [], em.chain_posteriors
+    held = lambda: [p for p in made if os.path.exists(p.path)]
+
+    def watched(*a, **k):
+        assert not held()
+        made.append(passes(*a, **k))
+        rows = made[-1].df.selectExpr("size(fit_key) AS keys", "size(x_conflict) AS n", "size(before) + size(after) AS m").collect()
+        assert len(rows) == df.select(*SEQ, "chunk").distinct().count() and all(r["m"] == 6 * r["n"] * r["keys"] for r in rows)
+        return made[-1]
+
+    monkeypatch.setattr(em, "chain_posteriors", watched)
+    em.fit_covariate_hmm(rec.pack(df, COH, PRIOR, carry=("fold",), arrays=cv.X), model, em.Stop(2, None), cv.X, "fold")
+    release()
+    assert len(made) == 2 and not held()
