@@ -149,6 +149,37 @@ def test_wrapped_notices(spark):
     assert {r["lines"] for r in got if r["doc_id"] == 31} == {1} and max(r["lines"] for r in got) <= license_scan.WINDOW
 
 
+def test_paragraphs_without_an_anchor_term(spark):
+    """Every line with a letter is judged and returned; notices are found that no anchor term leads to."""
+    wrapped = "Use of this source code\nis governed by a BSD-style\nlicense"
+    cut = "No part of this publication may be reproduced or transmitted in any form without"
+    rows = [(0, f"prose before\n\n{wrapped}\n\nprose after\n 12.5 -\n"), (1, f"{cut}\n\nand so on"), (2, "part of this publication is here")]
+    rows += [(100 + i, " ".join(f"word{(i * 31 + k * 7) % 97} the of and" for k in range(12))) for i in range(60)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["paragraph"], r["lines"], r["family"]) for r in got if r["confirmed"]} == {(0, 2, 3, "BSD"), (1, 0, 1, "Proprietary")}
+    letters = [(i, k) for i, t in rows for k, x in enumerate(t.split("\n")) if any(c.isalpha() for c in x)]
+    assert sorted((r["doc_id"], r["paragraph"]) for r in got) == letters and all(r["probability"] > 0 for r in got)
+
+
+def test_lines_judged_by_features_alone(spark):
+    """A line without both bigrams of a template's trigram is judged as `judge` judges it; no line with a trigram is among them."""
+    texts = ["of the software", "the general public license version", "work has been seen", "this work is has been dedicated", "nothing at all", "", "use of this source", "version of a car", "in source form"]
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    notices = license_scan.templates(spark)
+    vocabulary = sorted(r[0] for r in notices.select(F.explode(license_scan.features("words"))).distinct().collect())
+    counter = license_scan.CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
+    lines = license_scan.distinct_lines(docs, counter, license_scan.may_hold_trigram(vocabulary, notices)).cache()
+    fitted, model = license_scan.train(lines, counter, notices)
+    own = spark.createDataFrame([(t,) for t in texts if t], "text string").select(F.xxhash64("text").alias("h"), "text")
+    whole = {r["h"]: r for r in license_scan.judge(own, model).collect()}
+    plain = license_scan.judge_by_features(lines.where("text IS NULL"), fitted, model).collect()
+    near = {r["h"] for r in lines.where("text IS NOT NULL").collect()}
+    assert near | {r["h"] for r in plain} == set(whole) and {h for h, r in whole.items() if r["begun"] > 0} <= near and len(plain) >= 3
+    for r in plain:
+        assert r["probability"] == pytest.approx(whole[r["h"]]["probability"], rel=1e-9)
+        assert all(r[c] == whole[r["h"]][c] for c in ("family", "similarity", "confirmed", "begun"))
+
+
 def test_probabilities_against_numpy(spark):
     texts = ["Licensed under the MIT license", "nothing of the kind", "", "general public license of the gnu"]
     names, intercepts = ["A", "B", license_scan.NO_FAMILY], [0.1, -0.2, 0.3]
