@@ -274,3 +274,18 @@ def test_serial_coefficients_against_a_fine_grid(feat):
         a, b = got["serial_both", f]
         coarse = np.arange(-12, 13) / 16
         assert ll(t, a, b) >= max(ll(t, x, z) for x in coarse for z in coarse) - 1e-6
+
+
+def test_coverage_takes_a_hundred_replicates(spark):
+    """As many as the reference draws, with the metrics of `condition_metrics`; the SQL draws as many."""
+    from arcseq.plans import checks as plan
+    from oracles.checks import ORACLES
+
+    sf = "/root/testdata/sf0.001"
+    got = plan.covered_metrics(spark, sf).toPandas().sort_values(plan.SUMMARY, ignore_index=True)
+    assert set(got["simulation"]) == {-1, *range(100)} and "range(100)" in ORACLES["p8_covered"] and "range(4)" not in ORACLES["p8_covered"]
+    f = plan.features(spark, sf)
+    rows = ck.union_sources(ck.responded(f.select(*plan.COLUMNS)), ck.permuted_replicates(f.select(*plan.COLUMNS), 100))
+    want = cond.condition_metrics(stage(rows, "coverage-test"), plan.SUMMARY).toPandas().sort_values(plan.SUMMARY, ignore_index=True)
+    assert (got["n"] == want["n"]).all()
+    np.testing.assert_allclose(got[cond.METRICS], want[cond.METRICS], rtol=1e-9, atol=1e-12)
